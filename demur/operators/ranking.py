@@ -89,15 +89,18 @@ def _order_columns(order: list[str]) -> list[Column]:
 
 def running(df: DataFrame, order: list[str], keys: list[str] = (), sums: dict[str, str] | None = None,
             rank: str = "rank", weight: str | None = None, size: str | None = None,
-            rows_per_bucket: int | None = None) -> DataFrame:
+            rows_per_bucket: int | None = None, split_source: DataFrame | None = None,
+            split_keys: list[str] | None = None) -> DataFrame:
     """Add the 1-based rank (or running weight) and inclusive running sums inside each key group.
 
     ``sums`` maps new column -> summed column. ``size`` names a column for the group's total count or weight.
-    ``order`` must be a total order.
+    ``order`` must be a total order. Split points are sampled from ``split_source`` by ``split_keys`` when the
+    rows are a replicated form of it.
     """
     keys, sums = list(keys), dict(sums or {})
     w = F.col(weight) if weight else F.lit(1).cast("bigint")
-    splits = find_splits(df, keys, order, rows_per_bucket)
+    splits = find_splits(df if split_source is None else split_source,
+                         keys if split_keys is None else list(split_keys), order, rows_per_bucket)
     if splits is None:
         part = Window.partitionBy(*keys)
         ordered = part.orderBy(*_order_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
@@ -192,37 +195,46 @@ def conformal_rank(n: Column, alpha: float) -> Column:
     return F.least(F.ceil((n + 1) * F.lit(1.0 - alpha)).cast("bigint"), n.cast("bigint"))
 
 
-def order_statistic(df: DataFrame, keys: list[str], value: str, ident: str, alpha: float,
-                    name: str = "q", rows_per_bucket: int | None = None) -> DataFrame:
+def _counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row per distinct value with its count, so that a value shared by most rows is one row."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def order_statistic(df: DataFrame, keys: list[str], value: str, alpha: float, name: str = "q",
+                    rows_per_bucket: int | None = None) -> DataFrame:
     """The conformal quantile of ``value`` in each key group: columns keys, ``n``, ``k`` and ``name``."""
+    keys = list(keys)
+    counted = _counted(df, keys, value)
     targets = F.array(F.struct(conformal_rank(F.col("n"), alpha).alias("k")))
-    splits = find_splits(df, list(keys), [value, ident], rows_per_bucket)
-    got = take_at(df, list(keys), [value, ident], targets, {}, splits=splits)
+    splits = find_splits(counted, keys, [value], rows_per_bucket)
+    got = take_at(counted, keys, [value], targets, {}, weight="_c", splits=splits)
     return got.select(*keys, "n", "k", F.col(value).alias(name))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, ident: str, probs: list[float],
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
               rows_per_bucket: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: columns keys, ``n``, ``prob``, ``value``.
 
-    Sorting spills to disk, so a group of any size works; ``percentile`` would hold it in one buffer.
+    Sorting spills to disk and large groups are split, so a group of any size works; ``percentile`` would
+    hold it in one buffer.
     """
     keys = list(keys)
-    pos = lambda p: (F.col("n") - 1) * p
+    counted = _counted(df, keys, value)
+    place = lambda p: (F.col("n") - 1) * p
     both = F.flatten(F.transform(
         F.array(*[F.lit(float(p)) for p in probs]),
         lambda p: F.array(
-            F.struct(p.alias("prob"), F.lit(0).alias("side"), (F.floor(pos(p)) + 1).alias("k")),
+            F.struct(p.alias("prob"), F.lit(0).alias("side"), (F.floor(place(p)) + 1).cast("bigint").alias("k")),
             F.struct(p.alias("prob"), F.lit(1).alias("side"),
-                     F.least(F.floor(pos(p)) + 2, F.col("n").cast("bigint")).alias("k")))))
-    splits = find_splits(df, keys, [value, ident], rows_per_bucket)
-    got = take_at(df.filter(F.col(value).isNotNull()), keys, [value, ident], both, {}, splits=splits)
-    part = got.groupBy(*keys, "prob").agg(
+                     F.least(F.floor(place(p)) + 2, F.col("n")).cast("bigint").alias("k")))))
+    splits = find_splits(counted, keys, [value], rows_per_bucket)
+    got = take_at(counted, keys, [value], both, {}, weight="_c", splits=splits)
+    ends = got.groupBy(*keys, "prob").agg(
         F.max("n").alias("n"), F.max(F.when(F.col("side") == 0, F.col(value))).alias("_lo"),
         F.max(F.when(F.col("side") == 1, F.col(value))).alias("_hi"))
-    frac = (F.col("n") - 1) * F.col("prob") - F.floor((F.col("n") - 1) * F.col("prob"))
-    return part.select(*keys, "n", "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
+    frac = place(F.col("prob")) - F.floor(place(F.col("prob")))
+    return ends.select(*keys, "n", "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
 
 
-def medians(df: DataFrame, keys: list[str], value: str, ident: str, name: str) -> DataFrame:
-    return quantiles(df, keys, value, ident, [0.5]).select(*keys, F.col("value").alias(name))
+def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    return quantiles(df, keys, value, [0.5]).select(*keys, F.col("value").alias(name))

@@ -16,12 +16,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from demur.functions.expr import half_even_k
 
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET = 4_000_000
 SAMPLES_PER_BUCKET = 20
-MAX_SPLIT_POINTS = 200_000
+MAX_SAMPLE = 2_000_000
 _FAN = 64
 
 
@@ -36,34 +37,45 @@ def find_splits(df: DataFrame, keys: list[str], order: list[str],
                 rows_per_bucket: int | None = None) -> Splits | None:
     """Sample ordered split points for groups that need more than one bucket.
 
-    The sample is a fixed fraction of the rows (20 per bucket), so it is tiny against the input and needs no
-    count first. Returns None when every group is small.
+    The sample is a fixed fraction of the rows (20 per bucket, 5 rows per million), so it needs no count first
+    and its size on the driver is checked. Returns None when every group is small.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    fraction = min(1.0, SAMPLES_PER_BUCKET / rows_per_bucket)
-    at = F.struct(*[F.col(c) for c in order])
-    grouped = (df.select(*keys, at.alias("_at")).sample(fraction=fraction, seed=7)
-               .groupBy(*keys).agg(F.sort_array(F.collect_list("_at")).alias("_s")))
-    step = SAMPLES_PER_BUCKET
-    points = (grouped.filter(F.size("_s") > 2 * step)
-              .select(*keys, F.expr(f"array_distinct(transform(sequence({step}, size(_s) - 1, {step}), i -> _s[i]))")
-                      .alias("edges")))
-    rows = points.collect()
-    if not rows:
+    step, columns = SAMPLES_PER_BUCKET, list(keys) + list(order)
+    picked = df.select(*columns)
+    sample = picked.sample(fraction=min(1.0, step / rows_per_bucket), seed=7).limit(MAX_SAMPLE + 1).collect()
+    if len(sample) > MAX_SAMPLE:
+        raise ValueError(f"more than {MAX_SAMPLE} sampled rows; raise rows_per_bucket")
+    groups: dict[tuple, list[tuple]] = {}
+    for row in sample:
+        groups.setdefault(tuple(row[:len(keys)]), []).append(tuple(row[len(keys):]))
+    found = []
+    for key, at in groups.items():
+        if len(at) > 2 * step:
+            at.sort(key=lambda t: [_spark_order(v) for v in t])
+            edges = list(dict.fromkeys(at[step::step]))
+            found.append((*key, edges, edges[::_FAN]))
+    if not found:
         return None
-    total = sum(len(r["edges"]) for r in rows)
-    if total > MAX_SPLIT_POINTS:
-        raise ValueError(f"{total} split points; raise rows_per_bucket")
-    table = df.sparkSession.createDataFrame(rows, points.schema)
-    table = table.withColumn(
-        "tops", F.expr(f"transform(sequence(0, size(edges) - 1, {_FAN}), i -> edges[i])"))
-    return Splits(table, keys)
+    point = StructType([picked.schema[c] for c in order])
+    schema = StructType([picked.schema[c] for c in keys]
+                        + [StructField("edges", ArrayType(point)), StructField("tops", ArrayType(point))])
+    return Splits(df.sparkSession.createDataFrame(found, schema), list(keys))
+
+
+def _spark_order(v):
+    """Sort key that orders as Spark does: null first, NaN last, structs field by field."""
+    if isinstance(v, tuple):
+        return (1, [_spark_order(x) for x in v])
+    if v is None:
+        return (0, 0)
+    return (2, 0) if isinstance(v, float) and v != v else (1, v)
 
 
 def with_bucket(df: DataFrame, keys: list[str], order: list[str], splits: Splits) -> DataFrame:
     """Add ``_bucket``: how many split points of the row's group are at or before the row.
 
-    The split table holds MAX_SPLIT_POINTS tuples at most, so it is broadcast. Two levels of 64 keep the
+    The split table holds a twentieth of MAX_SAMPLE tuples at most, so it is broadcast. Two levels of 64 keep the
     search short.
     """
     at = F.struct(*[F.col(c) for c in order])
@@ -206,7 +218,7 @@ def order_statistic(df: DataFrame, keys: list[str], value: str, alpha: float, na
     keys = list(keys)
     counted = _counted(df, keys, value)
     targets = F.array(F.struct(conformal_rank(F.col("n"), alpha).alias("k")))
-    splits = find_splits(counted, keys, [value], rows_per_bucket)
+    splits = find_splits(df, keys, [value], rows_per_bucket)
     got = take_at(counted, keys, [value], targets, {}, weight="_c", splits=splits)
     return got.select(*keys, "n", "k", F.col(value).alias(name))
 
@@ -227,7 +239,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
             F.struct(p.alias("prob"), F.lit(0).alias("side"), (F.floor(place(p)) + 1).cast("bigint").alias("k")),
             F.struct(p.alias("prob"), F.lit(1).alias("side"),
                      F.least(F.floor(place(p)) + 2, F.col("n")).cast("bigint").alias("k")))))
-    splits = find_splits(counted, keys, [value], rows_per_bucket)
+    splits = find_splits(df, keys, [value], rows_per_bucket)
     got = take_at(counted, keys, [value], both, {}, weight="_c", splits=splits)
     ends = got.groupBy(*keys, "prob").agg(
         F.max("n").alias("n"), F.max(F.when(F.col("side") == 0, F.col(value))).alias("_lo"),

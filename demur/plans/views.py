@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from demur.functions.draws import uniform
 from demur.operators.lines import fit_line
-from demur.operators.ranking import medians
+from demur.operators.lookup import priors
 from demur.sources.staging import stage_once
 
 from .registry import cte, u
@@ -58,13 +58,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 def vocab(line_rows: DataFrame) -> DataFrame:
     """Median amount per unit and median quantity of every name, from fit lines only."""
-    fit = line_rows.filter(F.col("role") == "fit")
-    density = medians(fit.filter("grams > 0").select("name", (F.col("amount") / F.col("grams")).alias("d")),
-                      ["name"], "d", "density")
-    # Four decimals keep every sum of quantity x density on a decimal grid.
-    density = density.withColumn("density", F.floor(F.col("density") * 10000 + 0.5) / 10000)
-    grams = medians(fit.select("name", "grams"), ["name"], "grams", "typical")
-    return grams.join(density, "name", "left")
+    return priors(line_rows.filter("role = 'fit'"), "name", "grams", "amount")
 
 
 cte("ents", f"""SELECT o_orderkey AS id, o_custkey AS cluster, o_orderdate AS ts,

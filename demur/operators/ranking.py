@@ -84,15 +84,15 @@ def with_bucket(df: DataFrame, keys: list[str], order: list[str], splits: Splits
         cond = [df[k].eqNullSafe(small[k]) for k in splits.keys]
         joined = df.join(small, cond, "left").drop(*[small[k] for k in splits.keys])
     else:
-        joined = df.withColumn("_one", F.lit(1)).join(
-            small.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    joined = joined.withColumn("_at", at).withColumn(
-        "_top", F.size(F.filter("tops", lambda e: e <= F.col("_at"))))
-    fine = F.slice(F.col("edges"), (F.col("_top") - 1) * _FAN + 1, F.lit(_FAN))
-    bucket = (F.when(F.col("tops").isNull() | (F.col("_top") == 0), F.lit(0))
-              .otherwise((F.col("_top") - 1) * _FAN
-                         + F.size(F.filter(fine, lambda e: e <= F.col("_at")))))
-    return joined.withColumn("_bucket", bucket.cast("int")).drop("tops", "edges", "_top", "_at")
+        joined = df.withColumn("__one", F.lit(1)).join(
+            small.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
+    joined = joined.withColumn("__at", at).withColumn(
+        "__top", F.size(F.filter("tops", lambda e: e <= F.col("__at"))))
+    fine = F.slice(F.col("edges"), (F.col("__top") - 1) * _FAN + 1, F.lit(_FAN))
+    bucket = (F.when(F.col("tops").isNull() | (F.col("__top") == 0), F.lit(0))
+              .otherwise((F.col("__top") - 1) * _FAN
+                         + F.size(F.filter(fine, lambda e: e <= F.col("__at")))))
+    return joined.withColumn("__bucket", bucket.cast("int")).drop("tops", "edges", "__top", "__at")
 
 
 def _order_columns(order: list[str]) -> list[Column]:
@@ -122,26 +122,26 @@ def running(df: DataFrame, order: list[str], keys: list[str] = (), sums: dict[st
         return out.withColumn(size, F.sum(w).over(part)) if size else out
 
     rows = with_bucket(df, keys, order, splits)
-    totals = rows.groupBy(*keys, "_bucket").agg(
-        F.sum(w).alias("_w"), *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    totals = rows.groupBy(*keys, "__bucket").agg(
+        F.sum(w).alias("__w"), *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     part = Window.partitionBy(*keys)
-    before = part.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = part.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(
-        *keys, "_bucket", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_w0"),
-        F.sum("_w").over(part).alias("_n"),
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0.0)).alias(f"_s_{n}") for n in sums])
-    local = Window.partitionBy(*keys, "_bucket").orderBy(*_order_columns(order)).rowsBetween(
+        *keys, "__bucket", F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__w0"),
+        F.sum("__w").over(part).alias("__n"),
+        *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0.0)).alias(f"__s_{n}") for n in sums])
+    local = Window.partitionBy(*keys, "__bucket").orderBy(*_order_columns(order)).rowsBetween(
         Window.unboundedPreceding, 0)
     out = rows.withColumn(rank, F.sum(w).over(local))
     for new, col in sums.items():
         out = out.withColumn(new, F.sum(col).over(local))
-    out = _join_keys(out, shifts, keys + ["_bucket"])
-    out = out.withColumn(rank, F.col(rank) + F.col("_w0"))
+    out = _join_keys(out, shifts, keys + ["__bucket"])
+    out = out.withColumn(rank, F.col(rank) + F.col("__w0"))
     for new in sums:
-        out = out.withColumn(new, F.col(new) + F.col(f"_s_{new}"))
+        out = out.withColumn(new, F.col(new) + F.col(f"__s_{new}"))
     if size:
-        out = out.withColumn(size, F.col("_n"))
-    return out.drop("_bucket", "_w0", "_n", *[f"_s_{n}" for n in sums])
+        out = out.withColumn(size, F.col("__n"))
+    return out.drop("__bucket", "__w0", "__n", *[f"__s_{n}" for n in sums])
 
 
 def _join_keys(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -163,37 +163,37 @@ def take_at(df: DataFrame, keys: list[str], order: list[str], targets: Column, v
     part = Window.partitionBy(*keys)
     if splits is None:
         ordered = part.orderBy(*_order_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
-        rows = df.select(*keys, *order, w.alias("_m"), *[F.col(c).alias(f"_v_{n}") for n, c in values.items()])
-        rows = rows.select("*", F.sum("_m").over(part).alias("n"), F.sum("_m").over(ordered).alias("_w"),
-                           *[F.sum(F.col("_m") * F.col(f"_v_{n}")).over(ordered).alias(f"_e_{n}")
+        rows = df.select(*keys, *order, w.alias("__m"), *[F.col(c).alias(f"__v_{n}") for n, c in values.items()])
+        rows = rows.select("*", F.sum("__m").over(part).alias("n"), F.sum("__m").over(ordered).alias("__w"),
+                           *[F.sum(F.col("__m") * F.col(f"__v_{n}")).over(ordered).alias(f"__e_{n}")
                              for n in values])
-        rows = rows.withColumn("_hits", F.filter(
-            targets, lambda t: (t["k"] > F.col("_w") - F.col("_m")) & (t["k"] <= F.col("_w"))))
+        rows = rows.withColumn("__hits", F.filter(
+            targets, lambda t: (t["k"] > F.col("__w") - F.col("__m")) & (t["k"] <= F.col("__w"))))
     else:
         rows = with_bucket(df, splits.keys, order, splits)
-        rows = rows.select(*keys, "_bucket", *order, w.alias("_m"),
-                           *[F.col(c).alias(f"_v_{n}") for n, c in values.items()])
-        totals = rows.groupBy(*keys, "_bucket").agg(
-            F.sum("_m").alias("_bw"), *[F.sum(F.col("_m") * F.col(f"_v_{n}")).alias(f"_bt_{n}") for n in values])
-        before = part.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.select(*keys, "__bucket", *order, w.alias("__m"),
+                           *[F.col(c).alias(f"__v_{n}") for n, c in values.items()])
+        totals = rows.groupBy(*keys, "__bucket").agg(
+            F.sum("__m").alias("__bw"), *[F.sum(F.col("__m") * F.col(f"__v_{n}")).alias(f"__bt_{n}") for n in values])
+        before = part.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
         totals = totals.select(
-            "*", F.sum("_bw").over(part).alias("n"), F.coalesce(F.sum("_bw").over(before), F.lit(0)).alias("_w0"),
-            *[F.coalesce(F.sum(f"_bt_{n}").over(before), F.lit(0.0)).alias(f"_s_{n}") for n in values])
-        wanted = totals.withColumn("_want", F.filter(
-            targets, lambda t: (t["k"] > F.col("_w0")) & (t["k"] <= F.col("_w0") + F.col("_bw"))))
-        wanted = wanted.filter(F.size("_want") > 0).drop("_bw", *[f"_bt_{n}" for n in values])
-        rows = _join_keys(rows, wanted, list(keys) + ["_bucket"])
-        local = Window.partitionBy(*keys, "_bucket").orderBy(*_order_columns(order)).rowsBetween(
+            "*", F.sum("__bw").over(part).alias("n"), F.coalesce(F.sum("__bw").over(before), F.lit(0)).alias("__w0"),
+            *[F.coalesce(F.sum(f"__bt_{n}").over(before), F.lit(0.0)).alias(f"__s_{n}") for n in values])
+        wanted = totals.withColumn("__want", F.filter(
+            targets, lambda t: (t["k"] > F.col("__w0")) & (t["k"] <= F.col("__w0") + F.col("__bw"))))
+        wanted = wanted.filter(F.size("__want") > 0).drop("__bw", *[f"__bt_{n}" for n in values])
+        rows = _join_keys(rows, wanted, list(keys) + ["__bucket"])
+        local = Window.partitionBy(*keys, "__bucket").orderBy(*_order_columns(order)).rowsBetween(
             Window.unboundedPreceding, 0)
-        rows = rows.select("*", (F.sum("_m").over(local) + F.col("_w0")).alias("_w"),
-                           *[(F.sum(F.col("_m") * F.col(f"_v_{n}")).over(local) + F.col(f"_s_{n}"))
-                             .alias(f"_e_{n}") for n in values])
-        rows = rows.withColumn("_hits", F.filter(
-            "_want", lambda t: (t["k"] > F.col("_w") - F.col("_m")) & (t["k"] <= F.col("_w"))))
-    hit = rows.filter(F.size("_hits") > 0).withColumn("_t", F.explode("_hits"))
-    over = F.col("_w") - F.col("_t.k")
-    return hit.select(*keys, "_t.*", "n",
-                      *[(F.col(f"_e_{n}") - over * F.col(f"_v_{n}")).alias(n) for n in values], *order)
+        rows = rows.select("*", (F.sum("__m").over(local) + F.col("__w0")).alias("__w"),
+                           *[(F.sum(F.col("__m") * F.col(f"__v_{n}")).over(local) + F.col(f"__s_{n}"))
+                             .alias(f"__e_{n}") for n in values])
+        rows = rows.withColumn("__hits", F.filter(
+            "__want", lambda t: (t["k"] > F.col("__w") - F.col("__m")) & (t["k"] <= F.col("__w"))))
+    hit = rows.filter(F.size("__hits") > 0).withColumn("__t", F.explode("__hits"))
+    over = F.col("__w") - F.col("__t.k")
+    return hit.select(*keys, "__t.*", "n",
+                      *[(F.col(f"__e_{n}") - over * F.col(f"__v_{n}")).alias(n) for n in values], *order)
 
 
 def coverage_targets(coverages) -> Column:
@@ -209,7 +209,7 @@ def conformal_rank(n: Column, alpha: float) -> Column:
 
 def _counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row per distinct value with its count, so that a value shared by most rows is one row."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
 
 
 def order_statistic(df: DataFrame, keys: list[str], value: str, alpha: float, name: str = "q",
@@ -219,7 +219,7 @@ def order_statistic(df: DataFrame, keys: list[str], value: str, alpha: float, na
     counted = _counted(df, keys, value)
     targets = F.array(F.struct(conformal_rank(F.col("n"), alpha).alias("k")))
     splits = find_splits(df, keys, [value], rows_per_bucket)
-    got = take_at(counted, keys, [value], targets, {}, weight="_c", splits=splits)
+    got = take_at(counted, keys, [value], targets, {}, weight="__c", splits=splits)
     return got.select(*keys, "n", "k", F.col(value).alias(name))
 
 
@@ -240,12 +240,12 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
             F.struct(p.alias("prob"), F.lit(1).alias("side"),
                      F.least(F.floor(place(p)) + 2, F.col("n")).cast("bigint").alias("k")))))
     splits = find_splits(df, keys, [value], rows_per_bucket)
-    got = take_at(counted, keys, [value], both, {}, weight="_c", splits=splits)
+    got = take_at(counted, keys, [value], both, {}, weight="__c", splits=splits)
     ends = got.groupBy(*keys, "prob").agg(
-        F.max("n").alias("n"), F.max(F.when(F.col("side") == 0, F.col(value))).alias("_lo"),
-        F.max(F.when(F.col("side") == 1, F.col(value))).alias("_hi"))
+        F.max("n").alias("n"), F.max(F.when(F.col("side") == 0, F.col(value))).alias("__lo"),
+        F.max(F.when(F.col("side") == 1, F.col(value))).alias("__hi"))
     frac = place(F.col("prob")) - F.floor(place(F.col("prob")))
-    return ends.select(*keys, "n", "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
+    return ends.select(*keys, "n", "prob", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * frac).alias("value"))
 
 
 def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

@@ -29,12 +29,12 @@ def with_gap(df: DataFrame, at: str, ident: str, keys: list[str] = (), name: str
         previous = F.lag(at).over(Window.partitionBy(*keys).orderBy(*order))
         return df.withColumn(name, F.col(at) - previous)
     rows = with_bucket(df, keys, order, splits)
-    lasts = rows.groupBy(*keys, "_bucket").agg(F.max(at).alias("_top"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = lasts.select(*keys, "_bucket", F.max("_top").over(before).alias("_before"))
-    rows = rows.join(lasts, keys + ["_bucket"])
-    previous = F.lag(at).over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
-    return rows.withColumn(name, F.col(at) - F.coalesce(previous, "_before")).drop("_bucket", "_before")
+    lasts = rows.groupBy(*keys, "__bucket").agg(F.max(at).alias("_top"))
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = lasts.select(*keys, "__bucket", F.max("_top").over(before).alias("_before"))
+    rows = rows.join(lasts, keys + ["__bucket"])
+    previous = F.lag(at).over(Window.partitionBy(*keys, "__bucket").orderBy(*order))
+    return rows.withColumn(name, F.col(at) - F.coalesce(previous, "_before")).drop("__bucket", "_before")
 
 
 def sessionize(df: DataFrame, at: str, ident: str, keys: list[str] = (), gap: float = SESSION_GAP_S,

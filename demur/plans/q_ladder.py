@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from demur.operators.lookup import RUNGS, global_priors, ladder, perturbed_errors, rung_errors
+from demur.operators.ranking import running
 
 from .registry import cte, query, u, with_ctes
 from .views import items, lines, table, vocab
@@ -71,10 +72,10 @@ cte("mc_draws", f"""SELECT id, rep, d, t, coalesce(p.density, 0) AS pd, p.typica
 def mc_lookup_error(spark, sf):
     ln, it = lines(spark, sf), items(spark, sf)
     _, mean = global_priors(it.filter("role = 'fit'"))
-    parts = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("name"), F.row_number().over(
-            Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")).alias("pos"))
     test = it.filter("role = 'test'")
-    parts = parts.join(test.select("id"), "id", "left_semi")
+    parts = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("name"), "l_linenumber", "l_quantity", "l_extendedprice")
+    parts = running(parts.join(test.select("id"), "id", "left_semi"),
+                    ["l_linenumber", "name", "l_quantity", "l_extendedprice"], ["id"], rank="pos")
     got = perturbed_errors(parts, test, vocab(ln), mean, SCENARIOS, DRAWS, "pos")
     return got.withColumn("mae", F.round("mae", 3))

@@ -81,8 +81,7 @@ def with_bucket(df: DataFrame, keys: list[str], order: list[str], splits: Splits
     at = F.struct(*[F.col(c) for c in order])
     small = F.broadcast(splits.table)
     if splits.keys:
-        cond = [df[k].eqNullSafe(small[k]) for k in splits.keys]
-        joined = df.join(small, cond, "left").drop(*[small[k] for k in splits.keys])
+        joined = _null_safe(df, small, splits.keys, "left")
     else:
         joined = df.withColumn("__one", F.lit(1)).join(
             small.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
@@ -146,8 +145,13 @@ def running(df: DataFrame, order: list[str], keys: list[str] = (), sums: dict[st
 
 def _join_keys(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Inner equi-join that keeps null keys and the left columns."""
-    cond = [left[k].eqNullSafe(right[k]) for k in on]
-    return left.join(right, cond).drop(*[right[k] for k in on])
+    return _null_safe(left, right, on, "inner")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    other = {k: f"__k_{k}" for k in on}
+    right = right.withColumnsRenamed(other)
+    return left.join(right, [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()], how).drop(*other.values())
 
 
 def take_at(df: DataFrame, keys: list[str], order: list[str], targets: Column, values: dict[str, str],

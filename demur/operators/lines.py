@@ -65,3 +65,15 @@ def fit_line(df: DataFrame, x: str, y: str, alpha: float) -> Line:
 def predict(x: Column) -> Column:
     """Prediction from joined parameter columns ``mx, my, w``."""
     return (x - F.col("mx")) * F.col("w") + F.col("my")
+
+
+def pair_heads(df: DataFrame, keys: list[str], a: str, b: str, y: str, alpha: float) -> DataFrame:
+    """Two-feature ridge per key in closed form: columns keys, ``ma, mb, my, wa, wb``."""
+    n = F.count(F.lit(1))
+    m = df.groupBy(*keys).agg(
+        F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.avg(y).alias("my"), (F.var_pop(a) * n + alpha).alias("aa"),
+        (F.var_pop(b) * n + alpha).alias("bb"), (F.covar_pop(a, b) * n).alias("ab"), (F.covar_pop(a, y) * n).alias("ay"),
+        (F.covar_pop(b, y) * n).alias("by"))
+    det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
+    return m.select(*keys, "ma", "mb", "my", ((F.col("ay") * F.col("bb") - F.col("by") * F.col("ab")) / det).alias("wa"),
+                    ((F.col("by") * F.col("aa") - F.col("ay") * F.col("ab")) / det).alias("wb"))

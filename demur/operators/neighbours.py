@@ -12,13 +12,17 @@ BLOCK_ROWS = 20_000
 
 
 def _smallest(x: np.ndarray, fit: np.ndarray, k: int, step: int = 2048) -> np.ndarray:
-    """Squared distances to the k nearest fit rows, ascending; blocks of queries bound the memory."""
+    """Squared distances to the k nearest fit rows, ascending; blocks of queries bound the memory.
+
+    One matrix product finds the neighbours; their distances are then taken from differences, which is exact
+    where the expansion cancels (a row against itself).
+    """
     norms, out = (fit ** 2).sum(1), []
     k = min(k, len(fit))
     for i in range(0, len(x), step):
         q = x[i:i + step]
-        d2 = np.maximum(norms[None, :] - 2 * q @ fit.T + (q ** 2).sum(1)[:, None], 0)
-        out.append(np.sort(np.partition(d2, k - 1, axis=1)[:, :k], axis=1))
+        near = np.argpartition(norms[None, :] - 2 * q @ fit.T, k - 1, axis=1)[:, :k]
+        out.append(np.sort(((q[:, None, :] - fit[near]) ** 2).sum(2), axis=1))
     return np.vstack(out)
 
 

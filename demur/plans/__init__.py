@@ -1,4 +1,4 @@
-from . import q_boot, q_crossfit, q_curves, q_facts, q_ladder, q_ranges, q_sources, q_splits  # noqa: F401
+from . import q_boot, q_crossfit, q_curves, q_facts, q_gates, q_ladder, q_ranges, q_refits, q_sources, q_splits  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

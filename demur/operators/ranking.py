@@ -14,13 +14,14 @@ because a split point is a full ``(order columns)`` tuple.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from demur.functions.expr import half_even_k
 
-ROWS_PER_BUCKET = 4_000_000
+ROWS_PER_BUCKET = 2_000_000
 SAMPLES_PER_BUCKET = 20
 MAX_SAMPLE = 2_000_000
 _FAN = 64
@@ -37,7 +38,7 @@ def find_splits(df: DataFrame, keys: list[str], order: list[str],
                 rows_per_bucket: int | None = None) -> Splits | None:
     """Sample ordered split points for groups that need more than one bucket.
 
-    The sample is a fixed fraction of the rows (20 per bucket, 5 rows per million), so it needs no count first
+    The sample is a fixed fraction of the rows (20 per bucket, 10 rows per million), so it needs no count first
     and its size on the driver is checked. Returns None when every group is small.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
@@ -154,25 +155,39 @@ def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Da
     return left.join(right, [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()], how).drop(*other.values())
 
 
-def take_at(df: DataFrame, keys: list[str], order: list[str], targets: Column, values: dict[str, str],
+Target = tuple[Column, dict[str, Column]]
+
+
+def _hit(targets: list[Target], above: Column, upto: Column) -> Column:
+    """Does any wanted rank fall in (above, upto]? Plain comparisons, so it stays in generated code."""
+    return reduce(lambda x, y: x | y, [(k > above) & (k <= upto) for k, _ in targets])
+
+
+def _hits(targets: list[Target], above: Column, upto: Column) -> Column:
+    """The targets whose rank falls in (above, upto]."""
+    cells = F.array(*[F.struct(*[v.alias(f) for f, v in fields.items()], k.alias("k")) for k, fields in targets])
+    return F.filter(cells, lambda t: (t["k"] > above) & (t["k"] <= upto))
+
+
+def take_at(df: DataFrame, keys: list[str], order: list[str], targets: list[Target], values: dict[str, str],
             weight: str | None = None, splits: Splits | None = None) -> DataFrame:
     """Prefix sums at wanted ranks: one row per key group and target.
 
-    ``targets`` is an array of structs with a bigint field ``k``, written over the column ``n`` (the group's
-    total weight). Result columns: keys, the fields of the target struct, ``n``, one column per entry of
-    ``values`` (sum of the first ``k`` copies) and the order columns of the row that holds copy ``k``.
-    ``splits`` come from ``find_splits``; its keys may be a subset of ``keys``.
+    A target is a bigint rank, written over the column ``n`` (the group's total weight), and the columns that
+    name it. Result columns: keys, the target's columns, ``k``, ``n``, one column per entry of ``values`` (sum of
+    the first ``k`` copies) and the order columns of the row that holds copy ``k``. ``splits`` come from
+    ``find_splits``; its keys may be a subset of ``keys``.
     """
     w = F.col(weight) if weight else F.lit(1).cast("bigint")
     part = Window.partitionBy(*keys)
     if splits is None:
         ordered = part.orderBy(*_order_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
         rows = df.select(*keys, *order, w.alias("__m"), *[F.col(c).alias(f"__v_{n}") for n, c in values.items()])
-        rows = rows.select("*", F.sum("__m").over(part).alias("n"), F.sum("__m").over(ordered).alias("__w"),
+        rows = rows.select("*", F.sum("__m").over(ordered).alias("__w"),
                            *[F.sum(F.col("__m") * F.col(f"__v_{n}")).over(ordered).alias(f"__e_{n}")
                              for n in values])
-        rows = rows.withColumn("__hits", F.filter(
-            targets, lambda t: (t["k"] > F.col("__w") - F.col("__m")) & (t["k"] <= F.col("__w"))))
+        # The total after the running sums: it reuses their sort.
+        rows = rows.select("*", F.sum("__m").over(part).alias("n"))
     else:
         rows = with_bucket(df, splits.keys, order, splits)
         rows = rows.select(*keys, "__bucket", *order, w.alias("__m"),
@@ -183,27 +198,25 @@ def take_at(df: DataFrame, keys: list[str], order: list[str], targets: Column, v
         totals = totals.select(
             "*", F.sum("__bw").over(part).alias("n"), F.coalesce(F.sum("__bw").over(before), F.lit(0)).alias("__w0"),
             *[F.coalesce(F.sum(f"__bt_{n}").over(before), F.lit(0.0)).alias(f"__s_{n}") for n in values])
-        wanted = totals.withColumn("__want", F.filter(
-            targets, lambda t: (t["k"] > F.col("__w0")) & (t["k"] <= F.col("__w0") + F.col("__bw"))))
-        wanted = wanted.filter(F.size("__want") > 0).drop("__bw", *[f"__bt_{n}" for n in values])
+        wanted = totals.filter(_hit(targets, F.col("__w0"), F.col("__w0") + F.col("__bw"))).drop(
+            "__bw", *[f"__bt_{n}" for n in values])
         rows = _join_keys(rows, wanted, list(keys) + ["__bucket"])
         local = Window.partitionBy(*keys, "__bucket").orderBy(*_order_columns(order)).rowsBetween(
             Window.unboundedPreceding, 0)
         rows = rows.select("*", (F.sum("__m").over(local) + F.col("__w0")).alias("__w"),
                            *[(F.sum(F.col("__m") * F.col(f"__v_{n}")).over(local) + F.col(f"__s_{n}"))
                              .alias(f"__e_{n}") for n in values])
-        rows = rows.withColumn("__hits", F.filter(
-            "__want", lambda t: (t["k"] > F.col("__w") - F.col("__m")) & (t["k"] <= F.col("__w"))))
-    hit = rows.filter(F.size("__hits") > 0).withColumn("__t", F.explode("__hits"))
+    above = F.col("__w") - F.col("__m")
+    hit = rows.filter(_hit(targets, above, F.col("__w"))).withColumn(
+        "__t", F.explode(_hits(targets, above, F.col("__w"))))
     over = F.col("__w") - F.col("__t.k")
     return hit.select(*keys, "__t.*", "n",
                       *[(F.col(f"__e_{n}") - over * F.col(f"__v_{n}")).alias(n) for n in values], *order)
 
 
-def coverage_targets(coverages) -> Column:
-    """Targets ``(coverage, k)`` with the half-even kept count, over the column ``n``."""
-    return F.transform(F.array(*[F.lit(float(c)) for c in coverages]),
-                       lambda c: F.struct(c.alias("coverage"), half_even_k(c, F.col("n")).alias("k")))
+def coverage_targets(coverages) -> list[Target]:
+    """One target per coverage, at the half-even kept count."""
+    return [(half_even_k(F.lit(float(c)), F.col("n")), {"coverage": F.lit(float(c))}) for c in coverages]
 
 
 def conformal_rank(n: Column, alpha: float) -> Column:
@@ -221,7 +234,7 @@ def order_statistic(df: DataFrame, keys: list[str], value: str, alpha: float, na
     """The conformal quantile of ``value`` in each key group: columns keys, ``n``, ``k`` and ``name``."""
     keys = list(keys)
     counted = _counted(df, keys, value)
-    targets = F.array(F.struct(conformal_rank(F.col("n"), alpha).alias("k")))
+    targets = [(conformal_rank(F.col("n"), alpha), {})]
     splits = find_splits(df, keys, [value], rows_per_bucket)
     got = take_at(counted, keys, [value], targets, {}, weight="__c", splits=splits)
     return got.select(*keys, "n", "k", F.col(value).alias(name))
@@ -237,12 +250,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
     keys = list(keys)
     counted = _counted(df, keys, value)
     place = lambda p: (F.col("n") - 1) * p
-    both = F.flatten(F.transform(
-        F.array(*[F.lit(float(p)) for p in probs]),
-        lambda p: F.array(
-            F.struct(p.alias("prob"), F.lit(0).alias("side"), (F.floor(place(p)) + 1).cast("bigint").alias("k")),
-            F.struct(p.alias("prob"), F.lit(1).alias("side"),
-                     F.least(F.floor(place(p)) + 2, F.col("n")).cast("bigint").alias("k")))))
+    both = [t for p in probs for t in (
+        ((F.floor(place(F.lit(float(p)))) + 1).cast("bigint"), {"prob": F.lit(float(p)), "side": F.lit(0)}),
+        (F.least(F.floor(place(F.lit(float(p)))) + 2, F.col("n")).cast("bigint"), {"prob": F.lit(float(p)), "side": F.lit(1)}))]
     splits = find_splits(df, keys, [value], rows_per_bucket)
     got = take_at(counted, keys, [value], both, {}, weight="__c", splits=splits)
     ends = got.groupBy(*keys, "prob").agg(

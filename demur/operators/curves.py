@@ -57,9 +57,8 @@ def random_curve(rows: DataFrame, by: list[str] = (), loss: str = "err", coverag
     """The random refuser's expectation: the mean loss at every coverage. ``rows`` hold one gate only."""
     w = F.col(weight) if weight else F.lit(1).cast("bigint")
     flat = rows.groupBy(*by).agg(F.sum(w).alias("n"), (F.sum(w * F.col(loss)) / F.sum(w)).alias("risk"))
-    cells = [F.struct(c["coverage"].alias("coverage"), k.alias("k")) for k, c in coverage_targets(coverages)]
-    return flat.select(*by, F.lit("random").alias(gate), F.inline(F.array(*cells)), "risk").select(
-        *by, gate, "coverage", "k", "risk")
+    return coverage_targets(coverages).explode(flat).select(
+        *by, F.lit("random").alias(gate), "coverage", "k", "risk")
 
 
 def aurc(curves: DataFrame, by: list[str] = ("gate",)) -> DataFrame:

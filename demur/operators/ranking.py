@@ -14,7 +14,6 @@ because a split point is a full ``(order columns)`` tuple.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
@@ -155,28 +154,25 @@ def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Da
     return left.join(right, [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()], how).drop(*other.values())
 
 
-Target = tuple[Column, dict[str, Column]]
+@dataclass(frozen=True)
+class Targets:
+    """Wanted ranks: an array of structs that name them, and the rank as an expression over the fields of a
+    struct and ``n``, the group's total weight."""
+    cells: Column
+    k: Column
 
+    def explode(self, rows: DataFrame) -> DataFrame:
+        return rows.select("*", F.inline(self.cells)).withColumn("k", self.k.cast("bigint"))
 
-def _hit(targets: list[Target], above: Column, upto: Column) -> Column:
-    """Does any wanted rank fall in (above, upto]? Plain comparisons, so it stays in generated code."""
-    return reduce(lambda x, y: x | y, [(k > above) & (k <= upto) for k, _ in targets])
 
-
-def _hits(targets: list[Target], above: Column, upto: Column) -> Column:
-    """The targets whose rank falls in (above, upto]."""
-    cells = F.array(*[F.struct(*[v.alias(f) for f, v in fields.items()], k.alias("k")) for k, fields in targets])
-    return F.filter(cells, lambda t: (t["k"] > above) & (t["k"] <= upto))
-
-
-def take_at(df: DataFrame, keys: list[str], order: list[str], targets: list[Target], values: dict[str, str],
+def take_at(df: DataFrame, keys: list[str], order: list[str], targets: Targets, values: dict[str, str],
             weight: str | None = None, splits: Splits | None = None) -> DataFrame:
     """Prefix sums at wanted ranks: one row per key group and target.
 
-    A target is a bigint rank, written over the column ``n`` (the group's total weight), and the columns that
-    name it. Result columns: keys, the target's columns, ``k``, ``n``, one column per entry of ``values`` (sum of
-    the first ``k`` copies) and the order columns of the row that holds copy ``k``. ``splits`` come from
-    ``find_splits``; its keys may be a subset of ``keys``.
+    Result columns: keys, the target's fields, ``k``, ``n``, one column per entry of ``values`` (sum of the first
+    ``k`` copies) and the order columns of the row that holds copy ``k``. ``splits`` come from ``find_splits``; its
+    keys may be a subset of ``keys``. A row is matched with the targets by an explode and a filter, which is one
+    loop in generated code; testing all targets in one expression makes a method too long to compile.
     """
     w = F.col(weight) if weight else F.lit(1).cast("bigint")
     part = Window.partitionBy(*keys)
@@ -198,25 +194,25 @@ def take_at(df: DataFrame, keys: list[str], order: list[str], targets: list[Targ
         totals = totals.select(
             "*", F.sum("__bw").over(part).alias("n"), F.coalesce(F.sum("__bw").over(before), F.lit(0)).alias("__w0"),
             *[F.coalesce(F.sum(f"__bt_{n}").over(before), F.lit(0.0)).alias(f"__s_{n}") for n in values])
-        wanted = totals.filter(_hit(targets, F.col("__w0"), F.col("__w0") + F.col("__bw"))).drop(
-            "__bw", *[f"__bt_{n}" for n in values])
+        wanted = targets.explode(totals).filter("k > __w0 AND k <= __w0 + __bw").select(
+            *keys, "__bucket", "n", "__w0", *[f"__s_{n}" for n in values]).distinct()
         rows = _join_keys(rows, wanted, list(keys) + ["__bucket"])
         local = Window.partitionBy(*keys, "__bucket").orderBy(*_order_columns(order)).rowsBetween(
             Window.unboundedPreceding, 0)
         rows = rows.select("*", (F.sum("__m").over(local) + F.col("__w0")).alias("__w"),
                            *[(F.sum(F.col("__m") * F.col(f"__v_{n}")).over(local) + F.col(f"__s_{n}"))
                              .alias(f"__e_{n}") for n in values])
-    above = F.col("__w") - F.col("__m")
-    hit = rows.filter(_hit(targets, above, F.col("__w"))).withColumn(
-        "__t", F.explode(_hits(targets, above, F.col("__w"))))
-    over = F.col("__w") - F.col("__t.k")
-    return hit.select(*keys, "__t.*", "n",
+    hit = targets.explode(rows).filter("k > __w - __m AND k <= __w")
+    over = F.col("__w") - F.col("k")
+    fields = [c for c in hit.columns if c not in rows.columns]
+    return hit.select(*keys, *fields, "n",
                       *[(F.col(f"__e_{n}") - over * F.col(f"__v_{n}")).alias(n) for n in values], *order)
 
 
-def coverage_targets(coverages) -> list[Target]:
+def coverage_targets(coverages) -> Targets:
     """One target per coverage, at the half-even kept count."""
-    return [(half_even_k(F.lit(float(c)), F.col("n")), {"coverage": F.lit(float(c))}) for c in coverages]
+    cells = F.array(*[F.struct(F.lit(float(c)).alias("coverage")) for c in coverages])
+    return Targets(cells, half_even_k(F.col("coverage"), F.col("n")))
 
 
 def conformal_rank(n: Column, alpha: float) -> Column:
@@ -234,7 +230,7 @@ def order_statistic(df: DataFrame, keys: list[str], value: str, alpha: float, na
     """The conformal quantile of ``value`` in each key group: columns keys, ``n``, ``k`` and ``name``."""
     keys = list(keys)
     counted = _counted(df, keys, value)
-    targets = [(conformal_rank(F.col("n"), alpha), {})]
+    targets = Targets(F.array(F.struct(F.lit(float(alpha)).alias("alpha"))), conformal_rank(F.col("n"), alpha))
     splits = find_splits(df, keys, [value], rows_per_bucket)
     got = take_at(counted, keys, [value], targets, {}, weight="__c", splits=splits)
     return got.select(*keys, "n", "k", F.col(value).alias(name))
@@ -250,9 +246,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
     keys = list(keys)
     counted = _counted(df, keys, value)
     place = lambda p: (F.col("n") - 1) * p
-    both = [t for p in probs for t in (
-        ((F.floor(place(F.lit(float(p)))) + 1).cast("bigint"), {"prob": F.lit(float(p)), "side": F.lit(0)}),
-        (F.least(F.floor(place(F.lit(float(p)))) + 2, F.col("n")).cast("bigint"), {"prob": F.lit(float(p)), "side": F.lit(1)}))]
+    both = Targets(
+        F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.lit(side).alias("side")) for p in probs for side in (0, 1)]),
+        F.least(F.floor(place(F.col("prob"))) + 1 + F.col("side"), F.col("n")))
     splits = find_splits(df, keys, [value], rows_per_bucket)
     got = take_at(counted, keys, [value], both, {}, weight="__c", splits=splits)
     ends = got.groupBy(*keys, "prob").agg(

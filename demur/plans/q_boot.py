@@ -75,8 +75,8 @@ cte("boot_aurc", """SELECT b, gate, sum((coverage - pc)*(risk + pr)/2)/(max(cove
         WINDOW w AS (PARTITION BY b, gate ORDER BY coverage)) GROUP BY b, gate""", "boot_curve")
 
 
-def boot_curves(spark, sf):
-    return replicated_curves(gate_rows(spark, sf), mult(spark, sf, with_point=True), like=GATES[0])
+def boot_curves(spark, sf, replicates=B):
+    return replicated_curves(gate_rows(spark, sf), mult(spark, sf, with_point=True, replicates=replicates), like=GATES[0])
 
 
 @query("curve_bootstrap", with_ctes("""SELECT gate, coverage, round(max(risk) FILTER (WHERE b = 0), 4) AS risk,
@@ -194,9 +194,10 @@ def pairwise_gates(spark, sf):
     round(diff, 4) AS diff, round(lo, 4) AS lo, round(hi, 4) AS hi, round(p, 6) AS p, round(p_holm, 6) AS p_holm,
     round(aurc, 4) AS aurc FROM ci LEFT JOIN holm USING (gate, coverage)
     JOIN (SELECT gate, aurc FROM boot_aurc WHERE b = 0) USING (gate)""", "boot_curve", "holm", "boot_aurc"))
-def eval_block(spark, sf):
+def eval_block(spark, sf, replicates=B):
+    """Curves, intervals, paired tests and areas of every gate from one table of replicated curves."""
     from demur.sources.staging import stage
-    curves = stage(boot_curves(spark, sf), "curves")
+    curves = stage(boot_curves(spark, sf, replicates), "curves")
     rep = F.when(F.col("b") > 0, F.col("risk"))
     ci = curves.withColumn("_r", rep).groupBy("gate", "coverage").agg(
         F.max(F.when(F.col("b") == 0, F.col("risk"))).alias("risk"),

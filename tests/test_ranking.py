@@ -97,3 +97,20 @@ def test_session_gap_is_strict_and_bucketed_path_agrees(spark):
         assert (a["session"] == b["session"]).all()
         x, y = frame(with_gap(big, "t", "id", keys, rows_per_bucket=60), ["id"]), frame(with_gap(big, "t", "id", keys), ["id"])
         np.testing.assert_allclose(x["gap"], y["gap"])
+
+
+@pytest.mark.parametrize("strata", [[], ["band"]])
+def test_replicated_curves_equal_weighted_windows(rows, strata):
+    from demur.operators.replicate import kept_by_replicate
+    from demur.operators.resample import multiplicities
+    r = rows.withColumnsRenamed({"g": "gate", "s": "score", "v": "err"}).withColumn("band", F.col("id") % 3).withColumn(
+        "cluster", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 40)).drop("m")
+    mult = multiplicities(r.select("cluster"), 7, with_point=True).persist()
+    keys = ["gate", *strata]
+    t = ranking.coverage_targets([1.0, 0.9, 0.5, 0.1])
+    want = frame(ranking.take_at(r.join(mult, "cluster"), ["b", *keys], ["score", "id"], t, {"kept": "err"}, weight="m"), ["b", *keys, "coverage"])
+    for size in (None, 120):
+        got = frame(kept_by_replicate(r, mult, keys, "score", "err", "id", [1.0, 0.9, 0.5, 0.1], batch=3, rows_per_bucket=size),
+                    ["b", *keys, "coverage"])
+        assert len(got) == len(want) and (got["k"] == want["k"]).all()
+        np.testing.assert_allclose(got["kept"], want["kept"])

@@ -16,7 +16,7 @@ DRAWS = 20
 
 @query("ingredient_priors", with_ctes("SELECT name, round(density, 4) AS density, typical FROM vocab", "vocab"))
 def ingredient_priors(spark, sf):
-    return vocab(lines(spark, sf)).select("name", F.round("density", 4).alias("density"), "typical")
+    return vocab(spark, sf).select("name", F.round("density", 4).alias("density"), "typical")
 
 
 cte("globals", "SELECT median(truth/mass) AS gd, avg(truth) AS gm FROM items WHERE role = 'fit'", "items")
@@ -30,7 +30,7 @@ cte("ladder", """SELECT i.id, i.truth, i.mass, i.role, gm AS "O0", mass*globals.
 def test_ladder(spark, sf):
     ln, it = lines(spark, sf), items(spark, sf)
     density, mean = global_priors(it.filter("role = 'fit'"))
-    return ladder(ln.filter("role = 'test'"), it.filter("role = 'test'"), vocab(ln), density, mean)
+    return ladder(ln.filter("role = 'test'"), it.filter("role = 'test'"), vocab(spark, sf), density, mean)
 
 
 @query("oracle_ladder", with_ctes("SELECT id, " + ", ".join(f'round("{r}", 3) AS "{r}"' for r in RUNGS).replace(
@@ -70,12 +70,12 @@ cte("mc_draws", f"""SELECT id, rep, d, t, coalesce(p.density, 0) AS pd, p.typica
       FROM g JOIN items i ON i.id = g.id, globals GROUP BY m, p, rep)
   SELECT m AS mass_err, p AS name_err, round(avg(mae), 3) AS mae FROM e GROUP BY m, p""", "mc_draws", "items", "globals"))
 def mc_lookup_error(spark, sf):
-    ln, it = lines(spark, sf), items(spark, sf)
+    it = items(spark, sf)
     _, mean = global_priors(it.filter("role = 'fit'"))
     test = it.filter("role = 'test'")
     parts = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("name"), "l_linenumber", "l_quantity", "l_extendedprice")
     parts = running(parts.join(test.select("id"), "id", "left_semi"),
                     ["l_linenumber", "name", "l_quantity", "l_extendedprice"], ["id"], rank="pos")
-    got = perturbed_errors(parts, test, vocab(ln), mean, SCENARIOS, DRAWS, "pos")
+    got = perturbed_errors(parts, test, vocab(spark, sf), mean, SCENARIOS, DRAWS, "pos")
     return got.withColumn("mae", F.round("mae", 3))

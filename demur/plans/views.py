@@ -56,9 +56,10 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     return sums.join(entities(spark, sf), "id")
 
 
-def vocab(line_rows: DataFrame) -> DataFrame:
-    """Median amount per unit and median quantity of every name, from fit lines only."""
-    return priors(line_rows.filter("role = 'fit'"), "name", "grams", "amount")
+def vocab(spark: SparkSession, sf: str) -> DataFrame:
+    """Median amount per unit and median quantity of every name, from fit lines only; learned once."""
+    return stage_once(spark, f"{sf}:vocab", lambda: priors(
+        lines(spark, sf).filter("role = 'fit'"), "name", "grams", "amount"))
 
 
 cte("ents", f"""SELECT o_orderkey AS id, o_custkey AS cluster, o_orderdate AS ts,
@@ -75,9 +76,9 @@ cte("vocab", """SELECT name, floor(median(amount/grams) FILTER (WHERE grams > 0)
 _VISIBLE = {"clean": "true", "no_returns": "l_returnflag <> 'R'", "closed_only": "l_linestatus = 'F'"}
 
 
-def _conditional_predictions(line_rows: DataFrame) -> DataFrame:
+def _conditional_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """One pass over the lines: per order and condition, what the predictor sees and says."""
-    priced = (line_rows.join(vocab(line_rows), "name", "left")
+    priced = (lines(spark, sf).join(vocab(spark, sf), "name", "left")
               .withColumn("p", F.col("grams") * F.coalesce("density", F.lit(0.0)))
               .withColumn("g", F.coalesce("typical", F.lit(0.0))))
     aggs = [F.round(F.sum("amount"), 2).alias("truth"), F.sum("grams").alias("mass_true")]
@@ -101,7 +102,7 @@ def unit_price() -> Column:
 
 
 def _fact(spark: SparkSession, sf: str) -> DataFrame:
-    base = _conditional_predictions(lines(spark, sf)).withColumn(
+    base = _conditional_predictions(spark, sf).withColumn(
         "err", F.round(F.abs(F.col("pred") - F.col("truth")), 4))
     base = stage_once(spark, f"{sf}:base", lambda: base.withColumn("x_unit", unit_price()))
     clean = base.filter("condition = 'clean'")

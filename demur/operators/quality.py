@@ -85,7 +85,9 @@ def measure(images: DataFrame, metrics: dict[str, Callable] = METRICS) -> DataFr
             rows.append([float(f(gray, rgb)) for f in functions])
         return pd.DataFrame(rows, columns=names)
 
-    return images.select("*", values("height", "width", "data").alias("_m")).select("*", "_m.*").drop("_m")
+    # The Arrow transfer turns NaN into null; an undefined metric stays NaN.
+    measured = images.select("*", values("height", "width", "data").alias("_m"))
+    return measured.select("*", *[F.coalesce(f"_m.{n}", F.lit(float("nan"))).alias(n) for n in names]).drop("_m")
 
 
 def response(measured: DataFrame, by: list[str], metrics: list[str] | None = None) -> DataFrame:

@@ -67,7 +67,7 @@ def fit(df: DataFrame, x: str, y: str, tau: float, sample_rows: int = SAMPLE_ROW
     if n <= sample_rows:
         p = rows.toPandas()
         return solve(p["x"].to_numpy(), p["y"].to_numpy(), tau)
-    p = rows.sample(fraction=min(1.0, sample_rows / n), seed=11).limit(2 * sample_rows).toPandas()
+    p = rows.sample(fraction=min(1.0, sample_rows / n), seed=11).toPandas()
     a, b = solve(p["x"].to_numpy(), p["y"].to_numpy(), tau)
     res = np.sort(p["y"].to_numpy() - a - b * p["x"].to_numpy())
     half = max(0.01, 3.0 / np.sqrt(len(res)))

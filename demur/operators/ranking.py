@@ -38,12 +38,13 @@ def find_splits(df: DataFrame, keys: list[str], order: list[str],
     """Sample ordered split points for groups that need more than one bucket.
 
     The sample is a fixed fraction of the rows (20 per bucket, 10 rows per million), so it needs no count first
-    and its size on the driver is checked. Returns None when every group is small.
+    and stays near a million rows for 100 billion. One job without a limit: a limited collect would visit the
+    partitions in several rounds. Returns None when every group is small.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
     step, columns = SAMPLES_PER_BUCKET, list(keys) + list(order)
     picked = df.select(*columns)
-    sample = picked.sample(fraction=min(1.0, step / rows_per_bucket), seed=7).limit(MAX_SAMPLE + 1).collect()
+    sample = picked.sample(fraction=min(1.0, step / rows_per_bucket), seed=7).collect()
     if len(sample) > MAX_SAMPLE:
         raise ValueError(f"more than {MAX_SAMPLE} sampled rows; raise rows_per_bucket")
     groups: dict[tuple, list[tuple]] = {}

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, licences, tokens
-from .common import table
+from . import chat, decontam, language, licences, quality, tokens
+from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,10 +64,10 @@ def licence_scan(spark: SparkSession, sf: str) -> DataFrame:
 OP4_SQL = r"""
 WITH cut AS (
   SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
   UNION ALL
   SELECT 'b', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') FROM benchmark),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') FROM benchmark),
 bench AS (
   SELECT DISTINCT id AS item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, p, p + least(len(w), 10) - 1), ' ') AS gram
   FROM (SELECT id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM cut WHERE kind = 'b' AND len(w) > 0)),
@@ -126,3 +126,18 @@ def chat_format(spark: SparkSession, sf: str) -> DataFrame:
         *[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(PROBE_TEXT).alias("text"))
           for i, role in enumerate(("user", "assistant"))])).alias("t")).select("t.*")
     return chat.digests(chat.format_conversations(turns.unionByName(probe)))
+
+
+@query("op3_quality")
+def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    scored = quality.score(docs, quality.learn(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         F.when(F.col("score") >= quality.KEEP_FROM, 1).otherwise(0).alias("predicted"))
+
+
+@query("op8_language")
+def languages(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = language.identify(docs, language.learn_dictionaries(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

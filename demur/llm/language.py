@@ -4,12 +4,13 @@ Every language gets one zstandard raw-content dictionary: the distinct words of
 widespread last, cut at ``DICTIONARY_BYTES``. A text is reduced to its distinct lower-case words in order (a
 repeated word compresses to nothing whatever the language), and the words are compressed in blocks with every dictionary; block sizes
 add up, so the whole text counts. The smallest total wins. Where the gap to the next language is under ``NARROW`` of it, the
-prediction is rejected.
+prediction is rejected, provided that the words fill ``EVIDENCE_BYTES``: shorter texts often show no gap at all. Ties go to
+the language with more documents.
 
 Learned from: ``SAMPLE_PER_LANGUAGE`` documents of every language outside the held-out fold, those of the smallest id hashes.
 
 Rows: a null text, and one without a letter, is ``und`` with score 0 and rejected; documents with a null language are predicted but
-never learned from; ties go to the language that sorts first and are rejected; repeated rows give repeated rows; with
+never learned from; repeated rows give repeated rows; with
 no learnable document every text is ``und``; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -28,8 +29,9 @@ from .common import held_out, sample_per_class
 SAMPLE_PER_LANGUAGE = 1500
 DICTIONARY_BYTES = 160_000
 BLOCK_BYTES = 4096
-LEVEL = 3
+LEVEL = 6
 NARROW = 0.003
+EVIDENCE_BYTES = 400
 UNKNOWN = "und"
 _not_letters = re.compile(r"[\W\d_]+").sub
 
@@ -39,7 +41,7 @@ def distinct_words(text: str | None) -> list[str]:
 
 
 def learn_dictionaries(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """language -> dictionary. Words are counted per language on the executors; the driver gets those that fit a dictionary."""
+    """language -> dictionary, languages with most documents first. Words are counted per language on the executors; the driver gets those that fit a dictionary."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     chosen = sample_per_class(known.select("doc_id", "lang"), "lang", "doc_id", per_language)
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
@@ -59,7 +61,8 @@ def learn_dictionaries(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE,
     out: dict[str, list[str]] = {}
     for row in kept:
         out.setdefault(row["lang"], []).append(row["word"])
-    return {lang: " ".join(reversed(found)).encode() for lang, found in sorted(out.items())}
+    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("lang").isin(*out)).collect()} if out else {}
+    return {lang: " ".join(reversed(out[lang])).encode() for lang in sorted(out, key=lambda x: (-rows[x], x))}
 
 
 class Classifier:
@@ -73,21 +76,19 @@ class Classifier:
             known.precompute_compress(LEVEL)
             self.compress.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False).compress)
 
-    def sizes(self, text: str | None) -> list[int] | None:
-        data = " ".join(distinct_words(text)).encode()
-        if not data or not self.langs:
-            return None
+    def sizes(self, data: bytes) -> list[int]:
         blocks = [data[i:i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
         return [sum(len(c(b)) for b in blocks) for c in self.compress]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (share of the winner when a byte of difference counts as a factor e), rejected."""
-        sizes = self.sizes(text)
-        if sizes is None:
+        data = " ".join(distinct_words(text)).encode()
+        if not data or not self.langs:
             return UNKNOWN, 0.0, True
+        sizes = self.sizes(data)
         order = np.argsort(sizes, kind="stable")
         best = sizes[order[0]]
-        narrow = len(order) > 1 and sizes[order[1]] - best < NARROW * sizes[order[1]]
+        narrow = len(data) >= EVIDENCE_BYTES and len(order) > 1 and sizes[order[1]] - best < NARROW * sizes[order[1]]
         return self.langs[order[0]], float(1 / np.exp(best - np.array(sizes, float)).sum()), bool(narrow)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, language, licences, neardup, quality, tokens
+from . import chat, decontam, language, licences, neardup, pages, quality, tokens
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,3 +162,8 @@ FROM cut c LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(other) AS c
 @query("op5_near_duplicates", OP5_SQL)
 def near_duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents"), k=3, percent=85)
+
+
+@query("op10_main_text")
+def main_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.main_text(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))

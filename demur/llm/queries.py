@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, language, licences, neardup, pages, quality, tokens
+from . import chat, decontam, language, licences, neardup, pages, quality, tokens, vectors
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,3 +167,8 @@ def near_duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_main_text")
 def main_texts(spark: SparkSession, sf: str) -> DataFrame:
     return pages.main_text(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op6_nearest")
+def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.search(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)

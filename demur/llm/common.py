@@ -36,3 +36,33 @@ def sample_per_class(df: DataFrame, label: str, key: str, per_class: int) -> Dat
             .select(key, label, "draw"))
     ranked = near.selectExpr("*", f"row_number() OVER (PARTITION BY {label} ORDER BY draw, {key}) AS place")
     return ranked.where(F.col("place") <= per_class).select(key, label)
+
+
+def map_text(df: DataFrame, keep: list[str], run, results: str) -> DataFrame:
+    """``keep`` columns of ``df`` beside what ``run`` makes of each array of texts: columns by the names and types of ``results``.
+
+    Columns travel by position, so that a kept column may have the name of a result; it then stands first.
+    """
+    inside = [f"kept {i}" for i in range(len(keep))]
+    passed = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(keep, inside)], F.col("text").alias("text to read"))
+    made = [r.strip().split(" ") for r in results.split(",")]
+
+    def whole(batches):
+        import pyarrow as pa
+        for batch in batches:
+            columns = [batch.column(i) for i in range(len(inside))] + run(batch.column(len(inside)))
+            yield pa.RecordBatch.from_arrays(columns, names=inside + [f"made {n}" for n, _ in made])
+
+    schema = ", ".join([f"`{i}` {f.dataType.simpleString()}" for i, f in zip(inside, passed.schema)] + [f"`made {n}` {t}" for n, t in made])
+    out = passed.mapInArrow(whole, schema)
+    return out.select(*[F.col(f"`{i}`").alias(c) for c, i in zip(keep, inside)], *[F.col(f"`made {n}`").alias(n) for n, _ in made])
+
+
+#: Ids that may be broadcast to drop their rows, 8 bytes each.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows of ``ids``; rows with a null key stay. ``ids`` is a written table; it is broadcast where its count allows."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, key, "left_anti")

@@ -17,6 +17,7 @@ no learnable document every text is ``und``; an empty table gives no rows; extra
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, sample_per_class
+from .common import held_out, map_text, sample_per_class
 
 SAMPLE_PER_LANGUAGE = 1500
 DICTIONARY_BYTES = 160_000
@@ -95,20 +96,16 @@ class Classifier:
 _built: dict[str, Classifier] = {}
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """doc_id, lang_pred, score, rejected of every document."""
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, lang_pred, score and rejected of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    key = str(id(shared)) + str(len(dictionaries))
+    key = uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> list[pa.Array]:
         if key not in _built:
             _built.clear()
             _built[key] = Classifier(shared.value)
-        model = _built[key]
-        for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
-                 pa.array([f[2] for f in found], pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
+        found = [_built[key].predict(t.as_py()) for t in texts]
+        return [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return map_text(docs, list(keep), run, "lang_pred string, score double, rejected boolean")

@@ -31,7 +31,7 @@ from demur.sources.staging import stage
 from .components import components
 
 TREES, DEPTH, SHALLOW = 16, 8, 4
-REGION, BLOCK = 64, 1024
+REGION, BLOCK = 64, 256
 #: How far below the threshold an estimate from the signature may lie: four standard deviations of 128 minima.
 REACH = 0.13
 CHUNK_BYTES = 2_000_000
@@ -332,7 +332,7 @@ def confirm(docs: DataFrame, candidates: DataFrame, k: int, percent: int) -> Dat
     return first.union(_compared(inside.union(meeting), ["component", "block", "chunk"], percent))
 
 
-ANCHORS = 64
+ANCHORS = 32
 #: Class ids that may be broadcast, 24 bytes each.
 BROADCAST_ROWS = 1_000_000
 

@@ -17,6 +17,7 @@ either label the score is the share of label 1 (0.5 without labels); an empty ta
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from demur.sources.staging import stage
 
-from .common import held_out, sample_per_class
+from .common import held_out, map_text, sample_per_class
 
 SAMPLE_PER_LABEL = 2000
 VOCABULARY = 20_000
@@ -227,18 +228,17 @@ def probability(model: Model, pooled: np.ndarray) -> np.ndarray:
 _poolers: dict[str, Pooler] = {}
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and the probability of label 1 of every document."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns and ``score``, the probability of label 1, of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = f"{id(shared)}-{len(model.vocabulary)}"
+    key = uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> list[pa.Array]:
         if key not in _poolers:
             _poolers.clear()
             _poolers[key] = Pooler(shared.value.vocabulary)
         pooler = _poolers[key]
-        for batch in batches:
-            vectors = np.array([pooler.pool(t.as_py()) for t in batch.column(1)], float).reshape(-1, DIM)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probability(shared.value, vectors), pa.float64())], names=["doc_id", "score"])
+        vectors = np.array([pooler.pool(t.as_py()) for t in texts], float).reshape(-1, DIM)
+        return [pa.array(probability(shared.value, vectors), pa.float64())]
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return map_text(docs, list(keep), run, "score double")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, language, licences, neardup, pages, quality, tokens, vectors
+from . import chat, decontam, language, licences, neardup, pages, pieces, quality, tokens, vectors
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,3 +172,17 @@ def main_texts(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_nearest")
 def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.search(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op9_pieces")
+def piece_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every whole text, and whether they decode to it."""
+    import public_tokenizers
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    text_key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    docs = table(spark, sf, "documents").select("doc_id", "text", text_key.alias("text_sha256"))
+    encoded = pieces.encode(docs, path, ("doc_id", "text_sha256"))
+    ids = F.concat_ws(",", F.transform("pieces", lambda x: x.cast("string")))
+    named = encoded.select("doc_id", "text_sha256", "pieces", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(ids.cast("binary"), 256).alias("pieces_sha256"))
+    back = pieces.decode(named, path, ("doc_id", "n_pieces", "pieces_sha256", "text_sha256"))
+    return back.select("doc_id", "n_pieces", "pieces_sha256", (F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")).alias("round_trip"))

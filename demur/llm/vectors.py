@@ -57,16 +57,22 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def cells_in_order(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of positions by rising sum of two distance arrays."""
+    """Pairs of positions by rising sum of two distance arrays.
+
+    The heap holds the next pair of every row met so far; a row is met when the first pair of the row before it is taken.
+    """
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap, met = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}
+    rows, columns, da, db = a.tolist(), b.tolist(), first[a].tolist(), second[b].tolist()
+    heap, wide = [(da[0] + db[0], 0, 0)], len(db)
     while heap:
-        _, i, j = heapq.heappop(heap)
-        yield int(a[i]), int(b[j])
-        for i2, j2 in ((i + 1, j), (i, j + 1)):
-            if i2 < len(a) and j2 < len(b) and (i2, j2) not in met:
-                met.add((i2, j2))
-                heapq.heappush(heap, (first[a[i2]] + second[b[j2]], i2, j2))
+        _, i, j = heap[0]
+        yield rows[i], columns[j]
+        if j + 1 < wide:
+            heapq.heapreplace(heap, (da[i] + db[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if j == 0 and i + 1 < len(da):
+            heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -120,10 +126,12 @@ def search(vectors: DataFrame, is_query: Column, k: int, share: float = SHARE, l
     size = int(np.clip(round(np.sqrt(n)), LEAST_CENTROIDS, MOST_CENTROIDS))
     books = spark.sparkContext.broadcast((kmeans(x[:, :half], size), kmeans(x[:, half:], size)))
 
+    wide_x = x.shape[1]
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = books.value
         for batch in batches:
-            m = _matrix(batch.column(1)) if len(batch) else np.zeros((0, x.shape[1]))
+            m = _matrix(batch.column(1)) if len(batch) else np.zeros((0, wide_x))
             m = m / np.linalg.norm(m, axis=1)[:, None]
             cell = nearest(m[:, :half], first) * len(second) + nearest(m[:, half:], second)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int64())], names=["copy_of", "embedding", "cell"])
@@ -144,16 +152,16 @@ def search(vectors: DataFrame, is_query: Column, k: int, share: float = SHARE, l
     asking = entries.join(asked.select("copy_of").distinct(), "copy_of", "left_semi")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = books.value
+        (first, second), inside_of = books.value, held.value.get
         for batch in batches:
-            m = _matrix(batch.column(1)) if len(batch) else np.zeros((0, x.shape[1]))
+            m = _matrix(batch.column(1)) if len(batch) else np.zeros((0, wide_x))
             u = m / np.linalg.norm(m, axis=1)[:, None]
             d1, d2 = distances(u[:, :half], first), distances(u[:, half:], second)
             for i, copy_of in enumerate(batch.column(0).to_pylist()):
                 wanted: dict[int, list[int]] = {}
                 met = 0
                 for a, b in cells_in_order(d1[i], d2[i]):
-                    inside = held.value.get(a * wide + b, 0)
+                    inside = inside_of(a * wide + b, 0)
                     if inside:
                         wanted.setdefault(a, []).append(b)
                         met += inside

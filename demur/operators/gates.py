@@ -10,14 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from demur.functions.draws import uniform
 
-from .neighbours import knn_distance
+from .neighbours import K, broadcast_fit, knn_distance, nearest_squares
 from .ranking import running
 from .stats import EPSILON, Stats, _matrix, gram, pick_alpha
 
 # Heads of the ensemble and the gates the blend reads.
 ENSEMBLE = 32
 BLENDED = ["mahalanobis", "knn_dist", "ensemble_spread", "learned_error"]
-MODEL_GATES = BLENDED + ["blend", "pred_magnitude"]
 
 
 def row_multiplicities(rows: DataFrame, ident: str, replicates: int = ENSEMBLE, seed: int = 760,
@@ -38,7 +37,7 @@ def row_multiplicities(rows: DataFrame, ident: str, replicates: int = ENSEMBLE,
 
 @dataclass
 class FittedGates:
-    """Parameters only (d-sized arrays); scoring is a projection over any feature table."""
+    """Parameters (d-sized arrays) and the fit set; scoring is a projection over any feature table."""
     mean: np.ndarray
     scale: np.ndarray
     alphas: list[float]
@@ -56,6 +55,7 @@ class FittedGates:
     x: str
     ident: str
     blend: tuple | None = None
+    _held: tuple | None = None
 
     def model_scores(self, x: Column) -> Column:
         """Struct of predictions and linear gates, computed in one pass over the features."""
@@ -63,27 +63,40 @@ class FittedGates:
         heads, icpt, ens, ec, ei = self.heads, self.intercepts, self.ensemble, self.ensemble_centre, self.ensemble_intercepts
         eh, ecen, eint = self.error_head, self.error_centre, self.error_intercept
         names = [f"pred{i}" for i in range(heads.shape[1])]
+        held = self.held_fit_set()
+        made = names + ["mahalanobis", "ensemble_spread", "learned_error"] + ["knn_dist"] * (held is not None)
 
-        @F.pandas_udf(", ".join(f"{n} double" for n in names + ["mahalanobis", "ensemble_spread", "learned_error"]))
+        @F.pandas_udf(", ".join(f"{n} double" for n in made))
         def score(v: pd.Series) -> pd.DataFrame:
             if not len(v):
-                return pd.DataFrame({n: [] for n in names + ["mahalanobis", "ensemble_spread", "learned_error"]})
+                return pd.DataFrame({n: [] for n in made})
             z = (_matrix(v) - mean) / scale
             out = dict(zip(names, (z @ heads + icpt).T))
             out["mahalanobis"] = np.sqrt((((z @ directions) ** 2) / variances).sum(1))
             each = np.column_stack([(z - ec[b]) @ ens[:, b] + ei[b] for b in range(ens.shape[1])])
             out["ensemble_spread"] = each.std(1)
             out["learned_error"] = (z - ecen) @ eh + eint
+            if held is not None:
+                out["knn_dist"] = np.sqrt(nearest_squares(z, held.value, K)).mean(1)
             return pd.DataFrame(out)
 
         return score(x)
 
+    def held_fit_set(self):
+        """The fit set as one broadcast matrix where its size is under the limit, else None; made once."""
+        if self._held is None:
+            self._held = (broadcast_fit(self.fit_set, "z"),)
+        return self._held[0]
+
     def score(self, rows: DataFrame) -> DataFrame:
-        """Add ``pred<i>`` and all model gates."""
-        mean, scale = self.mean, self.scale
+        """Add ``pred<i>`` and all model gates, one row per row of ``rows``: an id may have several conditions."""
         scored = rows.select("*", self.model_scores(F.col(self.x)).alias("_g")).select("*", "_g.*").drop("_g")
-        near = knn_distance(_scaled(rows, self.x, self.ident, mean, scale), self.fit_set, "z", self.ident)
-        out = scored.join(near, self.ident).withColumn("pred_magnitude", F.col("pred0"))
+        if self.held_fit_set() is None:
+            # Rows of one id differ in their features, and the pair is the key of a distance.
+            keyed = scored.withColumn("_key", F.struct(F.col(self.ident), F.xxhash64(self.x)))
+            queries = _scaled(keyed.dropDuplicates(["_key"]), self.x, "_key", self.mean, self.scale)
+            scored = keyed.join(knn_distance(queries, self.fit_set, "z", "_key"), "_key").drop("_key")
+        out = scored.withColumn("pred_magnitude", F.col("pred0"))
         if self.blend is None:
             return out
         centre, w, c = self.blend

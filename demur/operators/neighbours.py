@@ -11,7 +11,7 @@ BROADCAST_BYTES = 256 << 20
 BLOCK_ROWS = 20_000
 
 
-def _smallest(x: np.ndarray, fit: np.ndarray, k: int, step: int = 2048) -> np.ndarray:
+def nearest_squares(x: np.ndarray, fit: np.ndarray, k: int, step: int = 2048) -> np.ndarray:
     """Squared distances to the k nearest fit rows, ascending; blocks of queries bound the memory.
 
     One matrix product finds the neighbours; their distances are then taken from differences, which is exact
@@ -30,6 +30,14 @@ def _stack(s: pd.Series) -> np.ndarray:
     return np.vstack(s.to_numpy()).astype(np.float64)
 
 
+def broadcast_fit(fit: DataFrame, x: str, limit: int = BROADCAST_BYTES):
+    """The fit rows as one broadcast matrix if it is not larger than ``limit`` bytes, else None."""
+    first = fit.select(x).first()
+    if first is None or fit.count() * len(first[0]) * 8 > limit:
+        return None
+    return fit.sparkSession.sparkContext.broadcast(_stack(fit.select(x).toPandas()[x]))
+
+
 def knn_distance(queries: DataFrame, fit: DataFrame, x: str, ident: str, k: int = K,
                  broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Columns ``ident`` and ``knn_dist``.
@@ -38,17 +46,14 @@ def knn_distance(queries: DataFrame, fit: DataFrame, x: str, ident: str, k: int
     (query block, fit block) pair is one task that keeps k distances per query, and the k smallest of all
     blocks are the exact answer.
     """
-    dims = len(fit.select(x).first()[0])
-    n = fit.count()
-    if n * dims * 8 <= broadcast_bytes:
-        held = queries.sparkSession.sparkContext.broadcast(_stack(fit.select(x).toPandas()[x]))
-
+    held = broadcast_fit(fit, x, broadcast_bytes)
+    if held is not None:
         @F.pandas_udf("double")
         def distance(v: pd.Series) -> pd.Series:
-            return pd.Series(np.sqrt(_smallest(_stack(v), held.value, k)).mean(1)) if len(v) else pd.Series([], dtype=float)
+            return pd.Series(np.sqrt(nearest_squares(_stack(v), held.value, k)).mean(1)) if len(v) else pd.Series([], dtype=float)
 
         return queries.select(ident, distance(F.col(x)).alias("knn_dist"))
-    return _by_blocks(queries, fit, x, ident, k, n, block_rows)
+    return _by_blocks(queries, fit, x, ident, k, fit.count(), block_rows)
 
 
 def _by_blocks(queries: DataFrame, fit: DataFrame, x: str, ident: str, k: int, n: int, block_rows: int) -> DataFrame:
@@ -64,7 +69,7 @@ def _by_blocks(queries: DataFrame, fit: DataFrame, x: str, ident: str, k: int, n
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "d2": []})
-        return pd.DataFrame({"id": left["id"].to_numpy(), "d2": list(_smallest(_stack(left["x"]), _stack(right["x"]), k))})
+        return pd.DataFrame({"id": left["id"].to_numpy(), "d2": list(nearest_squares(_stack(left["x"]), _stack(right["x"]), k))})
 
     parts = q.groupBy("qb", "fb").cogroup(f.groupBy("qb", "fb")).applyInPandas(nearest, f"id {id_type}, d2 array<double>")
     best = F.slice(F.sort_array(F.flatten(F.collect_list("d2"))), 1, k)

@@ -16,13 +16,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
 
 from demur.functions.expr import half_even_k
+from demur.sources.staging import stage
 
 ROWS_PER_BUCKET = 2_000_000
 SAMPLES_PER_BUCKET = 20
-MAX_SAMPLE = 2_000_000
 _FAN = 64
 
 
@@ -37,47 +36,31 @@ def find_splits(df: DataFrame, keys: list[str], order: list[str],
                 rows_per_bucket: int | None = None) -> Splits | None:
     """Sample ordered split points for groups that need more than one bucket.
 
-    The sample is a fixed fraction of the rows (20 per bucket, 10 rows per million), so it needs no count first
-    and stays near a million rows for 100 billion. One job without a limit: a limited collect would visit the
-    partitions in several rounds. Returns None when every group is small.
+    The sample is a fixed fraction of the rows (20 per bucket, 10 rows per million), so it needs no count first. It is
+    counted, ranked and thinned on the executors; the driver sees one number. The table has one tuple per bucket,
+    and rows at any split points give the same result. Returns None when every group is small.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
     step, columns = SAMPLES_PER_BUCKET, list(keys) + list(order)
     picked = df.select(*columns)
-    sample = picked.sample(fraction=min(1.0, step / rows_per_bucket), seed=7).collect()
-    if len(sample) > MAX_SAMPLE:
-        raise ValueError(f"more than {MAX_SAMPLE} sampled rows; raise rows_per_bucket")
-    groups: dict[tuple, list[tuple]] = {}
-    for row in sample:
-        groups.setdefault(tuple(row[:len(keys)]), []).append(tuple(row[len(keys):]))
-    found = []
-    for key, at in groups.items():
-        if len(at) > 2 * step:
-            at.sort(key=lambda t: [_spark_order(v) for v in t])
-            edges = list(dict.fromkeys(at[step::step]))
-            found.append((*key, edges, edges[::_FAN]))
-    if not found:
+    sample = picked.sample(fraction=min(1.0, step / rows_per_bucket), seed=7)
+    largest = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if (largest or 0) <= 2 * step:
         return None
-    point = StructType([picked.schema[c] for c in order])
-    schema = StructType([picked.schema[c] for c in keys]
-                        + [StructField("edges", ArrayType(point)), StructField("tops", ArrayType(point))])
-    return Splits(df.sparkSession.createDataFrame(found, schema), list(keys))
-
-
-def _spark_order(v):
-    """Sort key that orders as Spark does: null first, NaN last, structs field by field."""
-    if isinstance(v, tuple):
-        return (1, [_spark_order(x) for x in v])
-    if v is None:
-        return (0, 0)
-    return (2, 0) if isinstance(v, float) and v != v else (1, v)
+    part = Window.partitionBy(*keys)
+    at = F.row_number().over(part.orderBy(*_order_columns(order))) - 1
+    thin = (sample.select("*", at.alias("_at"), F.count(F.lit(1)).over(part).alias("_n"))
+            .filter((F.col("_n") > 2 * step) & (F.col("_at") > 0) & (F.col("_at") % step == 0)))
+    edges = thin.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(*[F.col(c) for c in order]))).alias("edges"))
+    tops = F.transform(F.sequence(F.lit(1), F.size("edges"), F.lit(_FAN)), lambda i: F.get("edges", i - 1))
+    return Splits(stage(edges.withColumn("tops", tops), "splits"), list(keys))
 
 
 def with_bucket(df: DataFrame, keys: list[str], order: list[str], splits: Splits) -> DataFrame:
     """Add ``_bucket``: how many split points of the row's group are at or before the row.
 
-    The split table holds a twentieth of MAX_SAMPLE tuples at most, so it is broadcast. Two levels of 64 keep the
-    search short.
+    The split table holds a tuple per ROWS_PER_BUCKET rows, a millionth of the data, so it is broadcast. Two levels of 64
+    keep the search short.
     """
     at = F.struct(*[F.col(c) for c in order])
     small = F.broadcast(splits.table)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from demur.functions.draws import uniform
 
-from .ranking import running
+from .ranking import _null_safe, running
 from .splits import SEED
 
 
@@ -15,12 +15,13 @@ def multiplicities(rows: DataFrame, replicates: int, cluster: str = "cluster", s
     """How often each replicate draws each cluster: columns ``b``, ``cluster``, ``m``.
 
     Every replicate draws as many clusters as there are, with replacement. ``with_point`` adds replicate 0,
-    where every cluster counts once, so a plan keyed by ``b`` gives point estimates and replicates together.
+    where every cluster counts once, so a plan keyed by ``b`` gives point estimates and replicates together. Rows with
+    a null cluster are one cluster, here and in the joins that use the result.
     """
     spark = rows.sparkSession
     clusters = running(rows.select(cluster).distinct(), [cluster], rank="_r").select(
         cluster, (F.col("_r") - 1).alias("_ord"))
-    count = rows.select(F.count_distinct(cluster)).first()[0]
+    count = clusters.count()
     draws = spark.range(replicates * count).select(
         (F.floor(F.col("id") / count) + 1).cast("int").alias("b"), (F.col("id") % count).alias("_j"))
     draws = draws.select("b", F.floor(uniform("boot", seed, F.col("b"), F.col("_j")) * count).alias("_ord"))
@@ -49,7 +50,7 @@ def replicate_means(rows: DataFrame, mult: DataFrame, value: Column, cluster: st
     inside = F.lit(True) if member is None else member
     sums = rows.groupBy(*by, cluster).agg(
         F.sum(F.when(inside, value)).alias("_s"), F.count(F.when(inside, value)).alias("_n"))
-    return sums.join(mult, cluster).groupBy(*by, "b").agg(
+    return _null_safe(sums, mult, [cluster], "inner").groupBy(*by, "b").agg(
         (F.sum(F.col("m") * F.col("_s")) / F.sum(F.col("m") * F.col("_n"))).alias("value"))
 
 
@@ -63,10 +64,12 @@ def replicate_spearman(rows: DataFrame, mult: DataFrame, by: list[str], a: str,
                        cluster: str = "cluster") -> DataFrame:
     """Spearman of each replicate: copies of a row share their middle rank."""
     by = list(by)
-    keyed = rows.select(*by, ident, cluster, a, b).join(mult, cluster)
+    draws = mult.withColumnRenamed("b", "_rep")
+    keyed = _null_safe(rows.select(*by, ident, cluster, F.col(a).alias("_x"), F.col(b).alias("_y")), draws, [cluster], "inner").withColumnRenamed("_rep", "b")
     keys = ["b"] + by
-    one = running(keyed, [a, ident], keys, rank="_a", weight="m", size="_n", split_source=rows, split_keys=by)
-    two = running(one, [b, ident], keys, rank="_b", weight="m", split_source=rows, split_keys=by)
+    source = rows.select(*by, ident, F.col(a).alias("_x"), F.col(b).alias("_y"))
+    one = running(keyed, ["_x", ident], keys, rank="_a", weight="m", size="_n", split_source=source, split_keys=by)
+    two = running(one, ["_y", ident], keys, rank="_b", weight="m", split_source=source, split_keys=by)
     centred = lambda c: F.col(c) - (F.col("m") - 1) / 2 - (F.col("_n") + 1) / 2
     x, y, m = centred("_a"), centred("_b"), F.col("m")
     spread = F.sqrt(F.sum(m * x * x) * F.sum(m * y * y))

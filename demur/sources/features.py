@@ -19,8 +19,10 @@ def with_fallback(wanted: DataFrame, features: DataFrame, split: str, fallback:
                   key: str = "id") -> DataFrame:
     """Features of the wanted ids from ``split``, else from the fallback split. Adds ``source``.
 
-    A test split has no fallback. ``features`` has columns key, ``split`` and ``features``.
+    ``features`` has columns key, ``split`` and ``features``. A test split has no fallback, and its absence is an error.
     """
+    if split == "test" and not features.filter(F.col("split") == split).limit(1).count():
+        raise FileNotFoundError("no features of the test split")
     own = features.filter(F.col("split") == split).select(key, F.col("features").alias("_own"))
     if split == "test":
         return wanted.join(own, key).select(*wanted.columns, F.col("_own").alias("features"), F.lit(split).alias("source"))

@@ -23,27 +23,42 @@ def fields(line: Column) -> Column:
     return F.when(F.contains(line, F.lit('"')), F.transform(F.split(line, _QUOTED_COMMA), unquote)).otherwise(plain)
 
 
-def parse_records(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Ragged header-less records: id, five measures, then parts of any length.
+#: A decimal number as the record format writes it; a cast alone would also take suffixes such as ``5d``.
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def number(text: Column) -> Column:
+    """A double where the text is a plain number, else null."""
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+
+
+#: Order of the lines of text files, with ``_metadata`` of the source: file, place of the block in it, then position in the block.
+def file_order(file: int = 0) -> Column:
+    return F.struct(F.lit(file).alias("file"), F.col("_metadata.file_path").alias("path"),
+                    F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def parse_records(lines: DataFrame, line: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Ragged header-less records: id, five measures, then parts of any length. ``keep`` columns of the lines follow.
 
     A part starts at a token with the part prefix; its last five tokens are numbers and the tokens between
     are its name, which may hold commas. A bad part is skipped, a bad measure drops the record.
     """
-    toks = lines.select(fields(F.col(line)).alias("t"))
+    toks = lines.select(*keep, fields(F.col(line)).alias("t"))
     toks = toks.filter((F.size("t") >= 6) & F.startswith(F.col("t")[0], F.lit(RECORD_PREFIX)))
     starts = F.filter(F.sequence(F.lit(1), F.size("t")),
                       lambda i: F.startswith(F.element_at("t", i), F.lit(PART_PREFIX)))
     rows = toks.select(
-        F.col("t")[0].alias("id"), *[F.expr(f"try_cast(t[{i + 1}] AS double)").alias(m) for i, m in enumerate(MEASURES)],
-        "t", starts.alias("a")).dropna(subset=MEASURES)
+        F.col("t")[0].alias("id"), *[number(F.col("t")[i + 1]).alias(m) for i, m in enumerate(MEASURES)],
+        *keep, "t", starts.alias("a")).dropna(subset=MEASURES)
     ends = F.concat(F.expr("slice(a, 2, greatest(size(a) - 1, 0))"), F.array(F.size("t") + 1))
     segments = F.zip_with("a", ends, lambda s, e: F.slice(F.col("t"), s, e - s))
-    number = lambda seg, at: F.element_at(seg, at).try_cast("double")
+    at = lambda seg, i: number(F.element_at(seg, i))
     parts = F.transform(F.filter(segments, lambda s: F.size(s) >= 7), lambda s: F.struct(
         F.trim(F.array_join(F.slice(s, F.lit(2), F.size(s) - 6), " ")).alias("name"),
-        number(s, -5).alias("grams"), number(s, -4).alias("amount")))
+        at(s, -5).alias("grams"), at(s, -4).alias("amount")))
     good = F.filter(parts, lambda p: p["grams"].isNotNull() & p["amount"].isNotNull())
-    return rows.select("id", *MEASURES, good.alias("parts"))
+    return rows.select("id", *MEASURES, good.alias("parts"), *keep)
 
 
 def last_wins(parts: list[DataFrame], key: str) -> DataFrame:
@@ -59,14 +74,17 @@ def plausible(mass: Column, truth: Column, max_mass: float = MAX_MASS, max_truth
 
 
 def read_records(spark: SparkSession, paths: list[str], drop_implausible: bool = True) -> DataFrame:
-    """Records of several files, the last file winning on a repeated id."""
-    out = last_wins([parse_records(spark.read.text(p)) for p in paths], "id")
+    """Records of several files; on a repeated id the last file wins, and the last line inside a file."""
+    parts = [parse_records(spark.read.text(p).select("value", file_order(i).alias("_order")), keep=("_order",)) for i, p in enumerate(paths)]
+    union = reduce(DataFrame.unionByName, parts)
+    fields_ = [c for c in union.columns if c not in ("id", "_order")]
+    out = union.groupBy("id").agg(F.max_by(F.struct(*fields_), "_order").alias("_row")).select("id", "_row.*")
     return out.filter(plausible(F.col("mass"), F.col("cal"))) if drop_implausible else out
 
 
 def clean_lookup(raw: DataFrame, name: str, numbers: list[str], order: str) -> DataFrame:
     """Lookup table from text columns: trimmed names, rows with a bad number skipped, last duplicate wins."""
-    typed = raw.select(F.trim(F.col(name)).alias(name), order, *[F.col(n).try_cast("double").alias(n) for n in numbers])
+    typed = raw.select(F.trim(F.col(name)).alias(name), order, *[number(F.col(n)).alias(n) for n in numbers])
     typed = typed.dropna(subset=numbers)
     return typed.groupBy(name).agg(*[F.max_by(n, order).alias(n) for n in numbers])
 
@@ -75,13 +93,13 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     """The part lookup file. Columns: name, cal_g, fat_g, carb_g, protein_g."""
     schema = "ingr string, id string, cal_g string, fat_g string, carb_g string, protein_g string"
     raw = spark.read.csv(path, header=True, schema=schema, enforceSchema=True)
-    raw = raw.withColumn("_at", F.monotonically_increasing_id())
+    raw = raw.select("*", file_order().alias("_at"))
     return clean_lookup(raw, "ingr", ["cal_g", "fat_g", "carb_g", "protein_g"], "_at").withColumnRenamed("ingr", "name")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Id list, one per line; blanks dropped, file order kept in ``position``."""
-    lines = spark.read.text(path).select(F.trim("value").alias("id"), F.monotonically_increasing_id().alias("position"))
+    lines = spark.read.text(path).select(F.trim("value").alias("id"), file_order().alias("position"))
     return lines.filter("id <> ''")
 
 

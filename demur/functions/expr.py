@@ -25,12 +25,6 @@ def significant(x: Column, digits: int = 6) -> Column:
     return F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x * scale) / scale)
 
 
-def linear(x: Column, weights: Column, centre: Column, intercept: Column) -> Column:
-    """``(x - centre) . weights + intercept`` over array columns."""
-    terms = F.zip_with(F.zip_with(x, centre, lambda a, b: a - b), weights, lambda a, w: a * w)
-    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t) + intercept
-
-
 def interval_score(truth: Column, lo: Column, hi: Column, alpha: float) -> Column:
     """Width of a range plus ``2 / alpha`` times the distance by which it misses."""
     miss = F.greatest(lo - truth, F.lit(0.0)) + F.greatest(truth - hi, F.lit(0.0))

@@ -29,7 +29,7 @@ def auc(rows: DataFrame, by: list[str], value: str, positive: str) -> DataFrame:
         F.count(F.lit(1)).alias("_c"), F.sum(F.col(positive).cast("bigint")).alias("_p"))
     ranked = running(counted, [value], by, rank="_top", weight="_c")
     mid = F.col("_top") - (F.col("_c") - 1) / 2
-    pos, neg = F.sum("_p"), F.sum(F.col("_c") - F.col("_p"))
+    pos, neg = F.sum("_p").cast("double"), F.sum(F.col("_c") - F.col("_p")).cast("double")
     return ranked.groupBy(*by).agg(
         ((F.sum(F.col("_p") * mid) - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
 

@@ -14,7 +14,6 @@ from .ranking import coverage_targets, find_splits, take_at
 # The coverage grids.
 COVERAGES = [round(1.0 - 0.05 * i, 2) for i in range(19)]
 DENSE = [round(0.10 + 0.02 * i, 2) for i in range(46)]
-QUICK = [1.0, 0.75, 0.5, 0.25]
 SENSITIVITY = [0.95, 0.9, 0.8, 0.7, 0.5]
 
 

@@ -11,18 +11,20 @@ from .ranking import medians, running
 RUNGS = ["O0", "O1", "O2", "O3", "O4"]
 
 
-def priors(parts: DataFrame, name: str = "name", grams: str = "grams", amount: str = "amount") -> DataFrame:
+def priors(parts: DataFrame, name: str = "name", grams: str = "grams", amount: str = "amount",
+           decimals: int | None = None) -> DataFrame:
     """Per name: median amount per gram (``density``, rows with grams only) and median grams (``typical``).
 
-    Both medians come from one pass over the parts, with the measure as a key. Densities keep four decimals,
-    which puts every sum of grams x density on a decimal grid.
+    Both medians come from one pass over the parts, with the measure as a key. ``decimals`` rounds the densities half up,
+    which puts every sum of grams x density on a decimal grid; they stay as they are by default.
     """
     g = F.col(grams).cast("double")
     measures = parts.select(name, F.inline(F.array(
         F.struct(F.lit("density").alias("measure"), F.when(g > 0, F.col(amount) / g).alias("v")),
         F.struct(F.lit("typical").alias("measure"), g.alias("v")))))
     got = medians(measures, [name, "measure"], "v", "v")
-    density = F.max(F.when(F.col("measure") == "density", F.floor(F.col("v") * 10000 + 0.5) / 10000))
+    v = F.col("v") if decimals is None else F.floor(F.col("v") * 10 ** decimals + 0.5) / 10 ** decimals
+    density = F.max(F.when(F.col("measure") == "density", v))
     return got.groupBy(name).agg(
         density.alias("density"), F.max(F.when(F.col("measure") == "typical", F.col("v"))).alias("typical"))
 

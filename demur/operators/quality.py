@@ -68,8 +68,6 @@ METRICS: dict[str, Callable] = {
     "brightness": lambda gray, rgb: gray.mean(), "rms_contrast": lambda gray, rgb: gray.std(),
     "colour_rb": _red_blue, "saturation": _saturation, "hf_ratio": _high_share,
 }
-# Metrics used as gates, and the sign that makes a high score risky.
-PIXEL_SIGN = {"lap_var": -1.0, "tenengrad": -1.0, "blockiness": 1.0, "hf_ratio": -1.0}
 
 
 def measure(images: DataFrame, metrics: dict[str, Callable] = METRICS) -> DataFrame:
@@ -80,7 +78,9 @@ def measure(images: DataFrame, metrics: dict[str, Callable] = METRICS) -> DataFr
     def values(height: pd.Series, width: pd.Series, data: pd.Series) -> pd.DataFrame:
         rows = []
         for h, w, d in zip(height, width, data):
-            rgb = np.frombuffer(d, np.uint8).reshape(h, w, -1)[..., 2::-1]
+            pixels = np.frombuffer(d, np.uint8).reshape(h, w, -1)
+            # A single channel stands for all three.
+            rgb = np.repeat(pixels, 3, axis=2) if pixels.shape[2] == 1 else pixels[..., 2::-1]
             gray = to_gray(rgb)
             rows.append([float(f(gray, rgb)) for f in functions])
         return pd.DataFrame(rows, columns=names)

@@ -1,8 +1,9 @@
 """Linear quantile regression on one feature, exact, over any number of rows.
 
 A sample gives a first line. Rows far from it can only stay on their side, so they enter as three sums; only
-rows near the line are solved exactly, and the fit is checked: if a summed row turns out to lie on the other
-side, the band is widened and the step repeats.
+rows near the line are solved exactly. While too many rows are near, a sample of them gives a better line and a narrower
+band, one aggregate per pass. The fit is checked: if a summed row turns out to lie on the other side, the band
+is widened and the step repeats.
 """
 
 from __future__ import annotations
@@ -11,85 +12,123 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 SAMPLE_ROWS = 20_000
-MAX_NEAR_ROWS = 2_000_000
+#: Distinct rows near the line that the driver solves at once.
+NEAR_ROWS = 500_000
 
 
-def _pivot(x, y, tau, i, extra):
-    """Best line through point i: an exact weighted quantile over slopes."""
+def _pivot(x, y, w, tau, i, extra):
+    """Best line through point i: an exact weighted quantile over slopes; the index of a second point, or i itself."""
     dx, dy = x - x[i], y - y[i]
     side = dx != 0
     if not side.any():
         return i
-    s, w, pos = dy[side] / dx[side], np.abs(dx[side]), dx[side] > 0
+    s, pull, pos = dy[side] / dx[side], np.abs(dx[side]) * w[side], dx[side] > 0
     order = np.argsort(s, kind="stable")
     # Derivative of the loss in the slope, starting at minus infinity; far rows add a constant.
-    start = -np.where(pos, tau, 1 - tau) @ w + extra[1] - extra[0] * x[i]
-    at = min(int(np.searchsorted(start + np.cumsum(w[order]), -1e-9 * w.sum())), len(order) - 1)
+    start = -np.where(pos, tau, 1 - tau) @ pull + extra[1] - extra[0] * x[i]
+    at = min(int(np.searchsorted(start + np.cumsum(pull[order]), -1e-9 * pull.sum())), len(order) - 1)
     return int(np.flatnonzero(side)[order[at]])
 
 
-def _loss(x, y, tau, a, b, extra):
+def _loss(x, y, w, tau, a, b, extra):
     r = y - a - b * x
-    return np.sum(np.maximum(tau * r, (tau - 1) * r)) + extra[0] * a + extra[1] * b
+    return np.sum(w * np.maximum(tau * r, (tau - 1) * r)) + extra[0] * a + extra[1] * b
 
 
-def solve(x: np.ndarray, y: np.ndarray, tau: float, extra=(0.0, 0.0)) -> tuple[float, float]:
-    """Intercept and slope; ``extra`` is the linear term the far rows add to the loss.
+def _through(x, y, i, j):
+    if x[j] == x[i]:
+        return y[i], 0.0
+    b = (y[j] - y[i]) / (x[j] - x[i])
+    return y[i] - b * x[i], b
 
-    Moves from line to line through a data point while the loss falls; the loss is convex and every move is
-    the best along its direction.
+
+def solve(x: np.ndarray, y: np.ndarray, tau: float, extra=(0.0, 0.0), w: np.ndarray | None = None) -> tuple[float, float]:
+    """Intercept and slope; ``extra`` is the linear term the far rows add to the loss, ``w`` counts repeated rows.
+
+    Moves from line to line through data points while the loss falls. The loss is convex, and around a line
+    its slope can only turn at rotations about the points on it; so a line is the best one when no rotation about any of
+    its points, one for each x, lowers the loss. That is the test for stopping.
     """
-    i = int(np.argsort(y, kind="stable")[min(int(tau * len(y)), len(y) - 1)])
-    best, stuck = None, 0
-    for _ in range(200):
-        j = _pivot(x, y, tau, i, extra)
-        if x[j] == x[i]:
-            b, a = 0.0, y[i]
-        else:
-            b = (y[j] - y[i]) / (x[j] - x[i])
-            a = y[i] - b * x[i]
-        loss = _loss(x, y, tau, a, b, extra)
-        if best is None or loss < best[0] - 1e-12 * max(1.0, abs(best[0])):
-            best, stuck = (loss, a, b), 0
-        else:
-            stuck += 1
-            if stuck > 2:
+    w = np.ones(len(x)) if w is None else w
+    order = np.argsort(y, kind="stable")
+    i = int(order[min(int(np.searchsorted(np.cumsum(w[order]), tau * w.sum())), len(y) - 1)])
+    a, b = _through(x, y, i, _pivot(x, y, w, tau, i, extra))
+    best = _loss(x, y, w, tau, a, b, extra)
+    while True:
+        on = np.flatnonzero(np.abs(y - a - b * x) <= 1e-10 * (1 + np.abs(y) + abs(a)))
+        pivots = on[np.unique(x[on], return_index=True)[1]]
+        for i in pivots.tolist():
+            line_ = _through(x, y, i, _pivot(x, y, w, tau, i, extra))
+            loss = _loss(x, y, w, tau, *line_, extra)
+            if loss < best - 1e-12 * max(1.0, abs(best)):
+                best, (a, b) = loss, line_
                 break
-        i = j
-    return best[1], best[2]
+        else:
+            return float(a), float(b)
 
 
-def fit(df: DataFrame, x: str, y: str, tau: float, sample_rows: int = SAMPLE_ROWS,
-        max_near: int = MAX_NEAR_ROWS) -> tuple[float, float]:
-    """Intercept and slope of the ``tau`` quantile of ``y`` given ``x``."""
-    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+def fit(df: DataFrame, x: str, y: str, tau: float, sample_rows: int = SAMPLE_ROWS, near_rows: int = NEAR_ROWS) -> tuple[float, float]:
+    """Intercept and slope of the ``tau`` quantile of ``y`` given ``x``; rows with a null count as absent."""
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     n = rows.count()
-    if n <= sample_rows:
-        p = rows.toPandas()
-        return solve(p["x"].to_numpy(), p["y"].to_numpy(), tau)
-    p = rows.sample(fraction=min(1.0, sample_rows / n), seed=11).toPandas()
-    a, b = solve(p["x"].to_numpy(), p["y"].to_numpy(), tau)
-    res = np.sort(p["y"].to_numpy() - a - b * p["x"].to_numpy())
-    half = max(0.01, 3.0 / np.sqrt(len(res)))
-    for _ in range(12):
-        lo = res[max(0, int((tau - half) * len(res)))] if tau > half else -np.inf
-        hi = res[min(len(res) - 1, int((tau + half) * len(res)))] if tau + half < 1 else np.inf
+    if not n:
+        raise ValueError("no rows to fit")
+
+    def drawn(part: DataFrame, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        p = part.sample(fraction=min(1.0, 1.5 * sample_rows / size), seed=seed).toPandas() if size > sample_rows else part.toPandas()
+        return p["x"].to_numpy(), p["y"].to_numpy()
+
+    sx, sy = drawn(rows, n, 11)
+    a, b = solve(sx, sy, tau)
+    # The band, as residuals from the line (a, b); everything is near at first if the sample is everything.
+    spread = 3.0 / np.sqrt(len(sy)) if len(sy) < n else 1.0
+    lo, hi = _band(sy - a - b * sx, spread)
+    wider, seed = 1.0, 12
+    while True:
         r = F.col("y") - F.lit(a) - F.lit(b) * F.col("x")
-        below, above = r < F.lit(float(lo)), r > F.lit(float(hi))
+        below, above = r < F.lit(lo), r > F.lit(hi)
         one = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0.0))
         s = rows.agg(one(below, F.lit(1.0)).alias("nb"), one(below, F.col("x")).alias("xb"), one(above, F.lit(1.0)).alias("na"),
                      one(above, F.col("x")).alias("xa")).first()
-        if n - s["nb"] - s["na"] > max_near:
-            raise ValueError("too many rows near the line; raise max_near")
-        near = rows.filter(~below & ~above).toPandas()
         extra = ((1 - tau) * s["nb"] - tau * s["na"], (1 - tau) * s["xb"] - tau * s["xa"])
-        a2, b2 = solve(near["x"].to_numpy(), near["y"].to_numpy(), tau, extra)
+        near = rows.filter(~below & ~above)
+        size = int(n - s["nb"] - s["na"])
+        distinct = near.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+        if size > near_rows and wider < 1e6 and distinct.limit(near_rows + 1).count() > near_rows:
+            sx, sy = drawn(near, size, seed)
+            seed += 1
+            share = len(sy) / size
+            a2, b2 = solve(sx, sy, tau, (extra[0] * share, extra[1] * share))
+            res = sy - a2 - b2 * sx
+            lo2, hi2 = _band(res, min(1.0, wider * 3.0 / np.sqrt(len(sy))))
+            # Only a band that leaves most of these rows out is a step ahead.
+            if np.mean((res >= lo2) & (res <= hi2)) < 0.5:
+                a, b, lo, hi = a2, b2, lo2, hi2
+                continue
+        p = distinct.toPandas()
+        if not len(p):
+            lo, hi = _wide(lo, hi)
+            continue
+        a2, b2 = solve(p["x"].to_numpy(), p["y"].to_numpy(), tau, extra, p["w"].to_numpy(float))
         r2 = F.col("y") - F.lit(a2) - F.lit(b2) * F.col("x")
         slack = 1e-9 * (1 + abs(a2))
-        if rows.filter((below & (r2 > slack)) | (above & (r2 < -slack))).limit(1).count() == 0:
+        if not rows.filter((below & (r2 > slack)) | (above & (r2 < -slack))).limit(1).count():
             return a2, b2
-        a, b, half = a2, b2, half * 2
-    raise RuntimeError("quantile regression did not settle")
+        wider *= 4
+        lo, hi = _wide(lo, hi)
+
+
+def _band(res: np.ndarray, spread: float) -> tuple[float, float]:
+    """Residuals that hold the share ``spread`` of the rows on either side of zero; infinite where there are not that many."""
+    res = np.sort(res)
+    zero = np.searchsorted(res, 0.0)
+    reach = int(np.ceil(spread * len(res)))
+    return (float(res[zero - reach]) if zero > reach else -np.inf), (float(res[zero + reach]) if zero + reach < len(res) else np.inf)
+
+
+def _wide(lo: float, hi: float) -> tuple[float, float]:
+    step = hi - lo if np.isfinite(hi - lo) and hi > lo else 1.0
+    return lo - step, hi + step
 
 
 def line(x: Column, params: tuple[float, float]) -> Column:

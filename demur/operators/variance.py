@@ -19,7 +19,7 @@ def variance_split(rows: DataFrame, entity: str, condition: str, value: str) ->
     mean = F.sum("s") / F.sum("n") - F.lit(grand)
     by_entity = cells.groupBy(entity).agg(mean.alias("_e"))
     by_condition = cells.groupBy(condition).agg(mean.alias("_c"))
-    joined = cells.join(by_entity, entity).join(by_condition, condition)
+    joined = cells.join(by_entity, entity).join(F.broadcast(by_condition), condition)
     total = F.sum("n")
     off = F.col("s") / F.col("n") - F.lit(grand) - F.col("_e") - F.col("_c")
     var = lambda c: F.sum(F.col("n") * c * c) / total - F.pow(F.sum(F.col("n") * c) / total, 2)

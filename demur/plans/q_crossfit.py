@@ -15,7 +15,7 @@ from demur.operators.resample import multiplicities
 from demur.operators.splits import cluster_sizes, deal_round_robin, permute
 from demur.sources.staging import stage, stage_once
 
-from .q_boot import _R, diff_sql, gap_sql, round_diff, boot_curves, vs_random
+from .q_boot import _R, NOISE, diff_sql, gap_sql, round_diff, boot_curves, vs_random
 from .q_curves import cov_list
 from .registry import cte, query, u, with_ctes
 from .views import INPUT_GATES, calib_rows, fact, test_rows
@@ -73,11 +73,11 @@ def crossfit_rows(rows, bands):
 
 
 def crossfit_pool(spark, sf):
-    return stage_once(spark, f"{sf}:xf", lambda: crossfit_rows(x_rows(spark, sf).filter("role <> 'test'"), [10]))
+    return stage_once(spark, f"{sf}:xf", lambda: crossfit_rows(x_rows(spark, sf).filter("role <> 'test'"), [10]), sf)
 
 
 def crossfit_all(spark, sf):
-    return stage_once(spark, f"{sf}:xa", lambda: crossfit_rows(x_rows(spark, sf), [5, 10, 20]))
+    return stage_once(spark, f"{sf}:xa", lambda: crossfit_rows(x_rows(spark, sf), [5, 10, 20]), sf)
 
 
 @query("crossfit", with_ctes("""SELECT id, rep, fold, round(pred, 3) AS pred, err, round(learned_error, 3) AS learned_error,
@@ -141,7 +141,7 @@ def crossfit_curves(spark, sf):
 
 
 def crossfit_tests(curves):
-    tests = summarise_difference(against(curves, "random", ["view"]).filter("gate NOT IN ('random', 'perfect')"),
+    tests = summarise_difference(against(curves, "random", ["view"], noise=NOISE).filter("gate NOT IN ('random', 'perfect')"),
                                  ["view", "gate", "coverage"])
     return holm(tests, ["view", "coverage"])
 
@@ -169,7 +169,7 @@ def verdicts(spark, sf):
     curves = crossfit_curves(spark, sf)
     t = crossfit_tests(curves).filter("coverage = 0.9")
     pair = summarise_difference(pair_differences(curves.filter("view = 'sized' AND coverage = 0.9"),
-                                                 [("learned_error", "pred_magnitude")], ["view"]), ["pair"])
+                                                 [("learned_error", "pred_magnitude")], ["view"], noise=NOISE), ["pair"])
     point = curves.filter("view = 'sized' AND b = 0 AND coverage = 0.9")
     at = lambda g: F.max(F.when(F.col("gate") == g, F.col("risk")))
     gap = point.agg((at("random") - at("perfect")).alias("gap")).first()["gap"]
@@ -197,7 +197,7 @@ def equivalence_bound(spark, sf):
     """The most an input gate could save, as a share of what the perfect refuser saves."""
     from pyspark.sql import Window
     curves = crossfit_curves(spark, sf).filter("view = 'sized' AND coverage = 0.9")
-    t = summarise_difference(against(curves, "random", ["view"]), ["gate"])
+    t = summarise_difference(against(curves, "random", ["view"], noise=NOISE), ["gate"])
     saving = F.max(F.when(F.col("gate") == "perfect", -F.col("diff"))).over(Window.partitionBy(F.lit(1)))
     share = t.select("gate", (-F.col("lo") / saving).alias("s")).filter(F.col("gate").isin(*INPUT_GATES))
     return share.select("gate", F.round("s", 6).alias("best_case_share"),
@@ -237,7 +237,7 @@ def pooled_eval(spark, sf):
     mult = multiplicities(rows.select("cluster"), BP, with_point=True)
     main = replicated_curves(long.filter("bands IN (0, 10)"), mult, ["stratum"], ["bands", "rep"], like=XGATES[0])
     second = replicated_curves(long.filter("bands IN (5, 20)"), mult.filter(F.col("b") <= BP // 2), ["stratum"], ["bands", "rep"], like=XGATES[0])
-    diffs = stage(against(main.unionByName(second), "random", ["bands", "rep"]).filter("gate <> 'random'"), "diffs")
+    diffs = stage(against(main.unionByName(second), "random", ["bands", "rep"], noise=NOISE).filter("gate <> 'random'"), "diffs")
     mean = diffs.groupBy("bands", "b", "gate", "coverage").agg(F.avg("diff").alias("diff"))
     stat = summarise_difference(mean, ["bands", "gate", "coverage"])
     area = aurc(mean.withColumnRenamed("diff", "risk"), ["bands", "b", "gate"]).withColumnRenamed("aurc", "diff")
@@ -302,7 +302,7 @@ def refit_spread(spark, sf):
         "view", "rep", "stratum", "id", "cluster", "err", F.inline(cells))
     mult = multiplicities(test.select("cluster"), B, with_point=True)
     curves = replicated_curves(with_perfect(long, "learned_error"), mult, ["stratum"], ["view", "rep"], coverages=[0.9], like="learned_error")
-    eff = against(curves, "random", ["view", "rep"]).filter("gate <> 'random'").withColumn("effect", F.concat_ws("_", "view", "gate"))
+    eff = against(curves, "random", ["view", "rep"], noise=NOISE).filter("gate <> 'random'").withColumn("effect", F.concat_ws("_", "view", "gate"))
     eff = stage(eff.select("effect", "rep", "b", "diff"), "effects")
     first = F.max(F.when(F.col("rep") == 0, F.col("diff"))).over(Window.partitionBy("effect"))
     point = eff.filter("b = 0").withColumn("_o", first).groupBy("effect").agg(

@@ -96,7 +96,7 @@ def scored(spark, sf):
         v = vectors(spark, sf)
         g = fit_gates(v.filter("role = 'fit'"), v.filter("role = 'calib'"), "x", ["y", "y2"], "id")
         return g.score(v).drop("x").withColumn("err", F.abs(F.col("pred0") - F.col("y")))
-    return stage_once(spark, f"{sf}:gates", build)
+    return stage_once(spark, f"{sf}:gates", build, sf)
 
 
 @query("gate_scores")

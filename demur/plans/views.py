@@ -59,7 +59,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 def vocab(spark: SparkSession, sf: str) -> DataFrame:
     """Median amount per unit and median quantity of every name, from fit lines only; learned once."""
     return stage_once(spark, f"{sf}:vocab", lambda: priors(
-        lines(spark, sf).filter("role = 'fit'"), "name", "grams", "amount"))
+        lines(spark, sf).filter("role = 'fit'"), "name", "grams", "amount", decimals=4), sf)
 
 
 cte("ents", f"""SELECT o_orderkey AS id, o_custkey AS cluster, o_orderdate AS ts,
@@ -104,7 +104,7 @@ def unit_price() -> Column:
 def _fact(spark: SparkSession, sf: str) -> DataFrame:
     base = _conditional_predictions(spark, sf).withColumn(
         "err", F.round(F.abs(F.col("pred") - F.col("truth")), 4))
-    base = stage_once(spark, f"{sf}:base", lambda: base.withColumn("x_unit", unit_price()))
+    base = stage_once(spark, f"{sf}:base", lambda: base.withColumn("x_unit", unit_price()), sf)
     clean = base.filter("condition = 'clean'")
     second = fit_line(clean.filter("role = 'fit'"), "mass", "truth", 1.0)
     head = fit_line(clean.filter("role = 'calib'"), "x_unit", "err", 1.0)
@@ -120,7 +120,7 @@ def _fact(spark: SparkSession, sf: str) -> DataFrame:
 
 def fact(spark: SparkSession, sf: str) -> DataFrame:
     """The prediction fact, built once per application and read by every evaluation."""
-    return stage_once(spark, f"{sf}:fact", lambda: _fact(spark, sf))
+    return stage_once(spark, f"{sf}:fact", lambda: _fact(spark, sf), sf)
 
 
 _SEEN_SQL = {"clean": "TRUE", "no_returns": "l_returnflag <> 'R'", "closed_only": "l_linestatus = 'F'"}

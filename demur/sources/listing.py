@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def roll_up(objects: DataFrame, name: str = "name", size: str = "size", id_part: int = 4,
-            file_part: int = 5) -> DataFrame:
+            file_part: int = 5, order: str | None = None) -> DataFrame:
     """Object names split on ``/`` into one row per (id, file) with its size; short names are skipped.
 
-    Positions are 1-based. A name listed twice keeps its largest size. The nested per-id map is left to the
+    Positions are 1-based. A name listed twice keeps the size last in ``order``, or the largest without an order. The nested per-id map is left to the
     sink: as rows it has no size limit.
     """
     parts = F.split(F.col(name), "/")
-    kept = objects.select(parts.alias("p"), F.col(size).alias("size")).filter(F.size("p") >= 5)
+    at = F.col(size) if order is None else F.col(order)
+    kept = objects.select(parts.alias("p"), F.col(size).alias("size"), at.alias("_at")).filter(F.size("p") >= 5)
     return kept.groupBy(F.element_at("p", id_part).alias("id"), F.element_at("p", file_part).alias("file")).agg(
-        F.max("size").alias("size"))
+        F.max_by("size", "_at").alias("size"))
+
+
+def total_bytes(manifest: DataFrame, file: str) -> DataFrame:
+    """Number and total size of the objects with one file name."""
+    return manifest.filter(F.col("file") == file).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -38,8 +44,8 @@ def local_ids(spark: SparkSession, folder: str, file: str) -> DataFrame:
 def reconcile(expected: DataFrame, present: DataFrame, key: str = "id") -> DataFrame:
     """Status of every expected file: ``skip`` if it is there with the right (or unknown) size, ``fetch`` if it
     is missing, ``FAIL`` if the size differs, ``extra`` if nobody expects it."""
-    joined = expected.select(key, F.col("size").alias("expected")).join(
-        present.select(key, F.col("size").alias("present")), key, "full_outer")
-    status = (F.when(F.col("present").isNull(), "fetch").when(F.col("expected").isNull(), "extra")
-              .when((F.col("expected") == 0) | (F.col("expected") == F.col("present")), "skip").otherwise("FAIL"))
-    return joined.withColumn("status", status)
+    joined = expected.select(key, F.col("size").alias("expected"), F.lit(True).alias("_wanted")).join(
+        present.select(key, F.col("size").alias("present"), F.lit(True).alias("_there")), key, "full_outer")
+    status = (F.when(F.col("_there").isNull(), "fetch").when(F.col("_wanted").isNull(), "extra")
+              .when(F.col("expected").isNull() | (F.col("expected") == 0) | (F.col("expected") == F.col("present")), "skip").otherwise("FAIL"))
+    return joined.withColumn("status", status).drop("_wanted", "_there")

@@ -7,6 +7,7 @@ column pruning and filter pushdown for the readers.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -41,9 +42,20 @@ def stage(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ()
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def stage_once(spark: SparkSession, key: str, build) -> DataFrame:
-    """Stage under a key once per application; later calls read the same table."""
-    memo_key = (spark.sparkContext.applicationId, key)
+def input_state(spark: SparkSession, folder: str) -> str:
+    """Names, lengths and times of what lies in a folder, without reading any of it; empty where it cannot be listed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return ""
+    found = [(s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in store.listStatus(path)]
+    return hashlib.md5(repr(sorted(found)).encode()).hexdigest()
+
+
+def stage_once(spark: SparkSession, key: str, build, folder: str | None = None) -> DataFrame:
+    """Stage under a key once per application; later calls read the same table, unless the input ``folder`` has changed."""
+    memo_key = (spark.sparkContext.applicationId, key if folder is None else f"{key}:{input_state(spark, folder)}")
     if memo_key not in _memo:
         df = build()
         path = f"{shared_folder(spark)}/shared-{uuid.uuid4().hex}"

@@ -34,6 +34,50 @@ def fit_side(spark, sf):
     return vectors(spark, sf).filter("role = 'fit'")
 
 
+STEPS = 800
+
+
+def solve_sql(name: str, source: str, *needs: str) -> None:
+    """CTE ``name`` (k, alpha, w): per system k and alpha the solution of (sum of centred x x' + alpha I) w = sum of centred x y.
+
+    ``source`` gives rows (k, alpha, id, x, y). Richardson steps with the inverse of the Frobenius norm converge, as the matrix is positive.
+    """
+    cte(f"{name}_src", source, *needs)
+    cte(f"{name}_cent", f"""SELECT k, id, y, dim, v - avg(v) OVER (PARTITION BY k, dim) AS c FROM
+      (SELECT k, id, y, unnest(x) AS v, unnest(range({DIM})) AS dim FROM (SELECT DISTINCT k, id, x, y FROM {name}_src))""", f"{name}_src")
+    cte(f"{name}_mat", f"""SELECT k, i, list(s ORDER BY j) AS r, sum(s*s) AS q FROM (SELECT a.k, a.dim AS i, b.dim AS j, sum(a.c*b.c) AS s
+      FROM {name}_cent a JOIN {name}_cent b ON a.k = b.k AND a.id = b.id GROUP BY 1, 2, 3) GROUP BY 1, 2""", f"{name}_cent")
+    cte(f"{name}_sys", f"""SELECT m.k, al.alpha, m.m, m.fro + al.alpha AS top, r.b FROM
+      (SELECT k, list(r ORDER BY i) AS m, sqrt(sum(q)) AS fro FROM {name}_mat GROUP BY k) m JOIN
+      (SELECT k, list(b ORDER BY dim) AS b FROM (SELECT k, dim, sum(c*y) AS b FROM {name}_cent GROUP BY k, dim) GROUP BY k) r USING (k) JOIN
+      (SELECT DISTINCT k, alpha FROM {name}_src) al USING (k)""", f"{name}_mat", f"{name}_cent", f"{name}_src")
+    cte(name, richardson(f"{name}_sys"), f"{name}_sys")
+
+
+def richardson(system: str) -> str:
+    """Rows (k, alpha, w) of the last step for a table of systems (k, alpha, m, top, b)."""
+    return f"""SELECT k, alpha, w FROM (WITH RECURSIVE step(n, k, alpha, w) AS (
+      SELECT 0, k, alpha, list_transform(range({DIM}), lambda i: 0.0::DOUBLE) FROM {system} UNION ALL
+      SELECT n + 1, s.k, s.alpha, list_transform(range({DIM}), lambda i: w[i + 1] + (b[i + 1] - list_dot_product(m[i + 1], w) - s.alpha*w[i + 1])/top)
+      FROM step s JOIN {system} y ON y.k = s.k AND y.alpha = s.alpha WHERE n < {STEPS}) SELECT * FROM step) WHERE n = {STEPS}"""
+
+
+solve_sql("ridge1", "SELECT t AS k, 1.0::DOUBLE AS alpha, id, x, CASE t WHEN 0 THEN y ELSE y*y END AS y FROM vecs, range(2) r(t) WHERE role = 'fit'", "vecs")
+_GRID = ", ".join(f"({10 ** (i / 4)!r}::DOUBLE)" for i in range(25))
+solve_sql("ridge_grid", f"SELECT 0 AS k, alpha, id, x, y FROM vecs, (VALUES {_GRID}) g(alpha) WHERE role = 'fit'", "vecs")
+cte("vec_folds", f"SELECT *, floor({u(chr(39) + 'vec-fold' + chr(39), 'id')} * 5)::INT AS fold FROM vecs", "vecs")
+solve_sql("ridge_fold", "SELECT k::INT AS k, 1.0::DOUBLE AS alpha, id, x, y FROM vec_folds, range(5) r(k) WHERE fold <> k", "vec_folds")
+cte("fold_means", f"SELECT k, list(m ORDER BY dim) AS mx, any_value(my) AS my FROM (SELECT k, dim, avg(v) AS m, avg(y) AS my FROM (SELECT k, y, unnest(x) AS v, "
+    f"unnest(range({DIM})) AS dim FROM ridge_fold_src) GROUP BY k, dim) GROUP BY k", "ridge_fold_src")
+cte("vec_z", "SELECT id, role, list((v - m)/s ORDER BY dim) AS z FROM dims JOIN moments USING (dim) GROUP BY id, role", "dims", "moments")
+cte("z_mat", """SELECT i, list(s ORDER BY j) AS r, sum(s*s) AS q FROM (SELECT a.dim AS i, b.dim AS j, sum(a.c*b.c)/(count(*) - 1) AS s FROM
+    (SELECT id, dim, (v - m)/s AS c FROM dims JOIN moments USING (dim) WHERE role = 'fit') a JOIN
+    (SELECT id, dim, (v - m)/s AS c FROM dims JOIN moments USING (dim) WHERE role = 'fit') b USING (id) GROUP BY 1, 2) GROUP BY i""", "dims", "moments")
+cte("z_sys", f"""SELECT k, 0.0::DOUBLE AS alpha, m, sqrt(fro) AS top, list_transform(range({DIM}), lambda i: (i = k)::INT::DOUBLE) AS b
+  FROM (SELECT list(r ORDER BY i) AS m, sum(q) AS fro FROM z_mat), range({DIM}) t(k)""", "z_mat")
+cte("z_inverse", f"SELECT list(w ORDER BY k) AS inv FROM ({richardson('z_sys')})", "z_sys")
+
+
 @query("gram_stats", with_ctes("""SELECT a.dim::INT AS i, b.dim::INT AS j, round(sum(a.v*b.v), 6) AS v FROM dims a JOIN dims b USING (id)
   WHERE a.role = 'fit' GROUP BY 1, 2""", "dims"))
 def gram_stats(spark, sf):
@@ -69,25 +113,28 @@ def knn_dist(spark, sf):
     return knn_distance(vectors(spark, sf), fit_side(spark, sf), "x", "id").withColumn("knn_dist", F.round("knn_dist", 6))
 
 
-@query("ridge_fit")
+@query("ridge_fit", with_ctes(f"SELECT unnest(range({DIM}))::INT AS dim, round(unnest(w), 6) AS w FROM ridge1 WHERE k = 0", "ridge1"))
 def ridge_fit(spark, sf):
-    """Weights of the closed-form ridge, checked against numpy in the tests."""
+    """Weights of the closed-form ridge."""
     w = gram(fit_side(spark, sf), "x", ["y"])[None].ridge(1.0)[:, 0]
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "dim int, w double")
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(w)], "dim int, w double")
 
 
-@query("ridge_multi")
+@query("ridge_multi", with_ctes(f"SELECT unnest(range({DIM}))::INT AS dim, k::INT AS target, round(unnest(w), 5) AS w FROM ridge1", "ridge1"))
 def ridge_multi(spark, sf):
     w = gram(fit_side(spark, sf), "x", ["y", "y2"])[None].ridge(1.0)
-    return spark.createDataFrame([(i, t, float(w[i, t])) for i in range(len(w)) for t in range(2)], "dim int, target int, w double")
+    return spark.createDataFrame([(i, t, round(float(w[i, t]), 5)) for i in range(len(w)) for t in range(2)], "dim int, target int, w double")
 
 
-@query("alpha_grid")
+@query("alpha_grid", with_ctes(f"""WITH mu AS (SELECT list(m ORDER BY dim) AS mx, any_value(my) AS my FROM (SELECT dim, avg(v) AS m, avg(y) AS my FROM
+      (SELECT y, unnest(x) AS v, unnest(range({DIM})) AS dim FROM vecs WHERE role = 'fit') GROUP BY dim)),
+    e AS (SELECT alpha, avg(abs(my + list_dot_product(x, w) - list_dot_product(mx, w) - y)) AS mae FROM ridge_grid, mu, vecs WHERE role = 'calib' GROUP BY alpha)
+  SELECT alpha, round(mae, 6) AS mae, row_number() OVER (ORDER BY mae, alpha) = 1 AS best FROM e""", "ridge_grid", "vecs"))
 def alpha_grid(spark, sf):
     """Calibration error of every penalty; one Gram and one scoring pass for all of them."""
     fit = gram(fit_side(spark, sf), "x", ["y"])[None]
     best, mae = pick_alpha(fit, vectors(spark, sf).filter("role = 'calib'"), "x", "y")
-    return spark.createDataFrame([(float(a), float(m), a == best) for a, m in zip(ALPHA_GRID, mae)],
+    return spark.createDataFrame([(float(a), round(float(m), 6), a == best) for a, m in zip(ALPHA_GRID, mae)],
                                  "alpha double, mae double, best boolean")
 
 
@@ -105,7 +152,8 @@ def gate_scores(spark, sf):
     return scored(spark, sf)
 
 
-@query("mahalanobis")
+@query("mahalanobis", with_ctes("""SELECT id, round(sqrt(list_sum(list_transform(range(64), lambda i: z[i + 1]*list_dot_product(inv[i + 1], z)))), 6) AS mahalanobis
+  FROM vec_z, z_inverse""", "vec_z", "z_inverse"))
 def mahalanobis(spark, sf):
     return scored(spark, sf).select("id", F.round("mahalanobis", 6).alias("mahalanobis"))
 
@@ -120,7 +168,9 @@ def blend(spark, sf):
     return scored(spark, sf).select("id", *BLENDED, "blend")
 
 
-@query("crossfit_wide")
+@query("crossfit_wide", with_ctes("""SELECT id, fold, y, round(pred, 6) AS pred, round(abs(pred - y), 6) AS err FROM (SELECT id, fold, y,
+    my + list_dot_product(x, w) - list_dot_product(mx, w) AS pred FROM vec_folds v JOIN ridge_fold r ON r.k = v.fold JOIN fold_means f ON f.k = v.fold)""",
+    "vec_folds", "ridge_fold", "fold_means"))
 def crossfit_wide(spark, sf):
     """Cross-fitted ridge on all features: one Gram per fold, every pool is the total minus its fold."""
     v = vectors(spark, sf)
@@ -134,7 +184,7 @@ def crossfit_wide(spark, sf):
         pred = linear_scores(F.col("x"), pool.mx, pool.ridge(1.0), pool.my)[0]
         one = v.filter(F.col("fold") == int(k)).select("id", "fold", "y", pred.alias("pred"))
         out = one if out is None else out.unionByName(one)
-    return out.withColumn("err", F.abs(F.col("pred") - F.col("y")))
+    return out.withColumn("err", F.round(F.abs(F.col("pred") - F.col("y")), 6)).withColumn("pred", F.round("pred", 6))
 
 
 # ---- image metrics on 4 x 16 images cut from the vectors

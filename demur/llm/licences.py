@@ -51,43 +51,58 @@ NOTICES = {
 
 #: A line that names a holder: "copyright", "(c)" or the sign, then a year somewhere in the line.
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(?:[Cc]opyright|COPYRIGHT|\([cC]\)|©)[^\n]*[0-9]{4}[^\n]*$"
-NOT_WORD = r"[^\p{L}\p{N}]+"
+NOT_WORD, NOT_WORD_IN_LINE = r"[^\p{L}\p{N}]+", r"[^\p{L}\p{N}\n]+"
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form, with one space before, between and after words."""
-    body = F.regexp_replace(text, COPYRIGHT_LINE, " ")
-    body = F.concat(F.lit(" "), F.regexp_replace(F.lower(body), NOT_WORD, " "), F.lit(" "))
-    body = F.replace(body, F.lit("  "), F.lit(" "))
+def _words(text: Column, not_word: str) -> Column:
+    """Lower-case words without holder lines; two spaces between words, so that neighbours can both be replaced."""
+    return F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT_LINE, " ")), not_word, "  ")
+
+
+def _spelled(body: Column) -> Column:
+    body = F.concat(F.lit(" "), body, F.lit(" "))
     for other, usual in SPELLINGS.items():
-        body = F.replace(body, F.lit(f" {other} "), F.lit(f" {usual} "))
+        body = F.replace(body, F.lit(spaced(other)), F.lit(spaced(usual)))
     return body
 
 
-def digest(text: Column) -> Column:
-    """Digest of the canonical form; null where nothing is left."""
-    form = canonical(text)
-    return F.when(F.trim(form) != "", F.sha2(form.cast("binary"), 256))
+def spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
+
+
+def canonical(text: Column) -> Column:
+    return F.trim(_spelled(_words(text, NOT_WORD)))
+
+
+def canonical_lines(text: Column) -> Column:
+    """Canonical forms of the lines, made for the whole text at once."""
+    return F.transform(F.split(_spelled(F.replace(_words(text, NOT_WORD_IN_LINE), F.lit("\n"), F.lit(" \n "))), "\n"), lambda line: F.trim(line))
+
+
+def digest(form: Column) -> Column:
+    """Digest of a canonical form; null where nothing is left."""
+    return F.when(form != "", F.sha2(form.cast("binary"), 256))
 
 
 def known_licences(spark: SparkSession, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
-    """digest -> spdx; as many rows as the fixed table has texts."""
+    """digest, spdx, and a short key of the form; as many rows as the fixed table has texts."""
     rows = [(spdx, text) for spdx, texts in notices.items() for text in texts]
-    table = spark.createDataFrame(rows, "spdx string, notice string")
-    return table.groupBy(digest(F.col("notice")).alias("digest")).agg(F.min("spdx").alias("spdx"))
+    table = spark.createDataFrame(rows, "spdx string, notice string").select("spdx", canonical(F.col("notice")).alias("form"))
+    return table.groupBy(digest(F.col("form")).alias("digest"), F.xxhash64("form").alias("key")).agg(F.min("spdx").alias("spdx"))
 
 
 def scan_licences(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per document: the licence its whole text is, and the licences that single lines of it state, sorted.
 
-    The fixed table is broadcast; a table ``known`` (digest, spdx) of the caller is joined as Spark finds best for its size.
+    The fixed table is broadcast; a table ``known`` (digest, spdx, key) of the caller is joined as Spark finds best for its size. Lines are met by
+    the short key first, so that only lines with a licence's key are digested.
     """
     small = F.broadcast(known_licences(docs.sparkSession)) if known is None else known
-    whole = docs.select("doc_id", digest(F.col("text")).alias("digest"))
-    lines = (docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-             .select("doc_id", digest(F.col("line")).alias("digest")).join(small, "digest")
+    whole = docs.select("doc_id", digest(canonical(F.col("text"))).alias("digest"))
+    forms = docs.select("doc_id", F.explode(canonical_lines(F.col("text"))).alias("form")).where(F.col("form") != "")
+    lines = (forms.select("doc_id", "form", F.xxhash64("form").alias("key")).join(small, "key").where(digest(F.col("form")) == F.col("digest"))
              .groupBy("doc_id").agg(F.sort_array(F.collect_set("spdx")).alias("line_licences"), F.count(F.lit(1)).alias("n_lines")))
-    found = whole.join(small.withColumnRenamed("spdx", "text_licence"), "digest", "left")
+    found = whole.join(small.select("digest", F.col("spdx").alias("text_licence")), "digest", "left")
     return found.join(lines, "doc_id", "left").select(
         "doc_id", "digest", "text_licence", F.coalesce(F.array_join("line_licences", ","), F.lit("")).alias("line_licences"),
         F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_licence_lines"))

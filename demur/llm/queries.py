@@ -33,10 +33,10 @@ def token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sql_canonical(text: str) -> str:
     body = f"regexp_replace({text}, '{licences.COPYRIGHT_LINE}', ' ', 'g')"
-    body = f"replace(' ' || regexp_replace(lower({body}), '{licences.NOT_WORD}', ' ', 'g') || ' ', '  ', ' ')"
+    body = f"' ' || regexp_replace(lower({body}), '{licences.NOT_WORD}', '  ', 'g') || ' '"
     for other, usual in licences.SPELLINGS.items():
-        body = f"replace({body}, ' {other} ', ' {usual} ')"
-    return body
+        body = f"replace({body}, '{licences.spaced(other)}', '{licences.spaced(usual)}')"
+    return f"trim({body})"
 
 
 def _sql_text(value: str) -> str:
@@ -48,7 +48,7 @@ WITH known AS (
   SELECT sha256({_sql_canonical('notice')}) AS digest, min(spdx) AS text_licence
   FROM (VALUES {', '.join(f"({_sql_text(k)}, {_sql_text(t)})" for k, v in licences.NOTICES.items() for t in v)}) AS v(spdx, notice) GROUP BY 1),
 forms AS (SELECT doc_id, {_sql_canonical('text')} AS form FROM documents),
-wholes AS (SELECT doc_id, CASE WHEN trim(form) <> '' THEN sha256(form) END AS digest FROM forms),
+wholes AS (SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest FROM forms),
 lines AS (SELECT doc_id, sha256({_sql_canonical('line')}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
 found AS (SELECT doc_id, string_agg(DISTINCT text_licence, ',' ORDER BY text_licence) AS line_licences, count(*) AS n FROM lines JOIN known USING (digest) GROUP BY doc_id)
 SELECT doc_id, digest, text_licence, coalesce(line_licences, '') AS line_licences, coalesce(n, 0) AS n_licence_lines

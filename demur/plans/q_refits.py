@@ -82,16 +82,46 @@ def quantile_lines(rows, alpha=ALPHA):
     return quantreg.fit(oof, "oof", "truth", alpha / 2), quantreg.fit(oof, "oof", "truth", 1 - alpha / 2), oof
 
 
-@query("quantile_reg")
+# The loss is convex in the slope once the best intercept, an order statistic of the residuals, is put in: a ternary search finds the slope,
+# and the two points nearest to the line found give it exactly.
+cte("qr_search", """WITH RECURSIVE step(n, tau, lo, hi) AS (
+    SELECT 0, tau, -20.0::DOUBLE, 20.0::DOUBLE FROM (VALUES (0.05::DOUBLE), (0.95::DOUBLE)) t(tau) UNION ALL
+    SELECT n + 1, tau, CASE WHEN l1 <= l2 THEN lo ELSE m1 END, CASE WHEN l1 <= l2 THEN m2 ELSE hi END FROM (
+      SELECT n, tau, lo, hi, m1, m2, max(l) FILTER (side = 1) AS l1, max(l) FILTER (side = 2) AS l2 FROM (
+        SELECT n, tau, lo, hi, m1, m2, side, list_sum(list_transform(r, lambda v: greatest(tau*(v - r[c]), (tau - 1)*(v - r[c])))) AS l FROM (
+          SELECT n, tau, lo, hi, m1, m2, side, list(truth - b*oof ORDER BY truth - b*oof) AS r, ceil(tau*count(*))::INT AS c FROM (
+            SELECT s.*, side, CASE side WHEN 1 THEN m1 ELSE m2 END AS b FROM (SELECT *, lo + (hi - lo)/3 AS m1, hi - (hi - lo)/3 AS m2 FROM step WHERE n < 110) s,
+              (VALUES (1), (2)) w(side)), oof_fit GROUP BY n, tau, lo, hi, m1, m2, side)) GROUP BY n, tau, lo, hi, m1, m2))
+  SELECT tau, (lo + hi)/2 AS b FROM step WHERE n = 110""", "oof_fit")
+cte("qr", """WITH r AS (SELECT tau, oof AS x, truth AS y, truth - b*oof AS r FROM qr_search, oof_fit),
+    a AS (SELECT tau, list(r ORDER BY r)[ceil(tau*count(*))::INT] AS a FROM r GROUP BY tau),
+    near AS (SELECT tau, x, y, row_number() OVER (PARTITION BY tau ORDER BY d, y) AS place FROM (
+      SELECT tau, x, min_by(y, abs(r - a)) AS y, min(abs(r - a)) AS d FROM r JOIN a USING (tau) GROUP BY tau, x))
+  SELECT p.tau, (q.y - p.y)/(q.x - p.x) AS b, p.y - (q.y - p.y)/(q.x - p.x)*p.x AS a FROM near p JOIN near q ON q.tau = p.tau AND p.place = 1 AND q.place = 2""",
+    "qr_search", "oof_fit")
+cte("qr_hat", """SELECT s.*, (mass - mx)*w + my AS yhat, l.a + l.b*((mass - mx)*w + my) AS qlo, h.a + h.b*((mass - mx)*w + my) AS qhi FROM x_all s,
+    (SELECT avg(mass) AS mx, avg(truth) AS my, covar_pop(mass, truth)*count(*)/(var_pop(mass)*count(*) + 1) AS w FROM x_all WHERE role = 'fit'),
+    (SELECT a, b FROM qr WHERE tau < 0.5) l, (SELECT a, b FROM qr WHERE tau > 0.5) h""", "x_all", "qr")
+cte("qr_q", """SELECT model, s AS q FROM (SELECT model, s, row_number() OVER (PARTITION BY model ORDER BY s) AS r,
+      least(ceil((count(*) OVER (PARTITION BY model) + 1)*(1 - 0.1::DOUBLE)), count(*) OVER (PARTITION BY model)) AS k FROM
+      (SELECT 'cqr' AS model, greatest(qlo - truth, truth - qhi) AS s FROM qr_hat WHERE role = 'calib' UNION ALL
+       SELECT 'constant', abs(truth - yhat) FROM qr_hat WHERE role = 'calib')) WHERE r = k""", "qr_hat")
+cte("qr_ranges", """SELECT id, truth, model, greatest(0, CASE model WHEN 'cqr' THEN qlo ELSE yhat END - q) AS lo,
+    CASE model WHEN 'cqr' THEN qhi ELSE yhat END + q AS hi FROM qr_hat, qr_q WHERE role = 'test'""", "qr_hat", "qr_q")
+
+
+@query("quantile_reg", with_ctes("""SELECT tau, round(a, 3) AS intercept, round(b, 8) AS slope, round(avg((truth - a - b*oof < -1e-5)::INT), 6) AS share_below,
+    round(avg(greatest(tau*(truth - a - b*oof), (tau - 1)*(truth - a - b*oof))), 4) AS loss FROM qr, oof_fit GROUP BY tau, a, b""", "qr", "oof_fit"))
 def quantile_reg(spark, sf):
-    """The two lines, the share of rows below each and the pinball loss; optimality is tested by brute force."""
+    """The two lines, the share of rows below each and the pinball loss."""
     rows = x_rows(spark, sf).filter("role = 'fit'")
     low, high, oof = quantile_lines(rows)
     out = None
     for tau, (a, b) in ((0.05, low), (0.95, high)):
         r = F.col("truth") - quantreg.line(F.col("oof"), (a, b))
-        one = oof.agg(F.avg((r < 0).cast("double")).alias("share_below"), F.avg(F.greatest(tau * r, (tau - 1) * r)).alias("loss")).select(
-            F.lit(tau).alias("tau"), F.lit(a).alias("intercept"), F.lit(b).alias("slope"), "share_below", "loss")
+        one = oof.agg(F.avg((r < -1e-5).cast("double")).alias("share_below"), F.avg(F.greatest(tau * r, (tau - 1) * r)).alias("loss")).select(
+            F.lit(tau).alias("tau"), F.round(F.lit(a), 3).alias("intercept"), F.round(F.lit(b), 8).alias("slope"),
+            F.round("share_below", 6).alias("share_below"), F.round("loss", 4).alias("loss"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -104,7 +134,7 @@ def cqr_ranges(calib, test, low, high, alpha=ALPHA):
     return test.withColumns({"lo": F.greatest(F.lit(0.0), lo() - q), "hi": hi() + q})
 
 
-@query("cqr")
+@query("cqr", with_ctes("SELECT id, truth, round(lo, 3) AS lo, round(hi, 3) AS hi FROM qr_ranges WHERE model = 'cqr'", "qr_ranges"))
 def cqr(spark, sf):
     rows = x_rows(spark, sf)
     fit = rows.filter("role = 'fit'")
@@ -115,7 +145,11 @@ def cqr(spark, sf):
     return got.select("id", "truth", F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"))
 
 
-@query("cqr_score")
+@query("cqr_score", with_ctes(f"""WITH e AS (SELECT quantile_cont(truth, [0.25, 0.5, 0.75]) AS e FROM qr_ranges WHERE model = 'cqr'),
+    r AS (SELECT *, (truth >= lo AND truth <= hi)::INT AS c, hi - lo AS w, len(list_filter(e, lambda v: v <= truth)) AS bin FROM qr_ranges, e)
+  SELECT model, count(*) AS n, round(avg(c), 6) AS coverage, round(avg(w), 3) AS width_mean, round(avg((w <= {USABLE})::INT), 6) AS usable_share,
+    round(avg(w + 20*(greatest(lo - truth, 0) + greatest(truth - hi, 0))), 3) AS interval_score, round(median(w), 3) AS width_median, """
+    + ", ".join(f"round(avg(c) FILTER (bin = {i}), 6) AS coverage_q{i + 1}" for i in range(4)) + " FROM r GROUP BY model", "qr_ranges"))
 def cqr_score(spark, sf):
     """Symmetric and quantile-regression ranges side by side, with coverage by truth quartile."""
     rows = x_rows(spark, sf)
@@ -129,7 +163,9 @@ def cqr_score(spark, sf):
     both = const.unionByName(cqr_ranges(calib, test, low, high).withColumn("model", F.lit("cqr")))
     quarter = score_by_bin(both, "truth", edges(test, "truth", 4)).groupBy("model").pivot("bin", [0, 1, 2, 3]).agg(F.first("coverage"))
     quarter = quarter.withColumnsRenamed({str(i): f"coverage_q{i + 1}" for i in range(4)})
-    return score_ranges(both, usable=USABLE).join(quarter, "model")
+    got = score_ranges(both, usable=USABLE).join(quarter, "model")
+    return got.select("model", "n", *[F.round(c, 3).alias(c) for c in ("width_mean", "interval_score", "width_median")],
+                      *[F.round(c, 6).alias(c) for c in ("coverage", "usable_share", *(f"coverage_q{i}" for i in range(1, 5)))])
 
 
 cte("rr_ranges", """SELECT t.rep, t.truth, greatest(0, t.pred - q) AS lo, t.pred + q AS hi FROM rf_test t JOIN

@@ -38,20 +38,46 @@ def sample_per_class(df: DataFrame, label: str, key: str, per_class: int) -> Dat
     return ranked.where(F.col("place") <= per_class).select(key, label)
 
 
+#: Rows of texts that travel to Python at once.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long: lowers the session's rows per Arrow batch to TEXT_ROWS where it is larger, which bounds the memory of a task."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting, "10000")) <= TEXT_ROWS:
+        spark.conf.set(setting, str(TEXT_ROWS))
+
+
+_held: dict[str, object] = {}
+
+
+def held(key: str, build):
+    """What a worker keeps between its tasks: one thing at a time, of the operator that ran last."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
 def map_text(df: DataFrame, keep: list[str], run, results: str) -> DataFrame:
     """``keep`` columns of ``df`` beside what ``run`` makes of each array of texts: columns by the names and types of ``results``.
 
-    Columns travel by position, so that a kept column may have the name of a result; it then stands first.
+    Columns travel by position, so that a kept column may have the name of a result; it then stands first. The text travels once.
     """
+    small_batches(df.sparkSession)
     inside = [f"kept {i}" for i in range(len(keep))]
-    passed = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(keep, inside)], F.col("text").alias("text to read"))
+    read = keep.index("text") if "text" in keep else len(keep)
+    extra = [] if "text" in keep else [F.col("text").alias("text to read")]
+    passed = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(keep, inside)], *extra)
     made = [r.strip().split(" ") for r in results.split(",")]
 
     def whole(batches):
         import pyarrow as pa
         for batch in batches:
-            columns = [batch.column(i) for i in range(len(inside))] + run(batch.column(len(inside)))
+            columns = [batch.column(i) for i in range(len(inside))] + run(batch.column(read))
             yield pa.RecordBatch.from_arrays(columns, names=inside + [f"made {n}" for n, _ in made])
+        pa.default_memory_pool().release_unused()
 
     schema = ", ".join([f"`{i}` {f.dataType.simpleString()}" for i, f in zip(inside, passed.schema)] + [f"`made {n}` {t}" for n, t in made])
     out = passed.mapInArrow(whole, schema)

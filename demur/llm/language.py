@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, map_text, sample_per_class
+from .common import held, held_out, map_text, sample_per_class
 
 SAMPLE_PER_LANGUAGE = 1500
 DICTIONARY_BYTES = 160_000
@@ -83,9 +83,10 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (share of the winner when a byte of difference counts as a factor e), rejected."""
-        data = " ".join(distinct_words(text)).encode()
-        if not data or not self.langs:
+        words = distinct_words(text)
+        if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0, True
+        data = " ".join(words).encode()
         sizes = self.sizes(data)
         order = np.argsort(sizes, kind="stable")
         best = sizes[order[0]]
@@ -93,19 +94,14 @@ class Classifier:
         return self.langs[order[0]], float(1 / np.exp(best - np.array(sizes, float)).sum()), bool(narrow)
 
 
-_built: dict[str, Classifier] = {}
-
-
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, lang_pred, score and rejected of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
     key = uuid.uuid4().hex
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        if key not in _built:
-            _built.clear()
-            _built[key] = Classifier(shared.value)
-        found = [_built[key].predict(t.as_py()) for t in texts]
+        model = held(key, lambda: Classifier(shared.value))
+        found = [model.predict(t.as_py()) for t in texts]
         return [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
 
     return map_text(docs, list(keep), run, "lang_pred string, score double, rejected boolean")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from demur.sources.staging import stage
 
+from .common import small_batches
 from .components import components
 
 TREES, DEPTH, SHALLOW = 16, 8, 4
@@ -142,6 +143,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                     [batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(briefs, pa.binary())],
                     names=["doc_id", "n_shingles", "digest", "sig", "brief"])
 
+    small_batches(docs.sparkSession)
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(
         run, "doc_id long, n_shingles long, digest binary, sig binary, brief binary")
 

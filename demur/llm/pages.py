@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import small_batches
+
 SAMPLE_PAGES = 240
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 96, 16, 6, 20
 INPUT = PATH_DIM + WORD_DIM + MEASURES
@@ -341,6 +343,7 @@ def label(found: list[list[Block]], weights: list[np.ndarray] | None) -> list[np
 
 def extract(pages: DataFrame, weights: list[np.ndarray] | None) -> DataFrame:
     """page_id, url and the main text of every page."""
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

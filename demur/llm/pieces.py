@@ -5,7 +5,7 @@
 2. Lattice: every word explodes into its substrings of at most the longest piece; they are joined with the piece table by equality. Characters that are
    no piece become byte pieces. Edges are grouped by word again (the rows never left their partition).
 3. Viterbi: a higher-order ``aggregate`` folds the edges of a word in order of their ends, and keeps for each position the path
-   of fewest pieces, and of these the one with the largest sum of piece scores.
+   of fewest pieces, and of these the one of the least sum of ranks by score.
 4. The encoded words go to sorted files in the shared folder, which tasks map into memory to look up the words of their texts; whole texts never move.
    Where the encoded words are beyond ``MAPPED_WORDS``, words of texts are joined with them by shuffling instead.
 
@@ -30,15 +30,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from demur.sources.staging import shared_folder, stage
 
+from .common import held, small_batches
 from .tokens import _store
 
 LONGEST = 256
 #: Encoded words that are mapped from files, about 25 bytes each.
 MAPPED_WORDS = 200_000_000
 #: Words that one worker remembers.
-REMEMBERED_WORDS = 500_000
-#: Cost of a piece against which scores, the negative ranks of a vocabulary below this size, only settle ties.
-PIECE_COST = 1e6
+REMEMBERED_WORDS = 200_000
+#: Cost of a piece, against which its rank by score only settles ties; above the size of a vocabulary.
+PIECE_COST = 1_000_000
+#: Words whose edges one task groups by hashing before it goes over to sorting, and Spark's setting for that.
+WORDS_AT_ONCE, HASHED_GROUPS = 150_000, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 ANY_LETTERS = r"\n| *[^\W\d_]+| *(?:(?![^\W\d_])[^ \n])+| +"
 SPACES_ONLY = r"\n| *[^ \n]+| +"
 
@@ -85,46 +88,75 @@ def words_of(text: str | None, pattern: str) -> list[str]:
 
 
 def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
+    """The distinct words of all texts, dealt by word; tasks send each of their words once."""
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[str] = set()
         for batch in batches:
             for text in batch.column(0):
                 met.update(words_of(text.as_py(), pattern))
-            if len(met) > 1_000_000:
+            if len(met) > REMEMBERED_WORDS:
                 yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string())], names=["word"])
                 met = set()
         yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string())], names=["word"])
 
-    return docs.select("text").mapInArrow(run, "word string").distinct()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select("text").mapInArrow(run, "word string").repartition(parts, "word").distinct()
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """word, ids of every word of ``words`` (word), which are distinct."""
-    table = words.sparkSession.createDataFrame(model.pieces, "piece string, id int, score double")
-    table = F.broadcast(table)  # as many rows as the model has pieces
+    """word, ids of every word of ``words`` (word), which are distinct.
+
+    An edge is one number: end (from bit 41), start (from bit 32), and below them the rank of the piece, or minus one minus the
+    code of a sign that is no piece. Numbers sort by end, then start.
+    """
+    spark = words.sparkSession
+    ranked = sorted(model.pieces, key=lambda p: (-p[2], p[1]))
+    # As many rows as the model has pieces.
+    table = F.broadcast(spark.createDataFrame([(p[0], rank) for rank, p in enumerate(ranked)], "piece string, rank long"))
+    if int(spark.conf.get(HASHED_GROUPS, "128")) < WORDS_AT_ONCE:
+        spark.conf.set(HASHED_GROUPS, str(WORDS_AT_ONCE))
     starts = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
     spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("word") - F.col("start")))).alias("n"))
     spans = spans.select("word", "start", "n", F.substr("word", F.col("start") + 1, F.col("n")).alias("piece"))
-    edges = spans.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("n") == 1))
-    code = F.hex(F.encode("piece", "UTF-8"))
-    table_of_bytes = F.array(*[F.lit(i) for i in model.byte_ids])
-    by_byte = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)),
-                          lambda i: F.get(table_of_bytes, F.conv(F.substr(code, i, F.lit(2)), 16, 10).cast("int")))
-    edge = F.struct((F.col("start") + F.col("n")).alias("end"), "start",
-                    F.when(F.col("id").isNotNull(), F.col("score") - PIECE_COST).otherwise(-1000 * PIECE_COST).alias("score"),
-                    F.when(F.col("id").isNotNull(), F.array("id")).otherwise(by_byte).alias("ids"))
+    edges = spans.join(table, "piece", "left").where(F.col("rank").isNotNull() | (F.col("n") == 1))
+    low = F.coalesce(F.col("rank"), F.lit((1 << 32) - 1).cast("long") - F.ascii("piece"))
+    edge = F.shiftleft((F.col("start") + F.col("n")).cast("long"), 41) + F.shiftleft(F.col("start").cast("long"), 32) + low
     grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
+    start = F.array(F.struct(F.lit(0).cast("long").alias("cost"), F.array().cast("array<int>").alias("codes")))
 
     def step(done, e):
-        before = F.get(done, e["start"])
-        score = before["score"] + e["score"]
-        path = F.array(F.struct(score.alias("score"), F.concat(before["ids"], e["ids"]).alias("ids")))
-        reached = F.size(done) - 1
-        return (F.when(reached < e["end"], F.concat(done, path))
-                .when(score > F.element_at(done, -1)["score"], F.concat(F.slice(done, F.lit(1), reached), path)).otherwise(done))
-
-    return grouped.select("word", F.aggregate("edges", start, step, lambda done: F.element_at(done, -1)["ids"]).alias("ids"))
+        end, begin = F.shiftright(e, 41), F.shiftright(e, 32).bitwiseAND(F.lit(511)).cast("int")
+        code = F.shiftright(F.shiftleft(e, 32), 32)
+        before, reached = F.get(done, begin), F.size(done) - 1
+        cost = before["cost"] + F.when(code >= 0, code + PIECE_COST).otherwise(1000 * PIECE_COST)
+        path = F.array(F.struct(cost.alias("cost"), F.concat(before["codes"], F.array(code.cast("int"))).alias("codes")))
+        return (F.when(reached < end, F.concat(done, path))
+                .when(cost < F.element_at(done, -1)["cost"], F.concat(F.slice(done, F.lit(1), reached), path)).otherwise(done))
+
+    folded = grouped.select("word", F.aggregate("edges", start, step, lambda done: F.element_at(done, -1)["codes"]).alias("codes"))
+    ids = np.array([p[1] for p in ranked], np.int32)
+    byte_ids = model.byte_ids
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            codes, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            out = ids[np.maximum(codes, 0)] if len(ids) else np.zeros(len(codes), np.int32)
+            odd = np.flatnonzero(codes < 0)
+            if len(odd):
+                spelled = [[byte_ids[b] for b in chr(-1 - c).encode()] for c in codes[odd].tolist()]
+                grown = np.ones(len(codes), np.int64)
+                grown[odd] = [len(x) for x in spelled]
+                ends = np.concatenate([[0], np.cumsum(grown)])
+                wide = np.repeat(out, grown)
+                for at, x in zip(ends[odd].tolist(), spelled):
+                    wide[at:at + len(x)] = x
+                out, offsets = wide, ends[offsets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.int32()))], names=["word", "ids"])
+
+    return folded.mapInArrow(named, "word string, ids array<int>")
 
 
 def write_words(encoded: DataFrame, folder: str) -> list[tuple[int, int, int]]:
@@ -205,7 +237,6 @@ class Words:
         return [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
 
 
-_open: dict[str, Words] = {}
 TEXTS_AT_ONCE = 64
 
 
@@ -215,10 +246,7 @@ def _by_files(docs: DataFrame, encoded: DataFrame, model: Model, keep: list[str]
     schema = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if folder not in _open:
-            _open.clear()
-            _open[folder] = Words(folder, parts)
-        words = _open[folder]
+        words = held(folder, lambda: Words(folder, parts))
         for batch in batches:
             for at in range(0, len(batch), TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)

@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from demur.sources.staging import stage
 
-from .common import held_out, map_text, sample_per_class
+from .common import held, held_out, map_text, sample_per_class
 
 SAMPLE_PER_LABEL = 2000
 VOCABULARY = 20_000
 DIM, SPIKES, REACH, HIDDEN = 64, 8, 2, 24
 KEEP_FROM = 0.3
-REMEMBERED_TOKENS = 400_000
+REMEMBERED_TOKENS = 200_000
 tokens = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
 REPEATED, SEEN_BEFORE, SAME_LINE, EMPTY = "<repeated>", "<seen before>", "<same line>", "<empty>"
 
@@ -225,19 +225,13 @@ def probability(model: Model, pooled: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit / model.temperature, -40, 40)))
 
 
-_poolers: dict[str, Pooler] = {}
-
-
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``score``, the probability of label 1, of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        if key not in _poolers:
-            _poolers.clear()
-            _poolers[key] = Pooler(shared.value.vocabulary)
-        pooler = _poolers[key]
+        pooler = held(key, lambda: Pooler(shared.value.vocabulary))
         vectors = np.array([pooler.pool(t.as_py()) for t in texts], float).reshape(-1, DIM)
         return [pa.array(probability(shared.value, vectors), pa.float64())]
 

@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from demur.sources.staging import shared_folder
 
+from .common import held, small_batches
+
 NULL_ID = -(1 << 63)
 #: Chunks, and words, that one worker remembers; beyond it the memory starts anew, results do not depend on it.
 REMEMBERED_WORDS = 600_000
 #: Texts whose characters all lie below this code point need no composing and have simple lower-case forms.
 SIMPLE_BELOW = 0x300
-_encoders: dict[str, "WordEncoder"] = {}
 
 
 def _letters(prefix: str) -> str:
@@ -96,9 +97,7 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return held(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def _store(folder: str):
@@ -111,6 +110,7 @@ def _store(folder: str):
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, parts: int | None = None) -> DataFrame:
     """Write the files of ``docs`` (doc_id, text); returns one row per part with its base among all ids."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))

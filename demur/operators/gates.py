@@ -21,9 +21,9 @@ BLENDED = ["mahalanobis", "knn_dist", "ensemble_spread", "learned_error"]
 
 def row_multiplicities(rows: DataFrame, ident: str, replicates: int = ENSEMBLE, seed: int = 760,
                        name: str = "mult") -> DataFrame:
-    """Row bootstrap: an array of draws per replicate for every row, zeros included."""
+    """Row bootstrap: an array of draws per replicate for every row, zeros included. Only ids are ranked."""
     spark, n = rows.sparkSession, rows.count()
-    numbered = running(rows, [ident], rank="_ord")
+    numbered = running(rows.select(ident), [ident], rank="_ord")
     draws = spark.range(replicates * n).select(
         F.floor(F.col("id") / n).cast("int").alias("b"),
         (F.floor(uniform("ensemble", seed, F.floor(F.col("id") / n), F.col("id") % n) * n) + 1).alias("_ord"))
@@ -31,8 +31,8 @@ def row_multiplicities(rows: DataFrame, ident: str, replicates: int = ENSEMBLE,
         F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("_m"))
     joined = numbered.join(counts, "_ord", "left")
     at = lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0)).cast("double")
-    return joined.withColumn(name, F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: F.coalesce(
-        at(b), F.lit(0.0)))).drop("_ord", "_m")
+    drawn = joined.select(ident, F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: F.coalesce(at(b), F.lit(0.0))).alias(name))
+    return rows.join(drawn, ident)
 
 
 @dataclass

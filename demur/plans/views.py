@@ -120,7 +120,7 @@ def _fact(spark: SparkSession, sf: str) -> DataFrame:
 
 def fact(spark: SparkSession, sf: str) -> DataFrame:
     """The prediction fact, built once per application and read by every evaluation."""
-    return stage_once(spark, f"{sf}:fact", lambda: _fact(spark, sf), sf)
+    return stage_once(spark, f"{sf}:fact", lambda: _fact(spark, sf), sf, ("condition", "role"), ("id",))
 
 
 _SEEN_SQL = {"clean": "TRUE", "no_returns": "l_returnflag <> 'R'", "closed_only": "l_linestatus = 'F'"}

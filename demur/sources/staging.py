@@ -53,12 +53,19 @@ def input_state(spark: SparkSession, folder: str) -> str:
     return hashlib.md5(repr(sorted(found)).encode()).hexdigest()
 
 
-def stage_once(spark: SparkSession, key: str, build, folder: str | None = None) -> DataFrame:
-    """Stage under a key once per application; later calls read the same table, unless the input ``folder`` has changed."""
+def stage_once(spark: SparkSession, key: str, build, folder: str | None = None, partition_by: tuple[str, ...] = (),
+               order: tuple[str, ...] = ()) -> DataFrame:
+    """Stage under a key once per application; later calls read the same table, unless the input ``folder`` has changed.
+
+    With ``partition_by`` the table has a folder per value, dealt and sorted by ``order`` inside, so that filters on either skip files or
+    row groups.
+    """
     memo_key = (spark.sparkContext.applicationId, key if folder is None else f"{key}:{input_state(spark, folder)}")
     if memo_key not in _memo:
         df = build()
         path = f"{shared_folder(spark)}/shared-{uuid.uuid4().hex}"
-        df.write.mode("errorifexists").parquet(path)
+        if partition_by:
+            df = df.repartitionByRange(*partition_by, *order).sortWithinPartitions(*partition_by, *order)
+        df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
         _memo[memo_key] = path
     return spark.read.parquet(_memo[memo_key])

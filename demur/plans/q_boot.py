@@ -13,7 +13,7 @@ from demur.operators.resample import (interval, mean_interval, multiplicities, r
 
 from .q_curves import cov_list
 from .registry import cte, query, u, with_ctes
-from .views import GATES, INPUT_GATES, MODEL_GATES, calib_rows, fact, long_gates, test_long, test_rows
+from .views import GATES, MODEL_GATES, calib_rows, fact, long_gates, test_long, test_rows
 
 B = 20
 OPS = [0.9, 0.5]

@@ -4,21 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from demur.operators.assess import band, edges
 from demur.operators.crossfit import (bagged_head, fit_heads, line, out_of_fold, pool_roles, repeated_folds, score_held,
                                       seeded_roles)
-from demur.operators.curves import COVERAGES, SENSITIVITY, aurc, curve, with_perfect
-from demur.operators.evaluate import (against, holm, pair_differences, placebo_summary, replicated_curves,
-                                      summarise_difference)
-from demur.operators.lines import fit_line, moments, slope
+from demur.operators.curves import COVERAGES, SENSITIVITY, aurc, with_perfect
+from demur.operators.evaluate import against, holm, pair_differences, replicated_curves, summarise_difference
+from demur.operators.lines import fit_line
 from demur.operators.resample import multiplicities
-from demur.operators.splits import cluster_sizes, deal_round_robin, permute
+from demur.operators.splits import cluster_sizes, deal_round_robin
 from demur.sources.staging import stage, stage_once
 
-from .q_boot import _R, NOISE, diff_sql, gap_sql, round_diff, boot_curves, vs_random
+from .q_boot import _R, NOISE, diff_sql, gap_sql, round_diff
 from .q_curves import cov_list
 from .registry import cte, query, u, with_ctes
-from .views import INPUT_GATES, calib_rows, fact, test_rows
+from .views import INPUT_GATES, fact
 
 R, K, B = 2, 5, 20
 XGATES = ["pred_magnitude", "learned_error", "model_spread", "n_lines", "spread"]

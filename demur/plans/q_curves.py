@@ -10,7 +10,7 @@ from demur.operators.curves import (COVERAGES, DENSE, aurc, curve, gap_share, pi
 from demur.operators.ranking import running
 
 from .registry import cte, query, with_ctes
-from .views import (GATES, calib_rows, fact, long_gates, table, test_long, test_rows)
+from .views import GATES, calib_rows, fact, long_gates, test_long, test_rows
 
 BIG, SMALL = 300_000.0, 50_000.0
 

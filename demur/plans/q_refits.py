@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from demur.operators import quantreg
 from demur.operators.assess import band, edges
-from demur.operators.crossfit import fit_heads, out_of_fold, score_held, seeded_roles
+from demur.operators.crossfit import fit_heads, out_of_fold, seeded_roles
 from demur.operators.curves import curve
 from demur.operators.evaluate import placebo_summary
 from demur.operators.lines import fit_line, pair_heads

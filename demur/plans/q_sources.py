@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from demur.functions.conditions import enumerate_conditions, parse_spec, tag
 from demur.operators.curves import with_perfect, curve
 from demur.sources.facts import as_json, complete_cache, merge_keys
-from demur.sources.features import assemble, pool_tokens, with_fallback
+from demur.sources.features import pool_tokens, with_fallback
 from demur.sources.listing import available_ids, reconcile, roll_up
 from demur.sources.records import clean_lookup, last_wins, parse_records, plausible, usable
 
-from .registry import cte, query, u, with_ctes
-from .views import GATES, entities, fact, items, role_of, table, test_long
+from .registry import query, u, with_ctes
+from .views import GATES, entities, fact, items, table, test_long
 
 
 def record_lines(spark, sf):

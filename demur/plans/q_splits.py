@@ -8,7 +8,7 @@ from demur.operators.splits import (carve, carve_rows, cluster_sizes, deal_by_si
                                     mixture_pick, permute)
 
 from .registry import cte, query, u, with_ctes
-from .views import CONDITIONS, items, test_rows, fact
+from .views import items, test_rows, fact
 
 # Shares of the conditions in a deployment mixture.
 MIXTURE = {"clean": 0.7, "no_returns": 0.2, "closed_only": 0.1}

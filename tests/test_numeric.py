@@ -5,7 +5,6 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from demur.operators import quantreg
 from demur.operators.gates import fit_gates, row_multiplicities

@@ -342,6 +342,17 @@ def test_language_held_out(spark):
     assert all(r["lang_pred"] == language.UNKNOWN for r in language.identify(docs(spark, [(1, "a word")]), {}).collect())
 
 
+def test_language_rejects_ties_of_any_length(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language.learn_dictionaries(table)
+    model = language.Classifier(found)
+    ties = ["zzqx vvkj", "qqqq", "zx qj vw kx", "я ю э"]
+    assert 0 < found.spread < 5 and all(len(set(model.sizes(t.encode()))) == 1 and model.predict(t)[2] for t in ties)
+    short = [(r["lang"], " ".join(language.distinct_words(r["text"])[:12])) for r in table.where(held_out(F.col("doc_id"))).select("lang", "text").collect()]
+    told = [(lang, *model.predict(t)) for lang, t in short if 40 <= len(t.encode()) < 400]
+    assert len(told) > 100 and sum(lang == p and not rejected for lang, p, _, rejected in told) >= 0.95 * len(told)
+
+
 def test_sample_per_class_is_bounded(spark):
     table = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("lang"))
     got = {r["lang"]: r["count"] for r in sample_per_class(table, "lang", "doc_id", 40).groupBy("lang").count().collect()}

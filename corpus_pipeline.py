@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows it is given and returns the columns of documents, the last one the encoded corpus.
 Rows with null texts, ids or languages are treated as the operators say; a null or empty text has no letter and goes at the
-language stage; rows repeated with one id share that id's fate.
+language stage; rows repeated with one id share that id's fate, and each row without an id is a document of its own.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from demur.llm import decontam, language, neardup, pieces, quality
-from demur.llm.common import table, without
+from demur.llm.common import keyed, table, without
 from demur.sources.staging import stage
 
 #: Model file of the last stage; None takes the public 32,000-piece one.
@@ -33,15 +33,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    groups = neardup.near_duplicates(docs)
-    return without(docs, stage(groups.where(~F.col("kept")).select("doc_id").distinct(), "copies"))
+    """The smallest id of every group of near-duplicates: five-word shingles, similarity 0.8 or more; of a group without ids, one row."""
+    rows = keyed(docs, "row_key")
+    groups = neardup.near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text"))
+    copies = stage(groups.where(~F.col("kept")).select(F.col("doc_id").alias("row_key")).distinct(), "copies")
+    return without(rows, copies, "row_key").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with a benchmark item."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, stage(found.where("contaminated").select("doc_id").distinct(), "contaminated"))
+    rows = keyed(docs, "row_key")
+    found = decontam.contaminated(rows.select(F.col("row_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hit = stage(found.where("contaminated").select(F.col("doc_id").alias("row_key")).distinct(), "contaminated")
+    return without(rows, hit, "row_key").select(*docs.columns)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from demur.sources.staging import stage
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 HOLD_OUT = 5
@@ -88,6 +92,36 @@ def map_text(df: DataFrame, keep: list[str], run, results: str) -> DataFrame:
 BROADCAST_IDS = 2_000_000
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``lone_row``: numbers from 1 for the rows with a null doc_id, and 0 for all others.
+
+    The rows without an id are written with their numbers, so that every read sees the same; counts of their parts, a row each, go through the driver.
+    """
+    lone = stage(docs.where(F.col("doc_id").isNull()).withColumn("lone_row", F.monotonically_increasing_id()), "lone")
+    part = F.shiftright("lone_row", 33)
+    counts = lone.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    if not counts:
+        return docs.withColumn("lone_row", F.lit(0).cast("long"))
+    before, offsets = 0, []
+    for r in counts:
+        offsets.append((r["part"], before))
+        before += r["n"]
+    starts = F.broadcast(docs.sparkSession.createDataFrame(offsets, "part long, start long"))
+    numbered = lone.join(starts, part == F.col("part")).withColumn("lone_row", F.col("start") + F.col("lone_row") % (1 << 33) + 1)
+    return docs.where(F.col("doc_id").isNotNull()).withColumn("lone_row", F.lit(0).cast("long")).unionByName(numbered.drop("part", "start"))
+
+
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` and ``key``: the doc_id, or for each row without one a number that is no doc_id, above all of them where there is room."""
+    told = told_apart(docs)
+    span = told.agg(F.max("doc_id").alias("last"), F.max("lone_row").alias("n")).first()
+    base, n = span["last"] or 0, span["n"] or 0
+    draw = random.Random(n)
+    while base + n >= 1 << 63 or n and docs.where(F.col("doc_id").between(base + 1, base + n)).limit(1).count():
+        base = draw.randrange(-(1 << 63), (1 << 63) - n - 1)
+    return told.withColumn(key, F.coalesce("doc_id", F.lit(base) + F.col("lone_row"))).drop("lone_row")
+
+
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows of ``ids``; rows with a null key stay. ``ids`` is a written table; it is broadcast where its count allows."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

@@ -14,7 +14,8 @@ The benchmark side is broadcast only where its distinct windows are counted to b
 each); beyond it Spark joins by shuffling, where adaptive execution splits keys that many documents share.
 
 Rows: null and empty texts, or texts without words, have no words and no hits; an item without words is no item; repeated
-items count each; repeated document ids are merged into one row with the hits of all their texts and the most words; an empty
+items count each; repeated document ids are merged into one row with the hits of all their texts and the most words; every row without an id is a document of its own
+and gives a row; an empty
 benchmark leaves all documents clean; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from demur.sources.staging import stage
 
-from .common import ascii_lower
+from .common import ascii_lower, told_apart
 
 WINDOW, GRAM = 10, 4
 #: Distinct benchmark windows that may be broadcast; a hash table of them takes under 100 MB.
@@ -80,35 +81,46 @@ def benchmark_windows(items: DataFrame, width: int = WINDOW, gram: int = GRAM) -
     return stage(out.distinct(), "benchmark")
 
 
+#: What tells documents apart: the id and, where it is null, the number of the row.
+DOCUMENT = ["doc_id", "lone_row"]
+
+
+def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """A left join on DOCUMENT where null ids are equal."""
+    right = right.withColumnsRenamed({"doc_id": "other_id", "lone_row": "other_row"})
+    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("lone_row") == F.col("other_row"))
+    return left.join(right, same, "left").drop("other_id", "other_row")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per document: n_words, n_hit (words inside any window of an item), the sorted items with windows in it, and whether any."""
     bench = benchmark_windows(items, window, gram)
     small = bench.select("print", "whole").distinct().limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    docs = docs.select("doc_id", "text")
+    docs = told_apart(docs.select("doc_id", "text"))
     widths = sorted({window} | {r["width"] for r in bench.select("width").distinct().collect()}, reverse=True)
     found = None
     for width in widths:
         keys = bench.where(F.col("width") == width).select("print", "whole").distinct().withColumn("hit", F.lit(True))
-        rows = windows(docs, "doc_id", width=width, gram=gram)
+        rows = windows(docs, *DOCUMENT, width=width, gram=gram)
         if width != window:
             rows = rows.where(F.col("pos") >= 0)
         # Markers have no partner and stay for the word counts.
         hits = (rows.join(F.broadcast(keys) if small else keys, ["print", "whole"], "left")
                 .where((F.col("pos") < 0) | F.col("hit"))
-                .select("doc_id", "pos", "print", "whole", F.lit(width).alias("width")))
+                .select(*DOCUMENT, "pos", "print", "whole", F.lit(width).alias("width")))
         found = hits if found is None else found.unionByName(hits)
     found = stage(found, "hits")
     spans = found.where(F.col("pos") >= 0)
-    before = "max(pos + width) OVER (PARTITION BY doc_id ORDER BY pos, width ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    new = (spans.select("doc_id", "pos", "width").distinct().withColumn("covered", F.expr(before))
+    before = "max(pos + width) OVER (PARTITION BY doc_id, lone_row ORDER BY pos, width ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    new = (spans.select(*DOCUMENT, "pos", "width").distinct().withColumn("covered", F.expr(before))
            .withColumn("new", F.greatest(F.lit(0), F.col("pos") + F.col("width") - F.greatest("pos", F.coalesce("covered", F.lit(0))))))
-    hit_words = new.groupBy("doc_id").agg(F.sum("new").alias("n_hit"))
+    hit_words = new.groupBy(*DOCUMENT).agg(F.sum("new").alias("n_hit"))
     owners = bench.select("print", "whole", "width", "item_id")
-    pairs = (spans.select("doc_id", "print", "whole", "width").distinct()
-             .join(F.broadcast(owners) if small else owners, ["print", "whole", "width"]).select("doc_id", "item_id").distinct())
-    lists = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    counts = found.where(F.col("pos") < 0).groupBy("doc_id").agg(F.max("whole").alias("n_words"))
-    out = counts.join(hit_words, "doc_id", "left").join(lists, "doc_id", "left")
+    pairs = (spans.select(*DOCUMENT, "print", "whole", "width").distinct()
+             .join(F.broadcast(owners) if small else owners, ["print", "whole", "width"]).select(*DOCUMENT, "item_id").distinct())
+    lists = pairs.groupBy(*DOCUMENT).agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
+    counts = found.where(F.col("pos") < 0).groupBy(*DOCUMENT).agg(F.max("whole").alias("n_words"))
+    out = _beside(_beside(counts, hit_words), lists)
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                       (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))

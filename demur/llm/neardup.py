@@ -15,7 +15,7 @@ Nothing is capped or dropped: a link is missed only if the two signatures agree
 
 Rows: a null or empty text, and one without words, has an empty set and is a group of its own; a text with fewer words than a shingle is
 one shingle; repeated ids share a group (their sets count as one document each, the group id is the id); null ids get no group
-and are left out; an empty table gives no rows; extra columns are ignored.
+and are left out (the pipeline gives such rows keys first, see ``common.keyed``); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

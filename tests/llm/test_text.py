@@ -389,6 +389,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert -99 not in left and -98 not in left and None in left
 
 
+def test_rows_without_ids_are_whole_documents(spark, tmp_path):
+    import corpus_pipeline
+    passage, other, third = (" ".join(f"{c}{i}" for i in range(30)) for c in "pqr")
+    items = [(1, passage), (2, "q3 q4 q5")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bench = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "a " + passage), (None, other), (None, third), (None, third), (None, None), (7, third), (2 ** 63 - 1, "x y " + passage), (9, "free")]
+    table = docs(spark, rows).repartition(3)
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["items"]) for r in decontam.contaminated(table, bench).collect())
+    assert got == sorted((i or 0, *brute_hits(t, items)) for i, t in rows)
+    stages = dict(corpus_pipeline.STAGES)
+    order = lambda rows: sorted(rows, key=repr)
+    clean = stages["decontamination"](spark, table, str(tmp_path))
+    assert clean.columns == table.columns and order(tuple(r)[:2] for r in clean.collect()) == order(x for x in rows if not brute_hits(x[1], items)[1])
+    single = order(tuple(r)[:2] for r in stages["near_duplicates"](spark, docs(spark, rows[:6] + [(None, other)]).repartition(3), str(tmp_path)).collect())
+    assert single == order([(None, "a " + passage), (None, other), (None, None), (7, third)])
+
+
 def test_queries_are_registered():
     import demur.llm as llm
     for n in range(1, 11):

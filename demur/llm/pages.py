@@ -1,7 +1,7 @@
 """Main text of web pages: a recurrent labeller reads a page's blocks in order and says which belong to the article.
 
 A page is cut into leaf blocks, runs of text between block-level tags, each with the path of open elements above it. A block becomes
-a vector: hashed names of the path (tags and words of class, id and role attributes), hashed words of the text, and a few
+a vector: hashed names of the path (tags and words of class, id and role attributes), hashed words of the whole text, and a few
 measures. A bidirectional LSTM in numpy reads the sequence and gives every block a probability; blocks of at least one half are kept.
 
 Learned from: ``SAMPLE_PAGES`` pages, those of the smallest id hashes, whose markup itself tells the article (an ``article`` or ``main``
@@ -148,9 +148,9 @@ def vectors(found: list[Block]) -> np.ndarray:
             at, sign = _hashed("last " + b.path[-1], PATH_DIM, _path_cache)
             row[at] += sign
         words = b.text.lower().split()
-        for w in words[:40]:
+        for w in words:
             at, sign = _hashed(w, WORD_DIM, _word_cache)
-            row[PATH_DIM + at] += sign / min(len(words), 40)
+            row[PATH_DIM + at] += sign / len(words)
         n = len(b.text)
         row[-6:] = (np.log1p(n) / 5, b.linked, b.text[-1] in ".!?", len(words) < 4, i / len(found), "©" in b.text)
     return out
@@ -196,7 +196,9 @@ def dressed(page: str, seed: int, shows: int = 6) -> list[tuple[list[Block], lis
         def other() -> str:
             t, a = OTHER_DRESS[draw.integers(len(OTHER_DRESS))]
             source = rest if draw.random() < 0.5 and rest else [b.text for b in article]
-            picked = [html.escape(source[draw.integers(len(source))][:200]) for _ in range(draw.integers(1, 5))]
+            picked = [source[draw.integers(len(source))] for _ in range(draw.integers(1, 5))]
+            # Whole blocks, and beginnings for short ones.
+            picked = [html.escape(p if draw.random() < 0.5 else p[:200]) for p in picked]
             item = {"nav": "li", "ul": "li", "ol": "li"}.get(t, ["p", "li", "div", "label"][draw.integers(4)])
             link = draw.random() < 0.4
             body = "".join(f"<{item}>{'<a href=x>' if link else ''}{p}{'</a>' if link else ''}</{item}>" for p in picked)

@@ -289,6 +289,16 @@ def test_main_text_on_held_pages(spark, sf):
     assert pages.main_text(table.limit(0)).count() == 0
 
 
+def test_every_word_of_a_block_counts():
+    first, last = "one " * 60, "comment " * 60
+    texts = [pages.blocks(f"<p>{t}</p>")[0] for t in (first + last, first + "subscribe " * 60)]
+    a, b = pages.vectors(texts)[:, pages.PATH_DIM:pages.PATH_DIM + pages.WORD_DIM]
+    assert (a != b).any()
+    page = "<body><article>" + "".join(f"<p>{'word%d ' % i * 100}</p>" for i in range(8)) + "</article></body>"
+    other = [len(t.text.split()) for seed in range(8) for shown, told in pages.dressed(page, seed)[1:] for t, y in zip(shown, told) if not y]
+    assert 100 in other and 34 in other
+
+
 def test_labeller_reads_other_dress(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     weights = pages.learn(table)

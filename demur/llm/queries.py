@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, language, licences, neardup, pages, pieces, quality, tokens, vectors
+from . import chat, decontam, language, licences, merkle, neardup, pages, pieces, quality, sharding, tokens, vectors
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,3 +186,101 @@ def piece_ids(spark: SparkSession, sf: str) -> DataFrame:
     named = encoded.select("doc_id", "text_sha256", "pieces", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(ids.cast("binary"), 256).alias("pieces_sha256"))
     back = pieces.decode(named, path, ("doc_id", "n_pieces", "pieces_sha256", "text_sha256"))
     return back.select("doc_id", "n_pieces", "pieces_sha256", (F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")).alias("round_trip"))
+
+
+#: The table of the reflected CRC-32 polynomial by its rule, as a list in a one-row relation ``crc_table(t)``.
+SQL_CRC_TABLE = f"""crc_table AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {0xEDB88320}) ELSE c >> 1 END, i)) AS t)"""
+
+
+def _sql_crc(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes; ``t`` of crc_table must be in scope."""
+    every = (1 << 32) - 1
+    bytes_of = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)"
+    return f"xor(list_reduce({bytes_of}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), {every}), {every})"
+
+
+SHARDS = 40
+OP13_SQL = f"""
+WITH {SQL_CRC_TABLE},
+sized AS (SELECT doc_id, coalesce('=' || source, '-') AS tree, coalesce(strlen(text), 0) + 16 AS size, {_sql_crc("coalesce(text, '')")} AS text_crc32 FROM documents, crc_table),
+told AS (SELECT *, md5('{sharding.SEED}|' || coalesce(doc_id::VARCHAR, '-') || '|' || text_crc32 || '|' || size) AS digest,
+  ('0x' || substr(md5('{sharding.SEED}|' || tree), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS phase FROM sized),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY tree ORDER BY digest) - 1 + phase) / count(*) OVER (PARTITION BY tree) AS fraction FROM told),
+placed AS (SELECT *, row_number() OVER (ORDER BY fraction, tree, digest) - 1 AS place, count(*) OVER () AS total FROM ranked),
+cut AS (SELECT *, place * {SHARDS} // total AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard, place - (shard * total + {SHARDS - 1}) // {SHARDS} AS slot, NULL::INTEGER AS grown_shard FROM cut
+"""
+
+
+@query("op13_shards", OP13_SQL)
+def shard_places(spark: SparkSession, sf: str) -> DataFrame:
+    data = F.coalesce("text", F.lit(""))
+    sized = table(spark, sf, "documents").select("doc_id", "source", (F.octet_length(data) + 16).cast("long").alias("size"),
+                                                 F.crc32(data.cast("binary")).alias("text_crc32"))
+    placed = sharding.interleave(sized, SHARDS, identity=("doc_id", "text_crc32", "size"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _sql_leaf(text: str) -> str:
+    values = [text if f == "text" else f"{f}::VARCHAR" for f in LEAF_FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {SQL_CRC_TABLE},
+leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || source, '-') AS tree, {_sql_leaf("text")} AS leaf,
+    CASE WHEN {_sql_crc("doc_id::VARCHAR")} % 2 = 0 THEN {_sql_leaf("replace(text, chr(10), '')")} ELSE {_sql_leaf("text")} END AS shown FROM documents, crc_table),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+nodes AS (
+  SELECT tree, 0 AS level, place, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (n + 2) // 3 FROM nodes WHERE n > 1 GROUP BY tree, level, place // 3, n),
+subroots AS MATERIALIZED (SELECT tree, level AS height, digest, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, place, digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (n + 2) // 3 FROM tops WHERE n > 1 GROUP BY level, place // 3, n),
+whole AS MATERIALIZED (
+  SELECT tree, level, place, digest, n FROM nodes WHERE n > 1
+  UNION ALL SELECT s.tree, s.height + t.level, t.place, t.digest, t.n FROM subroots s, tops t WHERE t.n > 1),
+paths AS (
+  SELECT p.tree, p.place AS leaf_place, 0 AS level, CASE WHEN height = 0 THEN s.place ELSE p.place END AS place, CASE WHEN height = 0 THEN s.n ELSE p.n END AS n,
+    height, s.place AS tree_place, s.n AS trees FROM placed p JOIN subroots s USING (tree)
+  UNION ALL
+  SELECT tree, leaf_place, level + 1, CASE WHEN level + 1 = height THEN tree_place ELSE place // 3 END,
+    CASE WHEN level + 1 = height THEN trees ELSE (n + 2) // 3 END, height, tree_place, trees FROM paths WHERE n > 1),
+steps AS MATERIALIZED (
+  SELECT p.tree, p.leaf_place, p.level, coalesce(string_agg(w.digest, '' ORDER BY w.place) FILTER (w.place < p.place), '') AS before,
+    coalesce(string_agg(w.digest, '' ORDER BY w.place) FILTER (w.place > p.place), '') AS after
+  FROM paths p JOIN whole w ON w.tree = p.tree AND w.level = p.level AND w.place // 3 = p.place // 3 GROUP BY p.tree, p.leaf_place, p.level, p.place),
+folds AS (
+  SELECT tree, place AS leaf_place, 0 AS level, shown AS digest FROM placed
+  UNION ALL
+  SELECT f.tree, f.leaf_place, f.level + 1, sha256(s.before || f.digest || s.after) FROM folds f JOIN steps s USING (tree, leaf_place, level)),
+ends AS (SELECT tree, leaf_place, arg_max(digest, level) AS folded_root FROM folds GROUP BY ALL),
+proofs AS (SELECT tree, leaf_place, sha256(string_agg(before || after, '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY ALL),
+root AS (SELECT digest AS root FROM tops WHERE n = 1)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, r.root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = r.root AS verified
+FROM placed p JOIN subroots s USING (tree) CROSS JOIN root r JOIN ends e ON e.tree = p.tree AND e.leaf_place = p.place
+LEFT JOIN proofs q ON q.tree = p.tree AND q.leaf_place = p.place
+"""
+
+
+@query("op12_manifest", OP12_SQL)
+def manifest_proofs(spark: SparkSession, sf: str) -> DataFrame:
+    """Proofs of all leaves, folded from texts of which half have lost their line ends."""
+    docs = table(spark, sf, "documents")
+    values = [F.col(f) for f in LEAF_FIELDS]
+    cut = [F.replace(F.col(f), F.lit("\n"), F.lit("")) if f == "text" else F.col(f) for f in LEAF_FIELDS]
+    hit = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    leaves = docs.select(F.col("source").alias("tree"), "doc_id", merkle.leaf_digest(*values).alias("digest"), F.when(hit, merkle.leaf_digest(*cut)).alias("tampered"))
+    proved = merkle.manifest(leaves, ["doc_id"], ("doc_id", "tampered")).proofs()
+    shown = proved.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+                          merkle.folded(F.coalesce("tampered", "digest"), F.col("proof")).alias("folded_root"))
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, language, licences, merkle, neardup, pages, pieces, quality, sharding, tokens, vectors
+from . import chat, decontam, language, licences, merkle, neardup, negatives, pages, pieces, quality, sharding, tokens, vectors
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,3 +284,29 @@ def manifest_proofs(spark: SparkSession, sf: str) -> DataFrame:
     shown = proved.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
                           merkle.folded(F.coalesce("tampered", "digest"), F.col("proof")).alias("folded_root"))
     return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = o.label AS alike, o.vec_id, list_inner_product(a.x, o.x)::BIGINT AS score
+  FROM v a JOIN v o ON a.vec_id <> o.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank,
+    s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT * FROM ranked WHERE rank <= 3
+"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives after one label in seven has moved on by one."""
+    label = F.col("label").cast("long")
+    moved = table(spark, sf, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mine(moved, F.col("vec_id") % 50 == 0)

@@ -3,7 +3,7 @@ r"""Sharding by proportional stratified interleaving: every shard is a small cop
 Rows are shuffled inside their source by a seeded digest, so the row with rank r of n has the fractional rank (r + phase) / n. ``phase`` is a
 draw of the source in [0, 1): sources of a few rows then lie anywhere and not all in the middle. All rows are sorted by the fractional
 rank and cut into shards whose counts differ by one at most; ``slot`` counts inside the shard from 0. A shard holds the share of every source that the whole
-table has, give or take two rows.
+table has, give or take two rows; the roundings of many small sources, each by its own phase, can add up to about the root of their number in a large one.
 
 No task ranks a whole source: the digest's leading bits deal a source into buckets, bucket counts are summed up first, and only rows of one bucket are
 ordered against each other; the fractional ranks, which are even by construction, are dealt the same way. A source with a third of all rows

@@ -2,14 +2,16 @@
 
 Vectors are scaled to length one and split in two halves; each half has its own centroids, fitted on a bounded sample. A vector lies in the cell of
 its two nearest centroids. A query walks through pairs of centroids in order of the summed distances of its halves, with a heap, until the cells
-it has met hold the share ``SHARE`` of all entries (``CANDIDATES`` at least), and its candidates are ranked again by the exact cosine on the
-original vectors. The share is what vectors without any clusters need for a recall of 0.9; clustered ones do with far less.
+it has met hold a share of all entries (``CANDIDATES`` at least), and its candidates are ranked again by the exact cosine on the
+original vectors. The share is learned with the centroids: so much as sampled queries need to meet ``RECALL`` of their nearest in the sample; it is near a third for
+vectors without any clusters and a few hundredths for clustered ones.
 
-Cells of one first centroid lie together: a query sends itself once to each first centroid it visits, with the second centroids it wants.
+Cells of one first centroid lie together: a query sends itself once to each first centroid it visits, with the second centroids it wants as bits, and all
+queries of a group are ranked in one matrix product.
 
 Copies: equal vectors are one entry that lists the ``k`` + 1 smallest ids; no other copy can be among the nearest, as ties go to smaller
 ids. Equal queries are searched once. So a vector that a third of all rows hold costs as much as any other. The cells of a first centroid
-are dealt into chunks of about ``CHUNK`` entries, and a query meets every chunk.
+are dealt into chunks of about ``CHUNK`` entries and its queries into as large ones, and every query chunk meets every chunk.
 
 Rows: a vector that is null, all zero, or holds a null or non-finite component, or has another length than most, takes no part, neither as query nor
 as candidate; a null id takes no part; rows repeated with one id count once; ties go to the smaller id; fewer candidates than k are all returned; an empty table,
@@ -29,9 +31,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from demur.sources.staging import stage
 
 SAMPLE = 20_000
-CANDIDATES, SHARE = 2000, 0.35
-LEAST_CENTROIDS, MOST_CENTROIDS = 4, 1024
+CANDIDATES, RECALL, SAMPLE_QUERIES = 2000, 0.97, 300
+LEAST_CENTROIDS, MOST_CENTROIDS, CELL_ENTRIES = 4, 1024, 12
 CHUNK = 4096
+#: Cosines that one step of a group holds.
+RANKED_AT_ONCE = 4_000_000
 ROUNDS = 12
 
 
@@ -95,8 +99,22 @@ def _smallest(df: DataFrame, group: list[str], order: list[Column | str], n: int
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= n)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int, share: float = SHARE, least: int = CANDIDATES) -> DataFrame:
-    """query_id, rank, vec_id, score: of every row of ``vectors`` (vec_id, embedding) where ``is_query``, its k nearest others."""
+def share_needed(x: np.ndarray, first: np.ndarray, second: np.ndarray, k: int, recall: float = RECALL) -> float:
+    """Share of the entries ``x`` (of length one) that lie in cells up to the one of a nearest neighbour, for ``recall`` of the k nearest of sampled queries."""
+    half = x.shape[1] // 2
+    a, b = nearest(x[:, :half], first), nearest(x[:, half:], second)
+    shares = [0.0]
+    for i in range(0, len(x), max(1, len(x) // SAMPLE_QUERIES)):
+        near = x @ x[i]
+        near[i] = -2.0
+        best = np.argpartition(-near, min(k, len(x) - 1))[:k]
+        sums = distances(x[i:i + 1, :half], first)[0][a] + distances(x[i:i + 1, half:], second)[0][b]
+        shares += np.searchsorted(np.sort(sums), sums[best[best != i]], "right").tolist()
+    return float(np.quantile(shares, recall)) / max(1, len(x))
+
+
+def search(vectors: DataFrame, is_query: Column, k: int, share: float | None = None, least: int = CANDIDATES) -> DataFrame:
+    """query_id, rank, vec_id, score: of every row of ``vectors`` (vec_id, embedding) where ``is_query``, its k nearest others; ``share`` overrides the learned one."""
     spark = vectors.sparkSession
     rows = _usable(vectors)
 
@@ -123,8 +141,10 @@ def search(vectors: DataFrame, is_query: Column, k: int, share: float = SHARE, l
     x = _matrix(sample.column(0).combine_chunks())
     x /= np.linalg.norm(x, axis=1)[:, None]
     half = x.shape[1] // 2
-    size = int(np.clip(round(np.sqrt(n)), LEAST_CENTROIDS, MOST_CENTROIDS))
-    books = spark.sparkContext.broadcast((kmeans(x[:, :half], size), kmeans(x[:, half:], size)))
+    size = int(np.clip(round(np.sqrt(n / CELL_ENTRIES)), LEAST_CENTROIDS, MOST_CENTROIDS))
+    fitted = kmeans(x[:, :half], size), kmeans(x[:, half:], size)
+    share = share_needed(x, *fitted, k) if share is None else share
+    books = spark.sparkContext.broadcast(fitted)
 
     wide_x = x.shape[1]
 
@@ -144,12 +164,9 @@ def search(vectors: DataFrame, is_query: Column, k: int, share: float = SHARE, l
     for cell, inside in held.value.items():
         chunks[cell // wide] = chunks.get(cell // wide, 0) + inside
     chunks = {first: -(-inside // CHUNK) for first, inside in chunks.items()}
-    dealt = index.withColumn("first", (F.col("cell") / wide).cast("long")).join(F.broadcast(spark.createDataFrame(
-        list(chunks.items()), "first long, chunks int")), "first").select(
-        "first", F.pmod(F.xxhash64("copy_of"), "chunks").cast("int").alias("chunk"), (F.col("cell") % wide).cast("int").alias("second"), "copy_of", "embedding")
-
     asked = named.where("asks").select("copy_of", F.col("vec_id").alias("query_id")).distinct()
     asking = entries.join(asked.select("copy_of").distinct(), "copy_of", "left_semi")
+    goal = max(least, share * n)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (first, second), inside_of = books.value, held.value.get
@@ -157,46 +174,53 @@ def search(vectors: DataFrame, is_query: Column, k: int, share: float = SHARE, l
             m = _matrix(batch.column(1)) if len(batch) else np.zeros((0, wide_x))
             u = m / np.linalg.norm(m, axis=1)[:, None]
             d1, d2 = distances(u[:, :half], first), distances(u[:, half:], second)
-            for i, copy_of in enumerate(batch.column(0).to_pylist()):
-                wanted: dict[int, list[int]] = {}
-                met = 0
+            visits = []
+            for i in range(len(batch)):
+                wanted, met = np.zeros((len(first), wide), bool), 0
                 for a, b in cells_in_order(d1[i], d2[i]):
                     inside = inside_of(a * wide + b, 0)
                     if inside:
-                        wanted.setdefault(a, []).append(b)
+                        wanted[a, b] = True
                         met += inside
                         if met >= goal:
                             break
-                to = [(a, c, bs) for a, bs in wanted.items() for c in range(chunks[a])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([t[0] for t in to], pa.int64()), pa.array([t[1] for t in to], pa.int32()), pa.array([copy_of] * len(to), pa.binary()),
-                     pa.array([m[i].tolist()] * len(to), pa.list_(pa.float64())), pa.array([t[2] for t in to], pa.list_(pa.int32()))],
-                    names=["first", "chunk", "asker", "wanted", "seconds"])
-
-    goal = max(least, share * n)
-    probes = asking.mapInArrow(walk, "first long, chunk int, asker binary, wanted array<double>, seconds array<int>")
+                visits.append([{"first": int(a), "seconds": np.packbits(wanted[a]).tobytes()} for a in np.flatnonzero(wanted.any(1))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(visits, pa.list_(pa.struct([("first", pa.int64()), ("seconds", pa.binary())])))],
+                                             names=["asker", "wanted", "visits"])
+
+    walked = stage(asking.mapInArrow(walk, "asker binary, wanted array<double>, visits array<struct<first:bigint,seconds:binary>>"), "walked")
+    visitors = {r["first"]: r["n"] for r in walked.select(F.explode("visits.first").alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n")).collect()}
+    groups = F.broadcast(spark.createDataFrame([(a, c, -(-visitors.get(a, 1) // CHUNK)) for a, c in chunks.items()], "first long, chunks int, deals int"))
+    to_each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    dealt = index.withColumn("first", F.expr(f"cell div {wide}")).join(groups, "first").select(
+        "first", F.pmod(F.xxhash64("copy_of"), "chunks").cast("int").alias("chunk"), to_each("deals").alias("deal"),
+        (F.col("cell") % wide).cast("int").alias("second"), "copy_of", "embedding")
+    probes = walked.select("asker", "wanted", F.inline("visits")).join(groups, "first").select(
+        "first", to_each("chunks").alias("chunk"), F.pmod(F.xxhash64("asker"), "deals").cast("int").alias("deal"), "asker", "wanted", "seconds")
 
     def rank(asked: pa.Table, there: pa.Table) -> pa.Table:
         if not len(asked) or not len(there):
             return _found([], [], [])
-        v = _matrix(there.column("embedding").combine_chunks())
-        names, lengths, second = there.column("copy_of").to_pylist(), np.linalg.norm(v, axis=1), there.column("second").to_numpy()
-        askers, entries, scores = [], [], []
-        q = _matrix(asked.column("wanted").combine_chunks())
-        for asker, one, wanted in zip(asked.column("asker").to_pylist(), q, asked.column("seconds").to_pylist()):
-            at = np.flatnonzero(np.isin(second, wanted))
-            if not len(at):
-                continue
-            cosine = v[at] @ one / (lengths[at] * np.linalg.norm(one))
+        v, q = (_matrix(t.column(c).combine_chunks()) for t, c in ((there, "embedding"), (asked, "wanted")))
+        lengths, second = np.linalg.norm(v, axis=1), there.column("second").to_numpy()
+        bits = np.frombuffer(b"".join(asked.column("seconds").to_pylist()), np.uint8).reshape(len(q), -1)
+        at, scores = [], []
+        step = max(1, RANKED_AT_ONCE // len(v))
+        for i in range(0, len(q), step):
+            some = q[i:i + step]
+            cosine = some @ v.T / (np.linalg.norm(some, axis=1)[:, None] * lengths)
+            cosine[np.unpackbits(bits[i:i + step], axis=1)[:, second] == 0] = -np.inf
             # All entries as near as the last wanted one stay, so that ties are settled by id later.
-            last = np.partition(cosine, max(0, len(at) - k - 1))[max(0, len(at) - k - 1)]
-            top = np.flatnonzero(cosine >= last)
-            askers += [asker] * len(top)
-            entries += [names[t] for t in at[top]]
-            scores += cosine[top].tolist()
-        return _found(askers, entries, scores)
-
-    found = probes.groupBy("first", "chunk").cogroup(dealt.groupBy("first", "chunk")).applyInArrow(rank, "asker binary, copy_of binary, score double")
+            last = np.partition(cosine, max(0, len(v) - k - 1), axis=1)[:, max(0, len(v) - k - 1)]
+            near = np.argwhere((cosine >= last[:, None]) & (cosine > -np.inf))
+            at.append(near + [i, 0])
+            scores.append(cosine[near[:, 0], near[:, 1]])
+        at = np.concatenate(at)
+        pick = lambda column, rows: column.combine_chunks().take(pa.array(rows))
+        return _found(pick(asked.column("asker"), at[:, 0]), pick(there.column("copy_of"), at[:, 1]), np.concatenate(scores))
+
+    keys = ["first", "chunk", "deal"]
+    found = probes.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(rank, "asker binary, copy_of binary, score double")
     # Every entry stands for its smallest ids; one more than wanted are kept, as one may be the asking row itself.
     spread = found.join(ids.select("copy_of", "vec_id"), "copy_of")
     best = _smallest(spread, ["asker"], [F.desc("score"), "vec_id"], k + 1, "near").select(F.col("asker").alias("copy_of"), "vec_id", "score")
@@ -204,5 +228,5 @@ def search(vectors: DataFrame, is_query: Column, k: int, share: float = SHARE, l
     return _smallest(answers, ["query_id"], [F.desc("score"), "vec_id"], k, "rank").select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
-def _found(askers: list, entries: list, scores: list) -> pa.Table:
+def _found(askers, entries, scores) -> pa.Table:
     return pa.table({"asker": pa.array(askers, pa.binary()), "copy_of": pa.array(entries, pa.binary()), "score": pa.array(scores, pa.float64())})

@@ -31,8 +31,12 @@ from .common import held, small_batches
 NULL_ID = -(1 << 63)
 #: Chunks, and words, that one worker remembers; beyond it the memory starts anew, results do not depend on it.
 REMEMBERED_WORDS = 600_000
-#: Texts whose characters all lie below this code point need no composing and have simple lower-case forms.
+#: Texts whose characters, and the lower-case forms of these, all lie below this code point need no composing.
 SIMPLE_BELOW = 0x300
+#: Bytes of text that one part holds at the most wanted, so that a reader without a mounted folder can hold the ids of a part.
+PART_BYTES = 256 << 20
+#: Characters of a text by which rows of one id are dealt over ranges.
+DEALT_BY = 64
 
 
 def _letters(prefix: str) -> str:
@@ -62,7 +66,8 @@ class WordEncoder:
         letters, digits = _letters("L"), _letters("N")
         space = r"\s\x85\xa0"
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+").findall
-        self.plain = re.compile(rf"[\x00-\x1b\x20-{chr(SIMPLE_BELOW - 1)}]*").fullmatch
+        simple = [c for c in map(chr, range(SIMPLE_BELOW)) if not "\x1c" <= c <= "\x1f" and all(ord(x) < SIMPLE_BELOW for x in c.lower())]
+        self.plain = re.compile(f"[{''.join(map(re.escape, simple))}]*").fullmatch
         self.known: dict[str, bytes] = {}
         self.known_words: dict[str, bytes] = {}
         self.byte_names = _byte_names()
@@ -73,7 +78,7 @@ class WordEncoder:
         if ids is None:
             if len(self.known_words) >= REMEMBERED_WORDS:
                 self.known_words.clear()
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_names)
+            shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.byte_names)
             ids = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.dtype).tobytes()
             self.known_words[word] = ids
         return ids
@@ -111,10 +116,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, part
     """Write the files of ``docs`` (doc_id, text); returns one row per part with its base among all ids."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The beginnings of texts spread the rows of one id, null ones above all; they sort as whole texts do.
+    ordered = rows.repartitionByRange(parts, "doc_id", F.substring("text", 1, DEALT_BY)).sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

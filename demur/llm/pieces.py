@@ -18,6 +18,7 @@ length; repeated rows and ids give repeated rows; an empty table gives no rows;
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 import zlib
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from demur.sources.staging import shared_folder, stage
@@ -36,12 +38,14 @@ from .tokens import _store
 LONGEST = 256
 #: Encoded words that are mapped from files, about 25 bytes each.
 MAPPED_WORDS = 200_000_000
-#: Words that one worker remembers.
-REMEMBERED_WORDS = 200_000
+#: Words that one worker remembers, and distinct words that a collecting task holds before it sends them.
+REMEMBERED_WORDS, COLLECTED_WORDS = 300_000, 500_000
 #: Cost of a piece, against which its rank by score only settles ties; above the size of a vocabulary.
 PIECE_COST = 1_000_000
 #: Words whose edges one task groups by hashing before it goes over to sorting, and Spark's setting for that.
 WORDS_AT_ONCE, HASHED_GROUPS = 150_000, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+#: First signs of a piece by which its lengths are looked up.
+HEAD = 3
 ANY_LETTERS = r"\n| *[^\W\d_]+| *(?:(?![^\W\d_])[^ \n])+| +"
 SPACES_ONLY = r"\n| *[^ \n]+| +"
 
@@ -96,7 +100,7 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 met.update(words_of(text.as_py(), pattern))
-            if len(met) > REMEMBERED_WORDS:
+            if len(met) > COLLECTED_WORDS:
                 yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string())], names=["word"])
                 met = set()
         yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string())], names=["word"])
@@ -117,13 +121,21 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     table = F.broadcast(spark.createDataFrame([(p[0], rank) for rank, p in enumerate(ranked)], "piece string, rank long"))
     if int(spark.conf.get(HASHED_GROUPS, "128")) < WORDS_AT_ONCE:
         spark.conf.set(HASHED_GROUPS, str(WORDS_AT_ONCE))
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("word") - F.col("start")))).alias("n"))
+    # Only lengths that some piece has which begins alike are spelled out; single signs always are, as they may become bytes.
+    lengths: dict[str, set[int]] = {}
+    for text, _, _ in model.pieces:
+        if len(text) >= HEAD:
+            lengths.setdefault(text[:HEAD], set()).add(len(text))
+    heads = F.broadcast(spark.createDataFrame([(h, [*range(1, HEAD), *sorted(n)]) for h, n in lengths.items()], "head string, lengths array<int>"))
+    starts = words.select("word", F.length("word").alias("size"), F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    starts = starts.withColumn("head", F.substr("word", F.col("start") + 1, F.lit(HEAD))).join(heads, "head", "left")
+    n = F.explode(F.coalesce("lengths", F.array(*[F.lit(n) for n in range(1, HEAD)]))).alias("n")
+    spans = starts.select("word", "size", "start", n).where(F.col("start") + F.col("n") <= F.col("size"))
     spans = spans.select("word", "start", "n", F.substr("word", F.col("start") + 1, F.col("n")).alias("piece"))
     edges = spans.join(table, "piece", "left").where(F.col("rank").isNotNull() | (F.col("n") == 1))
     low = F.coalesce(F.col("rank"), F.lit((1 << 32) - 1).cast("long") - F.ascii("piece"))
     edge = F.shiftleft((F.col("start") + F.col("n")).cast("long"), 41) + F.shiftleft(F.col("start").cast("long"), 32) + low
-    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     start = F.array(F.struct(F.lit(0).cast("long").alias("cost"), F.array().cast("array<int>").alias("codes")))
 
     def step(done, e):
@@ -220,19 +232,20 @@ class Words:
             mine = np.flatnonzero(where == i)
             hashes, checks, offsets, ids = self._part(i)
             at = np.searchsorted(hashes, h[mine])
-            for j, a in zip(mine.tolist(), at.tolist()):
-                check = zlib.crc32(raw[j])
-                while checks[a] != check:
-                    a += 1
-                self.known[words[j]] = ids[offsets[a]:offsets[a + 1]].tobytes()
+            check = np.array([zlib.crc32(raw[j]) for j in mine.tolist()], np.int64)
+            while (wrong := np.flatnonzero(checks[at] != check)).size:  # words of one hash lie together
+                at[wrong] += 1
+            for j, a, b in zip(mine.tolist(), offsets[at].tolist(), offsets[at + 1].tolist()):
+                self.known[words[j]] = ids[a:b].tobytes()
 
     def encode(self, texts: list[str | None], pattern: str) -> list[bytes]:
         cut = [words_of(t, pattern) for t in texts]
-        new = {w for ws in cut for w in ws if w not in self.known}
+        every = set().union(*cut)
+        new = every - self.known.keys()
         if new:
             if len(self.known) + len(new) > REMEMBERED_WORDS:
                 self.known.clear()
-                new = {w for ws in cut for w in ws}
+                new = every
             self.learn(list(new))
         return [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
 
@@ -273,7 +286,7 @@ def _by_join(docs: DataFrame, encoded: DataFrame, model: Model, keep: list[str])
     keyed = docs.withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     texts = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
     placed = texts.mapInArrow(run, "text_key string, at int, word string").join(encoded, "word")
-    lists = placed.groupBy("text_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("pieces"))
+    lists = placed.groupBy("text_key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("pieces"))
     return keyed.join(lists, "text_key", "left").select(*keep, F.coalesce("pieces", F.array().cast("array<int>")).alias("pieces"))
 
 
@@ -285,16 +298,60 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), mapp
     return (_by_files if few else _by_join)(docs, encoded, model, list(keep))
 
 
+#: Ids that are spelled out at once.
+IDS_AT_ONCE = 500_000
+
+
+class Spelling:
+    """The bytes of all ids in one table, to spell many ids by gathering."""
+
+    def __init__(self, shown: list[bytes]):
+        self.data = np.frombuffer(b"".join(shown) or b"\0", np.uint8)
+        self.sizes = np.array([len(b) for b in shown], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _bytes(self, ids: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.data[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def texts(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """One text per count of ids, each without its first byte."""
+        sizes = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        bounds = sizes[np.concatenate([[0], np.cumsum(counts)])]
+        spelled = np.concatenate([self._bytes(ids[i:i + IDS_AT_ONCE]) for i in range(0, max(1, len(ids)), IDS_AT_ONCE)])
+        kept, some = np.ones(len(spelled), bool), bounds[1:] > bounds[:-1]
+        kept[bounds[:-1][some]] = False
+        spelled, bounds = spelled[kept], bounds - np.concatenate([[0], np.cumsum(some)])
+        data = spelled.tobytes()
+        try:
+            data.decode()
+            # Valid as a whole; so is every text if none begins inside a sign.
+            whole = not ((spelled[bounds[:-1][bounds[:-1] < len(spelled)]] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        if not whole or len(data) >= 1 << 31:
+            return pa.array([data[a:b].decode(errors="replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.string())
+        return pa.StringArray.from_buffers(len(counts), pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data))
+
+
 def decode(rows: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of ``rows`` (pieces, ...) and ``decoded``, the text of the ids."""
+    """``keep`` columns of ``rows`` (pieces, ...), ``decoded``, the text of the ids, and ``ids_sha256``, the digest of the ids as little-endian 32-bit integers."""
     shared = rows.sparkSession.sparkContext.broadcast(load(path).shown)
-    names = list(keep)
+    inside = [f"kept {i}" for i in range(len(keep))]
+    schema = rows.select(*[F.col(f"`{c}`") for c in keep]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shown = shared.value
+        spelling = held("spelling", lambda: Spelling(shared.value))
         for batch in batches:
-            texts = [b"".join([shown[i] for i in ids or []])[1:].decode(errors="replace") for ids in batch.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(texts, pa.string())], names=[*names, "decoded"])
-
-    out = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*names).schema) + "decoded string"
-    return rows.select(*names, "pieces").mapInArrow(run, out)
+            lists = batch.column(len(inside))
+            counts, ids = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64), lists.flatten().to_numpy().astype("<i4", copy=False)
+            ends = np.cumsum(counts).tolist()
+            digests = [hashlib.sha256(ids[b - n:b].tobytes()).hexdigest() for n, b in zip(counts.tolist(), ends)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(inside))], spelling.texts(ids, counts), pa.array(digests, pa.string())],
+                                             names=[*inside, "made text", "made digest"])
+
+    out = "".join(f"`{i}` {f.dataType.simpleString()}, " for i, f in zip(inside, schema)) + "`made text` string, `made digest` string"
+    passed = rows.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(keep, inside)], F.col("pieces").alias("pieces to read"))
+    made = passed.mapInArrow(run, out)
+    return made.select(*[F.col(f"`{i}`").alias(c) for c, i in zip(keep, inside)], F.col("`made text`").alias("decoded"), F.col("`made digest`").alias("ids_sha256"))

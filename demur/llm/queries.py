@@ -182,10 +182,9 @@ def piece_ids(spark: SparkSession, sf: str) -> DataFrame:
     text_key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     docs = table(spark, sf, "documents").select("doc_id", "text", text_key.alias("text_sha256"))
     encoded = pieces.encode(docs, path, ("doc_id", "text_sha256"))
-    ids = F.concat_ws(",", F.transform("pieces", lambda x: x.cast("string")))
-    named = encoded.select("doc_id", "text_sha256", "pieces", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(ids.cast("binary"), 256).alias("pieces_sha256"))
-    back = pieces.decode(named, path, ("doc_id", "n_pieces", "pieces_sha256", "text_sha256"))
-    return back.select("doc_id", "n_pieces", "pieces_sha256", (F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")).alias("round_trip"))
+    named = encoded.withColumn("n_pieces", F.size("pieces").cast("long"))
+    back = pieces.decode(named, path, ("doc_id", "n_pieces", "text_sha256"))
+    return back.select("doc_id", "n_pieces", F.col("ids_sha256").alias("pieces_sha256"), (F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")).alias("round_trip"))
 
 
 #: The table of the reflected CRC-32 polynomial by its rule, as a list in a one-row relation ``crc_table(t)``.

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from demur.functions.draws import uniform
 
 from .ranking import _null_safe, running
+from .replicate import spearman_by_replicate
 from .splits import SEED
 
 
@@ -63,15 +64,4 @@ def mean_interval(rows: DataFrame, mult: DataFrame, value: Column, cluster: str
 def replicate_spearman(rows: DataFrame, mult: DataFrame, by: list[str], a: str, b: str, ident: str = "id",
                        cluster: str = "cluster") -> DataFrame:
     """Spearman of each replicate: copies of a row share their middle rank."""
-    by = list(by)
-    draws = mult.withColumnRenamed("b", "_rep")
-    keyed = _null_safe(rows.select(*by, ident, cluster, F.col(a).alias("_x"), F.col(b).alias("_y")), draws, [cluster], "inner").withColumnRenamed("_rep", "b")
-    keys = ["b"] + by
-    source = rows.select(*by, ident, F.col(a).alias("_x"), F.col(b).alias("_y"))
-    one = running(keyed, ["_x", ident], keys, rank="_a", weight="m", size="_n", split_source=source, split_keys=by)
-    two = running(one, ["_y", ident], keys, rank="_b", weight="m", split_source=source, split_keys=by)
-    centred = lambda c: F.col(c) - (F.col("m") - 1) / 2 - (F.col("_n") + 1) / 2
-    x, y, m = centred("_a"), centred("_b"), F.col("m")
-    spread = F.sqrt(F.sum(m * x * x) * F.sum(m * y * y))
-    return two.groupBy(*keys).agg(
-        F.when(spread > 0, F.sum(m * x * y) / spread).otherwise(F.lit(0.0)).alias("rho"))
+    return spearman_by_replicate(rows, mult, by, a, b, ident, cluster)

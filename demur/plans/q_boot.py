@@ -10,12 +10,14 @@ from demur.operators.curves import COVERAGES, gap_share, pivot_reference, with_p
 from demur.operators.evaluate import (against, holm, pair_differences, replicated_aurc, replicated_curves,
                                       summarise_difference)
 from demur.operators.resample import (interval, mean_interval, multiplicities, replicate_spearman)
+from demur.sources.staging import stage_once
 
 from .q_curves import cov_list
 from .registry import cte, query, u, with_ctes
 from .views import GATES, MODEL_GATES, calib_rows, fact, long_gates, test_long, test_rows
 
-B = 20
+#: Resamples, as published.
+B = 2000
 OPS = [0.9, 0.5]
 #: Differences within this share of the reference are ties, so that the sums of two engines agree on the sign.
 NOISE = 1e-9
@@ -63,22 +65,25 @@ def subgroup_ci(spark, sf):
     return ci.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-cte("boot_ranked", """SELECT b, gate, err, row_number() OVER w AS rk, count(*) OVER (PARTITION BY b, gate) AS n,
-    sum(err) OVER (w ROWS UNBOUNDED PRECEDING) AS cs
-  FROM (SELECT b, gate, score, id, err, unnest(range(m)) AS copy FROM gate_rows JOIN mult0 USING (cluster))
-  WINDOW w AS (PARTITION BY b, gate ORDER BY score, id, copy)""", "gate_rows", "mult0")
+# Copies are weights: the running weight stands for the rank, and the last row before a wanted rank counts in part.
+cte("boot_ranked", """SELECT b, gate, err, sum(m) OVER w AS rk, sum(m*err) OVER w AS cs FROM gate_rows JOIN mult0 USING (cluster)
+  WINDOW w AS (PARTITION BY b, gate ORDER BY score, id ROWS UNBOUNDED PRECEDING)""", "gate_rows", "mult0")
+cte("boot_wanted", f"""SELECT b, gate, coverage, greatest(1, round_even(coverage*n, 0))::BIGINT AS k FROM
+  (SELECT b, gate, max(rk) AS n FROM boot_ranked GROUP BY b, gate), {cov_list(COVERAGES)}""", "boot_ranked")
 cte("boot_random", """SELECT b, sum(m*err)/sum(m) AS risk FROM test_rows JOIN mult0 USING (cluster) GROUP BY b""",
     "test_rows", "mult0")
-cte("boot_curve", f"""SELECT b, gate, coverage, cs/rk AS risk FROM boot_ranked JOIN {cov_list(COVERAGES)}
-    ON rk = greatest(1, round_even(coverage*n, 0))::BIGINT
-  UNION ALL SELECT b, 'random', coverage, risk FROM boot_random, {cov_list(COVERAGES)}""", "boot_ranked", "boot_random")
+cte("boot_curve", f"""SELECT w.b, w.gate, coverage, (cs - (rk - k)*err)/k AS risk FROM boot_wanted w ASOF JOIN boot_ranked r
+    ON r.b = w.b AND r.gate = w.gate AND w.k <= r.rk
+  UNION ALL SELECT b, 'random', coverage, risk FROM boot_random, {cov_list(COVERAGES)}""", "boot_ranked", "boot_wanted", "boot_random")
 cte("boot_aurc", """SELECT b, gate, sum((coverage - pc)*(risk + pr)/2)/(max(coverage) - min(coverage)) AS aurc
   FROM (SELECT *, lag(coverage) OVER w AS pc, lag(risk) OVER w AS pr FROM boot_curve
         WINDOW w AS (PARTITION BY b, gate ORDER BY coverage)) GROUP BY b, gate""", "boot_curve")
 
 
 def boot_curves(spark, sf, replicates=B):
-    return replicated_curves(gate_rows(spark, sf), mult(spark, sf, with_point=True, replicates=replicates), like=GATES[0])
+    """The curves of all replicates, once per application: seven queries read them."""
+    return stage_once(spark, f"{sf}:boot{replicates}", lambda: replicated_curves(
+        gate_rows(spark, sf), mult(spark, sf, with_point=True, replicates=replicates), like=GATES[0]), sf)
 
 
 @query("curve_bootstrap", with_ctes("""SELECT gate, coverage, round(max(risk) FILTER (WHERE b = 0), 4) AS risk,
@@ -91,10 +96,11 @@ def curve_bootstrap(spark, sf):
     return got.select("gate", "coverage", *[F.round(x, 4).alias(x) for x in ("risk", "lo", "hi")])
 
 
-@query("spearman_bootstrap", with_ctes("""WITH r AS (SELECT b, gate, m,
+@query("spearman_bootstrap", with_ctes("""WITH r AS (SELECT b, gate, m, sum(m) OVER (PARTITION BY b, gate) AS n,
       sum(m) OVER (PARTITION BY b, gate ORDER BY score, id) - (m - 1)/2.0 AS x,
       sum(m) OVER (PARTITION BY b, gate ORDER BY err, id) - (m - 1)/2.0 AS y FROM gate_rows JOIN mult USING (cluster)),
-    rho AS (SELECT b, gate, corr(x, y) AS rho FROM (SELECT b, gate, x, y, unnest(range(m)) FROM r) GROUP BY b, gate)
+    rho AS (SELECT b, gate, sum(m*x*y)/sqrt(sum(m*x*x)*sum(m*y*y)) AS rho
+      FROM (SELECT b, gate, m, x - (n + 1)/2.0 AS x, y - (n + 1)/2.0 AS y FROM r) GROUP BY b, gate)
   SELECT gate, round(quantile_cont(rho, 0.025), 6) AS lo, round(quantile_cont(rho, 0.975), 6) AS hi FROM rho
   GROUP BY gate""", "gate_rows", "mult"))
 def spearman_bootstrap(spark, sf):
@@ -198,8 +204,7 @@ def pairwise_gates(spark, sf):
     JOIN (SELECT gate, aurc FROM boot_aurc WHERE b = 0) USING (gate)""", "boot_curve", "holm", "boot_aurc"))
 def eval_block(spark, sf, replicates=B):
     """Curves, intervals, paired tests and areas of every gate from one table of replicated curves."""
-    from demur.sources.staging import stage
-    curves = stage(boot_curves(spark, sf, replicates), "curves")
+    curves = boot_curves(spark, sf, replicates)
     rep = F.when(F.col("b") > 0, F.col("risk"))
     ci = curves.withColumn("_r", rep).groupBy("gate", "coverage").agg(
         F.max(F.when(F.col("b") == 0, F.col("risk"))).alias("risk"),

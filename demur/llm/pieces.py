@@ -98,8 +98,8 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[str] = set()
         for batch in batches:
-            for text in batch.column(0):
-                met.update(words_of(text.as_py(), pattern))
+            for text in batch.column(0).to_pylist():
+                met.update(words_of(text, pattern))
             if len(met) > COLLECTED_WORDS:
                 yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string())], names=["word"])
                 met = set()
@@ -220,7 +220,8 @@ class Words:
             store, root = _store(self.folder)
             name = f"{root}/words-{part}"
             data = np.memmap(name, np.uint8, "r") if isinstance(store, fs.LocalFileSystem) else np.frombuffer(store.open_input_file(name).read_buffer(), np.uint8)
-            self.open[i] = (data[:8 * n].view("<i8"), data[8 * n:16 * n].view("<i8"), data[16 * n:24 * n + 8].view("<i8"), data[24 * n + 8:].view("<i4"))
+            data = data.view(np.ndarray)  # slices of a map object are slow to make
+            self.open[i] = (data[:8 * n].view("<i8"), data[8 * n:16 * n].view("<i8"), data[16 * n:24 * n + 8].view("<i8") * 4, memoryview(data[24 * n + 8:]))
         return self.open[i]
 
     def learn(self, words: list[str]) -> None:
@@ -236,7 +237,7 @@ class Words:
             while (wrong := np.flatnonzero(checks[at] != check)).size:  # words of one hash lie together
                 at[wrong] += 1
             for j, a, b in zip(mine.tolist(), offsets[at].tolist(), offsets[at + 1].tolist()):
-                self.known[words[j]] = ids[a:b].tobytes()
+                self.known[words[j]] = bytes(ids[a:b])
 
     def encode(self, texts: list[str | None], pattern: str) -> list[bytes]:
         cut = [words_of(t, pattern) for t in texts]
@@ -250,7 +251,7 @@ class Words:
         return [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
 
 
-TEXTS_AT_ONCE = 64
+TEXTS_AT_ONCE = 256
 
 
 def _by_files(docs: DataFrame, encoded: DataFrame, model: Model, keep: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,12 +83,16 @@ def load(path: str) -> Model:
 
 def words_of(text: str | None, pattern: str) -> list[str]:
     """Words of a text with the leading space that a model puts before it; joined they are that text."""
-    if not text:
-        return []
-    found = re.compile(pattern).findall(" " + text)
-    if max(map(len, found)) > LONGEST:
-        found = [w[i:i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    return stretches(uncut(text, pattern))
+
+
+def uncut(text: str | None, pattern: str) -> list[str]:
+    return re.compile(pattern).findall(" " + text) if text else []
+
+
+def stretches(words: Iterable[str]) -> list[str]:
+    """The words, those of more than LONGEST signs in stretches of that length."""
+    return [w[i:i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
 
 
 def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
@@ -99,11 +103,11 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
         met: set[str] = set()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                met.update(words_of(text, pattern))
+                met.update(uncut(text, pattern))
             if len(met) > COLLECTED_WORDS:
-                yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string())], names=["word"])
+                yield pa.RecordBatch.from_arrays([pa.array(stretches(met), pa.string())], names=["word"])
                 met = set()
-        yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string())], names=["word"])
+        yield pa.RecordBatch.from_arrays([pa.array(stretches(met), pa.string())], names=["word"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return docs.select("text").mapInArrow(run, "word string").repartition(parts, "word").distinct()
@@ -240,8 +244,11 @@ class Words:
                 self.known[words[j]] = bytes(ids[a:b])
 
     def encode(self, texts: list[str | None], pattern: str) -> list[bytes]:
-        cut = [words_of(t, pattern) for t in texts]
+        cut = [uncut(t, pattern) for t in texts]
         every = set().union(*cut)
+        if max(map(len, every), default=0) > LONGEST:
+            cut = list(map(stretches, cut))
+            every = set().union(*cut)
         new = every - self.known.keys()
         if new:
             if len(self.known) + len(new) > REMEMBERED_WORDS:

@@ -2,37 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from demur.functions.draws import uniform
-
 from .neighbours import K, broadcast_fit, knn_distance, nearest_squares
 from .ranking import running
-from .stats import EPSILON, Stats, _matrix, gram, pick_alpha
+from .stats import EPSILON, Stats, _matrix, gram, on_each, pick_alpha
 
 # Heads of the ensemble and the gates the blend reads.
 ENSEMBLE = 32
 BLENDED = ["mahalanobis", "knn_dist", "ensemble_spread", "learned_error"]
 
 
+#: Rows of a leaf of the splitting tree.
+LEAF = 1024
+
+
+def leaf_draws(leaf: int, n: int, replicates: int, seed: int) -> np.ndarray:
+    """How often each row of a leaf is drawn in every replicate, of n draws from n rows: an exact multinomial split down a binary tree.
+
+    A node gives its draws to its halves by a binomial with the share of rows on the left; draws are keyed by (seed, replicate, node), so every task that asks for
+    a leaf finds the same, and all leaves of a replicate add up to n.
+    """
+    leaves = -(-n // LEAF)
+    out = np.empty((replicates, min(LEAF, n - leaf * LEAF)), np.int64)
+    for r in range(replicates):
+        lo, hi, draws, node = 0, leaves, n, 1
+        while hi - lo > 1:
+            middle, end = (lo + hi) // 2, min(hi * LEAF, n)
+            left = np.random.default_rng([seed, r, node]).binomial(draws, (middle - lo) * LEAF / (end - lo * LEAF))
+            lo, hi, draws, node = (lo, middle, left, 2 * node) if leaf < middle else (middle, hi, draws - left, 2 * node + 1)
+        out[r] = np.random.default_rng([seed, r, node, 1]).multinomial(draws, np.full(out.shape[1], 1 / out.shape[1]))
+    return out
+
+
 def row_multiplicities(rows: DataFrame, ident: str, replicates: int = ENSEMBLE, seed: int = 760,
                        name: str = "mult") -> DataFrame:
-    """Row bootstrap: an array of draws per replicate for every row, zeros included. Only ids are ranked."""
-    spark, n = rows.sparkSession, rows.count()
+    """Row bootstrap: an array of draws per replicate for every row, zeros included.
+
+    Only ids are ranked and travel; the draws of a row are derived where it lies, and those of a replicate add up to the number of rows.
+    """
+    n = rows.count()
     numbered = running(rows.select(ident), [ident], rank="_ord")
-    draws = spark.range(replicates * n).select(
-        F.floor(F.col("id") / n).cast("int").alias("b"),
-        (F.floor(uniform("ensemble", seed, F.floor(F.col("id") / n), F.col("id") % n) * n) + 1).alias("_ord"))
-    counts = draws.groupBy("_ord", "b").agg(F.count(F.lit(1)).alias("m")).groupBy("_ord").agg(
-        F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("_m"))
-    joined = numbered.join(counts, "_ord", "left")
-    at = lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0)).cast("double")
-    drawn = joined.select(ident, F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: F.coalesce(at(b), F.lit(0.0))).alias(name))
-    return rows.join(drawn, ident)
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(1).to_numpy() - 1
+            out = np.empty((len(at), replicates))
+            for leaf in np.unique(at // LEAF).tolist():
+                if leaf not in held:
+                    if len(held) > 64:
+                        held.clear()
+                    held[leaf] = leaf_draws(leaf, n, replicates, seed)
+                mine = at // LEAF == leaf
+                out[mine] = held[leaf][:, at[mine] % LEAF].T
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * replicates, pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "draws"])
+
+    kind = rows.schema[ident].dataType.simpleString()
+    made = numbered.select(F.col(ident).alias("id"), F.col("_ord").cast("long")).mapInArrow(drawn, f"id {kind}, draws array<double>")
+    return rows.join(made.toDF(ident, name), ident)
 
 
 @dataclass
@@ -129,14 +164,11 @@ def fit_gates(fit: DataFrame, calib: DataFrame, x: str, ys: list[str], ident: st
     heads = np.column_stack([Stats(st.n, st.mx, st.my[i:i + 1], st.sxx, st.sxy[:, i:i + 1]).ridge(a)[:, 0]
                              for i, a in enumerate(alphas)])
     directions, variances = st.components(components)
-    boots = gram(weighted, x, ys[:1], weights="_mult")
-    ens, centres, icpts = [], [], []
-    for b in range(replicates):
-        s = boots[b]
-        scaled = Stats(s.n, s.mx, s.my, s.sxx / np.outer(scale, scale), s.sxy / scale[:, None])
-        ens.append(scaled.ridge(alphas[0])[:, 0])
-        centres.append((s.mx - plain.mx) / scale)
-        icpts.append(s.my[0])
+    centre, alpha = plain.mx, alphas[0]
+    boots = on_each(weighted, x, ys[:1], lambda s: {"w": s.scaled(scale).ridge(alpha)[:, 0], "centre": (s.mx - centre) / scale, "intercept": s.my[0]},
+                    "w array<double>, centre array<double>, intercept double", weights="_mult").collect()
+    boots = sorted(boots, key=lambda r: int(r["key"]))
+    ens, centres, icpts = ([np.array(r[c]) for r in boots] for c in ("w", "centre", "intercept"))
     head, icpt = heads[:, 0], st.my[0]
 
     @F.pandas_udf("double")

@@ -1,13 +1,14 @@
 """Sufficient statistics of wide features, and everything that is solved from them.
 
-Each task folds its Arrow batches into one Gram matrix per key or weight column; the partial rows are added up
-after a shuffle on the row index. Only d x d results reach the driver. Statistics add and subtract, so a
-fit without one fold costs no second scan.
+Each task folds its batches into one Gram matrix per key or weight column and sends the upper half of it; the partial rows are added up
+after a shuffle on the row index. Tasks read as many input splits as it takes to have no more of them than cores, so what is shuffled is bounded by cores x keys,
+whatever the size of the input. ``on_each`` solves every key on the executors, one key's matrix in one task, and returns what was solved; only
+the d x d matrix of an unkeyed fit comes to the driver. Statistics add and subtract, so a fit without one fold costs no second scan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,12 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from demur.sources.staging import stage
+
 # The penalty grid (quarter decades), standardising epsilon, variance floor, components.
 ALPHA_GRID = [10 ** (i / 4) for i in range(25)]
 EPSILON = 1e-8
 VARIANCE_FLOOR = 1e-12
 COMPONENTS = 64
-MAX_STATS_BYTES = 2 << 30
 
 
 @dataclass(frozen=True)
@@ -71,12 +73,8 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.vstack(series.to_numpy()).astype(np.float64)
 
 
-def gram(df: DataFrame, x: str, ys: list[str] | str, key: str | None = None, weights: str | None = None) -> dict:
-    """Statistics per key value (or per weight index), as ``{key: Stats}``; ``{None: Stats}`` without either.
-
-    ``x`` is an array column, ``ys`` target columns or one array column of targets. ``weights`` is an array column: entry w weighs the row in the w-th result,
-    which serves bootstrap multiplicities and overlapping fits in a single scan.
-    """
+def _matrix_rows(df: DataFrame, x: str, ys: list[str] | str, key: str | None, weights: str | None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Rows (key, i, v) of the added up matrices, from the diagonal on; and the points that were subtracted from features and targets."""
     shift_x, shift_y = _shift(df, x, ys)
     d, t = len(shift_x), len(shift_y)
     p = 1 + d + t
@@ -102,12 +100,12 @@ def gram(df: DataFrame, x: str, ys: list[str] | str, key: str | None = None, wei
             elif key:
                 keys = b["key"].to_numpy()
                 for k in pd.unique(keys):
-                    part = a[keys == k]
+                    part = a[pd.isna(keys) if k is None else keys == k]
                     acc[k] = acc.get(k, 0) + part.T @ part
             else:
                 acc[""] = acc.get("", 0) + a.T @ a
         for k, m in acc.items():
-            yield pd.DataFrame({"key": k, "i": np.arange(p, dtype=np.int32), "v": list(m)})
+            yield pd.DataFrame({"key": k, "i": np.arange(p, dtype=np.int32), "v": [m[i, i:] for i in range(p)]})
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[tuple, np.ndarray] = {}
@@ -117,28 +115,67 @@ def gram(df: DataFrame, x: str, ys: list[str] | str, key: str | None = None, wei
         if acc:
             yield pd.DataFrame([(k, i, v) for (k, i), v in acc.items()], columns=["key", "i", "v"])
 
-    schema = "key string, i int, v array<double>"
-    rows = df.select(*cols).mapInPandas(partial, schema).repartition("key", "i").mapInPandas(combine, schema)
-    out: dict[str, np.ndarray] = {}
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rows = df.select(*cols).coalesce(cores).mapInPandas(partial, _ROWS).repartition("key", "i").mapInPandas(combine, _ROWS)
+    return rows, shift_x, shift_y
+
+
+_ROWS = "key string, i int, v array<double>"
+
+
+def _stats(rows: Iterator[tuple[int, np.ndarray]], shift_x: np.ndarray, shift_y: np.ndarray) -> Stats:
+    d, p = len(shift_x), 1 + len(shift_x) + len(shift_y)
+    m = np.zeros((p, p))
+    for i, v in rows:
+        m[i, i:] += v
+    m = np.triu(m) + np.triu(m, 1).T
+    n = m[0, 0]
+    mx, my = m[0, 1:1 + d] / n, m[0, 1 + d:] / n
+    return Stats(n, mx + shift_x, my + shift_y, m[1:1 + d, 1:1 + d] - n * np.outer(mx, mx), m[1:1 + d, 1 + d:] - n * np.outer(mx, my))
+
+
+def on_each(df: DataFrame, x: str, ys: list[str] | str, solve: Callable[[Stats], dict], schema: str, key: str | None = None, weights: str | None = None,
+            leave_out: bool = False) -> DataFrame:
+    """``key`` (text) and what ``solve`` makes of the statistics of each key value or weight index, by the names and types of ``schema``.
+
+    Every key is solved in a task of its own. ``leave_out`` gives each key the statistics of all rows of the other keys; its matrix is then added to
+    those of the others, so it is meant for folds.
+    """
+    rows, shift_x, shift_y = _matrix_rows(df, x, ys, key, weights)
+    if leave_out:
+        rows = stage(rows, "gram")
+        others = F.filter(F.lit([r["key"] for r in rows.select("key").distinct().collect()]), lambda k: ~k.eqNullSafe(F.col("key")))
+        rows = rows.select(F.explode(others).alias("key"), "i", "v")
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        made = solve(_stats(zip(t["i"], t["v"]), shift_x, shift_y))
+        return pd.DataFrame({"key": [t["key"].iloc[0]]} | {n: [np.asarray(made[n]).tolist()] for n in names})
+
+    return rows.groupBy("key").applyInPandas(run, f"key string, {schema}")
+
+
+def gram(df: DataFrame, x: str, ys: list[str] | str, key: str | None = None, weights: str | None = None) -> dict:
+    """Statistics as ``{None: Stats}`` on the driver, which is one matrix; or per key value or weight index, for a handful of these.
+
+    ``x`` is an array column, ``ys`` target columns or one array column of targets. ``weights`` is an array column: entry w weighs the row in the w-th result,
+    which serves bootstrap multiplicities and overlapping fits in a single scan. Many keys are solved by ``on_each``.
+    """
+    rows, shift_x, shift_y = _matrix_rows(df, x, ys, key, weights)
+    found: dict[str, list] = {}
     for r in rows.toLocalIterator():
-        m = out.setdefault(r["key"], np.zeros((p, p)))
-        m[r["i"]] = r["v"]
-        if len(out) * p * p * 8 > MAX_STATS_BYTES:
-            raise ValueError("too many keys for statistics of this width")
-    result = {}
-    for k, m in out.items():
-        mx, my, n = m[0, 1:1 + d] / m[0, 0], m[0, 1 + d:] / m[0, 0], m[0, 0]
-        st = Stats(n, mx + shift_x, my + shift_y, m[1:1 + d, 1:1 + d] - n * np.outer(mx, mx), m[1:1 + d, 1 + d:] - n * np.outer(mx, my))
-        result[int(k) if weights else k if key else None] = st
-    return result
+        found.setdefault(r["key"], []).append((r["i"], np.array(r["v"])))
+    return {int(k) if weights else k if key else None: _stats(m, shift_x, shift_y) for k, m in found.items()}
 
 
 def _shift(df: DataFrame, x: str, ys) -> tuple[np.ndarray, np.ndarray]:
     """Any point near the data; subtracting it keeps the sums well conditioned and changes no result."""
     names = [ys] if isinstance(ys, str) else list(ys)
-    row = df.select(F.col(x).alias("x"), *[F.col(c).alias(f"y{i}") for i, c in enumerate(names)]).first()
+    found = df.select(F.col(x).cast("array<double>").alias("x"), *[F.col(c).alias(f"y{i}") for i, c in enumerate(names)])
+    # A row without odd values, if there is one.
+    row = found.where(F.forall("x", lambda v: F.abs(v) < float("inf"))).first() or found.first()
     y = np.array(row["y0"], float) if isinstance(ys, str) else np.array([row[f"y{i}"] for i in range(len(names))], float)
-    return np.array(row["x"], float), y
+    return np.nan_to_num(np.array(row["x"], float), posinf=0, neginf=0), np.nan_to_num(y, posinf=0, neginf=0)
 
 
 def linear_scores(x: Column, centre: np.ndarray, weights: np.ndarray, intercept: np.ndarray) -> Column:

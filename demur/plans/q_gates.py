@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from demur.functions.draws import uniform
 from demur.operators.gates import BLENDED, fit_gates
 from demur.operators.neighbours import knn_distance
 from demur.operators.quality import METRICS, measure, response
-from demur.operators.stats import ALPHA_GRID, EPSILON, gram, linear_scores, pick_alpha, standardise
+from demur.operators.stats import ALPHA_GRID, EPSILON, gram, on_each, pick_alpha, standardise
 from demur.sources.staging import stage_once
 
 from .registry import cte, query, u, with_ctes
@@ -172,18 +174,21 @@ def blend(spark, sf):
     my + list_dot_product(x, w) - list_dot_product(mx, w) AS pred FROM vec_folds v JOIN ridge_fold r ON r.k = v.fold JOIN fold_means f ON f.k = v.fold)""",
     "vec_folds", "ridge_fold", "fold_means"))
 def crossfit_wide(spark, sf):
-    """Cross-fitted ridge on all features: one Gram per fold, every pool is the total minus its fold."""
+    """Cross-fitted ridge on all features: one scan for the matrices of all folds, pools solved on the executors, one scan to score."""
     v = vectors(spark, sf)
-    folds = gram(v, "x", ["y"], key="fold")
-    total = None
-    for s in folds.values():
-        total = s if total is None else total + s
-    out = None
-    for k, s in folds.items():
-        pool = total - s
-        pred = linear_scores(F.col("x"), pool.mx, pool.ridge(1.0), pool.my)[0]
-        one = v.filter(F.col("fold") == int(k)).select("id", "fold", "y", pred.alias("pred"))
-        out = one if out is None else out.unionByName(one)
+    heads = on_each(v, "x", ["y"], lambda s: {"w": s.ridge(1.0)[:, 0], "mx": s.mx, "my": s.my[0]}, "w array<double>, mx array<double>, my double",
+                    key="fold", leave_out=True)
+    found = {int(r["key"]): (np.array(r["w"]), np.array(r["mx"]), r["my"]) for r in heads.collect()}  # a row per fold
+
+    @F.pandas_udf("double")
+    def predict(x: pd.Series, fold: pd.Series) -> pd.Series:
+        out, rows, of = np.zeros(len(x)), np.vstack(x.to_numpy()) if len(x) else None, fold.to_numpy()
+        for k in np.unique(of):
+            w, mx, my = found[int(k)]
+            out[of == k] = (rows[of == k] - mx) @ w + my
+        return pd.Series(out)
+
+    out = v.select("id", "fold", "y", predict("x", "fold").alias("pred"))
     return out.withColumn("err", F.round(F.abs(F.col("pred") - F.col("y")), 6)).withColumn("pred", F.round("pred", 6))
 
 

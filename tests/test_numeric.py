@@ -130,3 +130,34 @@ def test_quantile_regression_distributed_equals_local(spark):
         loss = lambda a, b: np.maximum(tau * (y - a - b * x), (tau - 1) * (y - a - b * x)).sum()
         assert abs(loss(a, b) / loss(a0, b0) - 1) < 1e-9
         assert abs(((y - a - b * x) < 0).mean() - tau) <= 2 / 6000 + 1e-12
+
+
+def test_keys_are_solved_on_executors(spark, frame):
+    from demur.operators.stats import on_each
+    solve = lambda s: {"w": s.ridge(2.0)[:, 0], "n": s.n}
+    schema = "w array<double>, n double"
+    each = {r["key"]: r for r in on_each(frame, "x", ["y"], solve, schema, key="fold").collect()}
+    rest = {r["key"]: r for r in on_each(frame, "x", ["y"], solve, schema, key="fold", leave_out=True).collect()}
+    pdf = frame.toPandas()
+    assert set(each) == set(rest) == set(pdf["fold"].astype(str))
+    for k in each:
+        for got, part in ((each[k], pdf[pdf["fold"].astype(str) == k]), (rest[k], pdf[pdf["fold"].astype(str) != k])):
+            x, y = np.vstack(part["x"]), part["y"].to_numpy(float)
+            c = x - x.mean(0)
+            np.testing.assert_allclose(got["w"], np.linalg.solve(c.T @ c + 2.0 * np.eye(x.shape[1]), c.T @ (y - y.mean())), atol=1e-8)
+            assert got["n"] == len(part)
+
+
+def test_odd_first_rows_do_not_spoil_the_point_subtracted(spark):
+    rows = [([float("inf"), 1.0], 0.0), ([1.0, 2.0], 1.0)]
+    from demur.operators.stats import _shift
+    assert _shift(spark.createDataFrame(rows, "x array<double>, y double").coalesce(1), "x", ["y"])[0].tolist() == [1.0, 2.0]
+
+
+def test_row_bootstrap_splits_all_draws():
+    from demur.operators.gates import LEAF, leaf_draws
+    n = 5 * LEAF + 77
+    draws = np.concatenate([leaf_draws(i, n, 6, 1) for i in range(6)], axis=1)
+    assert draws.shape == (6, n) and (draws.sum(1) == n).all()
+    assert abs(draws.var() - 1) < 0.05 and abs((draws == 0).mean() - np.exp(-1)) < 0.01
+    assert np.corrcoef(draws[0], draws[1])[0, 1] < 0.05

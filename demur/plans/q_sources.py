@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from demur.functions.conditions import enumerate_conditions, parse_spec, tag
 from demur.operators.curves import with_perfect, curve
-from demur.sources.facts import as_json, complete_cache, merge_keys
-from demur.sources.features import pool_tokens, with_fallback
+from demur.operators.ranking import running
+from demur.sources.facts import as_json, complete_cache, export_text, merge_keys, read_fact
+from demur.sources.features import assemble, pool_tokens, require_all, with_fallback
+from demur.sources.images import read_images, write_png
 from demur.sources.listing import available_ids, reconcile, roll_up
-from demur.sources.records import clean_lookup, last_wins, parse_records, plausible, usable
+from demur.sources.records import clean_lookup, id_seconds, last_wins, parse_records, plausible, read_ids, usable
+from demur.sources.staging import shared_folder
 
 from .registry import query, u, with_ctes
 from .views import GATES, entities, fact, items, table, test_long
@@ -70,13 +75,13 @@ def usable_split(spark, sf):
     return usable(ids, good, there)
 
 
-@query("availability", """SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'error' AND (props::JSON->>'k')::INT >= 95""")
+@query("availability", """SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'error' AND (props::JSON->>'k') IS NOT NULL""")
 def availability(spark, sf):
     """Ids that have a file, from a JSON manifest of file sizes."""
     ev = table(spark, sf, "events").select(F.col("user_id").alias("id"), F.from_json(
         F.concat(F.lit('{"'), "event_type", F.lit('": '), F.get_json_object("props", "$.k"), F.lit("}")),
         "map<string,bigint>").alias("files"))
-    manifest = ev.select("id", F.explode("files").alias("file", "size")).filter("size >= 95")
+    manifest = ev.select("id", F.explode("files").alias("file", "size"))
     return available_ids(manifest, "error")
 
 
@@ -180,3 +185,66 @@ def incremental_cache(spark, sf):
 def summary_merge(spark, sf):
     mae = lambda role: fact(spark, sf).filter(F.col("role") == role).groupBy("condition").agg(F.round(F.avg("err"), 4).alias("mae"))
     return merge_keys(mae("fit"), mae("test").filter("condition = 'clean'"), ["condition"])
+
+
+def scratch(spark, name):
+    """A new folder for files that a query writes and reads again."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("id_list", """SELECT 'dish_' || o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders""")
+def id_list(spark, sf):
+    """A list file with padded and blank lines; ids come back in the order of the file."""
+    folder = scratch(spark, "ids")
+    o = table(spark, sf, "orders").select("o_orderkey")
+    lines = o.select("o_orderkey", F.explode(F.array(F.concat(F.lit("  dish_"), F.col("o_orderkey"), F.lit(" ")), F.lit("   "))).alias("value"))
+    lines.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(folder)
+    return running(read_ids(spark, folder), ["position"], rank="place").select("id", "place")
+
+
+@query("id_time", """SELECT 'dish_' || epoch(o_orderdate)::BIGINT || '_' || o_orderkey AS id, epoch(o_orderdate)::BIGINT AS seconds, year(o_orderdate)::INT AS year FROM orders""")
+def id_time(spark, sf):
+    """Times out of ids."""
+    o = table(spark, sf, "orders")
+    seconds = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("string")
+    ids = o.select(F.concat(F.lit("dish_"), seconds, F.lit("_"), F.col("o_orderkey")).alias("id"))
+    found = ids.withColumn("seconds", id_seconds(F.col("id")))
+    return found.withColumn("year", F.year(F.timestamp_seconds("seconds")))
+
+
+@query("typed_readback", """SELECT l_orderkey AS id, l_linenumber::BIGINT AS line, l_quantity::DOUBLE AS quantity, l_returnflag AS flag FROM lineitem""")
+def typed_readback(spark, sf):
+    """A fact exported as text and read back with its types."""
+    folder, schema = scratch(spark, "fact"), "id bigint, line bigint, quantity double, flag string"
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("line"),
+                                             F.col("l_quantity").cast("double").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    export_text(li, folder)
+    return read_fact(spark, folder, schema).unionByName(read_fact(spark, folder + "-none", schema))
+
+
+@query("feature_gather", """WITH d AS (SELECT vec_id, (i - 1) % 8 AS dim, (i - 1)//8 AS token, v::DOUBLE AS v FROM
+    (SELECT vec_id, unnest(embedding) AS v, unnest(range(1, 65)) AS i FROM embeddings)),
+    p AS (SELECT vec_id, dim, max(v) FILTER (WHERE token = 0) AS first, avg(v) FILTER (WHERE token > 0) AS mean, stddev_samp(v) FILTER (WHERE token > 0) AS sd FROM d GROUP BY 1, 2),
+    w AS (SELECT vec_id, list_concat(list_concat(list(first ORDER BY dim), list(mean ORDER BY dim)), list(sd ORDER BY dim)) AS f FROM p GROUP BY vec_id)
+  SELECT vec_id AS id, label, len(f)::INT AS width, round(list_sum(list_transform(range(24), lambda i: (i + 1)*f[i + 1])), 5) AS weighed FROM w JOIN embeddings USING (vec_id)""")
+def feature_gather(spark, sf):
+    """Pooled features gathered for labelled ids, every one of which must be there."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.posexplode("embedding").alias("i", "v"))
+    tokens = e.select("id", F.floor(F.col("i") / 8).alias("token"), (F.col("i") % 8).alias("dim"), F.col("v").cast("double").alias("v"))
+    wanted = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    got = require_all(wanted, assemble(pool_tokens(tokens)))
+    weighed = F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return got.select("id", "label", F.size("features").alias("width"), F.round(weighed, 5).alias("weighed"))
+
+
+@query("image_files", with_ctes("""SELECT id::VARCHAR AS id, 4 AS height, 16 AS width, 3 AS channels, round(avg(r), 6) AS red, round(avg(g), 6) AS green, round(avg(b), 6) AS blue
+  FROM pix GROUP BY id""", "pix"))
+def image_files(spark, sf):
+    """Pictures written as files, one folder per id, and scanned again: sizes and channel means."""
+    from .q_gates import images
+    folder = scratch(spark, "images")
+    write_png(images(spark, sf).select("id", "height", "width", "data"), folder)
+    found = read_images(spark, folder)
+    level = lambda c: F.aggregate(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), F.lit(0.0), lambda a, i: a + F.conv(F.hex(F.substring(
+        F.col("data"), i * 3 + c + 1, F.lit(1))), 16, 10).cast("double")) / (F.col("height") * F.col("width"))
+    return found.select("id", "height", "width", "channels", *[F.round(level(c), 6).alias(n) for c, n in ((2, "red"), (1, "green"), (0, "blue"))])

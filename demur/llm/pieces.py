@@ -39,7 +39,7 @@ LONGEST = 256
 #: Encoded words that are mapped from files, about 25 bytes each.
 MAPPED_WORDS = 200_000_000
 #: Words that one worker remembers, and distinct words that a collecting task holds before it sends them.
-REMEMBERED_WORDS, COLLECTED_WORDS = 300_000, 500_000
+REMEMBERED_WORDS, COLLECTED_WORDS = 250_000, 200_000
 #: Cost of a piece, against which its rank by score only settles ties; above the size of a vocabulary.
 PIECE_COST = 1_000_000
 #: Words whose edges one task groups by hashing before it goes over to sorting, and Spark's setting for that.
@@ -258,7 +258,7 @@ class Words:
         return [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
 
 
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 128
 
 
 def _by_files(docs: DataFrame, encoded: DataFrame, model: Model, keep: list[str]) -> DataFrame:

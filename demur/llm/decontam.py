@@ -1,17 +1,15 @@
 r"""Benchmark decontamination by winnowing.
 
-A window is ``window`` consecutive words of a benchmark item. Words become 64-bit hashes, and neighbouring hashes are hashed
-to k-gram hashes (k = 4). The fingerprint of a window is the smallest of the k-gram hashes in it: it
-depends on the window's words alone, so a document and an item that share a window share its fingerprint, wherever the
-window lies. Document windows are joined with the benchmark on the fingerprint together with a hash of the whole window; every
-window found extends the hit to all its words, and overlapping windows merge into spans. Fingerprint and window hash are 128 bits
-together; a false hit needs equality of both.
+A window is ``window`` consecutive words of a benchmark item. Words become 64-bit hashes, and neighbouring hashes are hashed to k-gram hashes (k = ``GRAM``). Of the
+k-grams in every window the one with the least hash is kept, once per run of windows that share it: its hash and position are a fingerprint, on the side of
+the documents and of the benchmark alike. What is least depends on the words of a window alone, so a document and an item that share a window share its fingerprint,
+wherever the window lies. Fingerprints are joined on the hash alone; every meeting is then extended left and right word by word, up to a window's length
+around the k-gram, and counts where the words that agree make up a window. Longer shared spans meet in several fingerprints, whose extensions overlap.
 
-Items shorter than a window are one window of their own length; those few lengths (below ``window``) are looked up by n-gram
-hashes of that length.
+Items shorter than a window are one window of their own length; those few lengths (below ``window``) are looked up by hashes of all their words.
 
-The benchmark side is broadcast only where its distinct windows are counted to be at most ``BROADCAST_WINDOWS`` (16 bytes of keys
-each); beyond it Spark joins by shuffling, where adaptive execution splits keys that many documents share.
+The benchmark side is broadcast only where its fingerprints, a row per item and place, are counted to be at most ``BROADCAST_WINDOWS``; beyond it Spark joins by
+shuffling, where adaptive execution splits keys that many documents share.
 
 Rows: null and empty texts, or texts without words, have no words and no hits; an item without words is no item; repeated
 items count each; repeated document ids are merged into one row with the hits of all their texts and the most words; every row without an id is a document of its own
@@ -27,9 +25,9 @@ from demur.sources.staging import stage
 
 from .common import ascii_lower, told_apart
 
-WINDOW, GRAM = 10, 4
-#: Distinct benchmark windows that may be broadcast; a hash table of them takes under 100 MB.
-BROADCAST_WINDOWS = 1_000_000
+WINDOW, GRAM = 10, 6
+#: Benchmark fingerprints that may be broadcast, about 200 bytes each with the words around them.
+BROADCAST_WINDOWS = 400_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -43,42 +41,54 @@ def _hashes(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.transform(words(F.coalesce(F.col("text"), F.lit(""))), lambda w: F.xxhash64(w)).alias("w"))
 
 
-def _window(at: Column, width: int, gram: int) -> tuple[Column, Column]:
-    """Fingerprint and hash of the window of ``width`` words at position ``at``: the least hash of its k-grams, and the hash of all."""
-    word = [F.get("w", at + j) for j in range(width)]
-    grams = [F.xxhash64(*word[j:j + gram]) for j in range(width - gram + 1)]
-    return (F.least(*grams) if len(grams) > 1 else grams[0]), F.xxhash64(*word)
+def _print(at: Column, window: int, gram: int) -> tuple[Column, Column]:
+    """The least k-gram hash of the window at ``at``, without its lowest bits, and the place of its k-gram; of equal ones the last."""
+    places = window - gram + 1
+    bits = (places - 1).bit_length()
+    tagged = [F.shiftleft(F.shiftright(F.xxhash64(*[F.get("w", at + (j + i)) for i in range(gram)]), bits), bits) + F.lit(places - 1 - j).cast("long") for j in range(places)]
+    least = F.least(*tagged) if places > 1 else tagged[0]
+    return F.shiftright(least, bits), at + (places - 1 - least.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))).cast("int")
 
 
-def windows(df: DataFrame, *keep: str, width: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row per full window: ``keep``, pos, print, whole; and one with pos -1 per row of df, whose ``whole`` is its word count.
+def fingerprints(df: DataFrame, *keep: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``keep``, print, at (place of the k-gram) and ``w`` of every fingerprint; and a row with at -1 per row of df.
 
-    Positions are exploded beside the array, which the projection reads and drops, so that no array is copied.
+    Positions are exploded beside the array, which later projections read and drop, so that no array is copied. A window is left out where the one before it
+    has the same k-gram.
     """
-    at = F.explode_outer(F.sequence(F.lit(-1), F.greatest(F.size("w") - width, F.lit(-1))))
-    rows = _hashes(df, *keep).select(*keep, "w", at.alias("pos"))
-    least, whole = _window(F.col("pos"), width, min(gram, width))
-    real = F.col("pos") >= 0
-    return rows.select(*keep, "pos", F.when(real, least).otherwise(F.xxhash64("pos", *keep)).alias("print"),
-                       F.when(real, whole).otherwise(F.size("w").cast("long")).alias("whole"))
-
-
-def benchmark_windows(items: DataFrame, width: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """print, whole, width, item_id of every window of every item, staged; items of fewer words give one window."""
-    sized = stage(_hashes(items, "item_id").where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(width))), "items")
-    lengths = [r["n"] for r in sized.select("n").distinct().collect()]  # at most ``width`` numbers
-    parts = []
-    for n in lengths:
-        least, whole = _window(F.col("pos"), n, min(gram, n))
-        at = F.explode(F.sequence(F.lit(0), F.size("w") - n))
-        parts.append(sized.where(F.col("n") == n).select("item_id", "w", at.alias("pos"))
-                     .select(least.alias("print"), whole.alias("whole"), F.lit(n).alias("width"), "item_id"))
-    if not parts:
-        return items.sparkSession.createDataFrame([], "print long, whole long, width int, item_id long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return stage(out.distinct(), "benchmark")
+    return _prints(_hashes(df, *keep), window, gram, *keep)
+
+
+def _prints(hashed: DataFrame, window: int, gram: int, *keep: str) -> DataFrame:
+    start = F.explode(F.sequence(F.lit(-1), F.greatest(F.size("w") - window, F.lit(-1))))
+    rows = hashed.select(*keep, "w", start.alias("start"))
+    least, at = _print(F.col("start"), window, gram)
+    before = _print(F.col("start") - 1, window, gram)[1]
+    named = rows.select(*keep, "w", "start", least.alias("print"), at.alias("place"), before.alias("place before"))
+    named = named.where((F.col("start") <= 0) | (F.col("place") != F.col("place before")))
+    real = F.col("start") >= 0
+    return named.select(*keep, F.when(real, F.col("print")).otherwise(F.xxhash64("start", *keep)).alias("print"), F.when(real, F.col("place")).otherwise(F.lit(-1)).alias("at"), "w")
+
+
+def _around(at: Column, window: int, gram: int) -> list[Column]:
+    """Words up to a window's length around the k-gram at ``at``, null beyond the ends: those before it from the nearest on, then those from its first word on."""
+    reach = window - gram
+    word = lambda i: F.when(i >= 0, F.get("w", i))
+    return [word(at - 1 - i) for i in range(reach)] + [word(at + i) for i in range(window)]
+
+
+def _alike(mine: list[Column], theirs: list[Column]) -> Column:
+    """How many words agree from the first on."""
+    out = F.lit(0)
+    for a, b in reversed(list(zip(mine, theirs))):
+        out = F.when(a == b, out + 1).otherwise(0)
+    return out
+
+
+def _whole(at: Column, width: int) -> tuple[Column, Column]:
+    """Two hashes of all words of the window of ``width`` words at ``at``."""
+    word = [F.get("w", at + j) for j in range(width)]
+    return F.xxhash64(*word), F.xxhash64(F.lit(width), *word)
 
 
 #: What tells documents apart: the id and, where it is null, the number of the row.
@@ -92,34 +102,43 @@ def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, same, "left").drop("other_id", "other_row")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_prints: int | None = None) -> DataFrame:
     """Per document: n_words, n_hit (words inside any window of an item), the sorted items with windows in it, and whether any."""
-    bench = benchmark_windows(items, window, gram)
-    small = bench.select("print", "whole").distinct().limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    broadcast_prints = BROADCAST_WINDOWS if broadcast_prints is None else broadcast_prints
+    sized = stage(_hashes(items, "item_id").where(F.size("w") > 0), "items")
+    lengths = sorted(r["n"] for r in sized.where(F.size("w") < window).select(F.size("w").alias("n")).distinct().collect())  # fewer than ``window`` numbers
+    reach = window - gram
+    known = stage(_prints(sized.where(F.size("w") >= window), window, gram, "item_id").where("at >= 0").select("item_id", "print", F.array(*_around(F.col("at"), window, gram)).alias("words")), "benchmark")
     docs = told_apart(docs.select("doc_id", "text"))
-    widths = sorted({window} | {r["width"] for r in bench.select("width").distinct().collect()}, reverse=True)
-    found = None
-    for width in widths:
-        keys = bench.where(F.col("width") == width).select("print", "whole").distinct().withColumn("hit", F.lit(True))
-        rows = windows(docs, *DOCUMENT, width=width, gram=gram)
-        if width != window:
-            rows = rows.where(F.col("pos") >= 0)
-        # Markers have no partner and stay for the word counts.
-        hits = (rows.join(F.broadcast(keys) if small else keys, ["print", "whole"], "left")
-                .where((F.col("pos") < 0) | F.col("hit"))
-                .select(*DOCUMENT, "pos", "print", "whole", F.lit(width).alias("width")))
-        found = hits if found is None else found.unionByName(hits)
+    small = lambda df: F.broadcast(df) if df.limit(broadcast_prints + 1).count() <= broadcast_prints else df
+    rows = fingerprints(docs, *DOCUMENT, window=window, gram=gram)
+    mine = F.array(*_around(F.col("at"), window, gram))
+    few = known.limit(broadcast_prints + 1).count() <= broadcast_prints
+    if not few:  # arrays of whole texts must not be shuffled
+        rows = rows.select(*DOCUMENT, "print", "at", F.size("w").alias("n_words"), mine.alias("mine"))
+    met = rows.join(F.broadcast(known) if few else known, "print", "left").where((F.col("at") < 0) | F.col("item_id").isNotNull())
+    met = met.select(*DOCUMENT, "at", (F.size("w").alias("n_words") if few else "n_words"), (mine.alias("mine") if few else "mine"), "words", "item_id")
+    left = _alike([F.get("mine", F.lit(i)) for i in range(reach)], [F.get("words", F.lit(i)) for i in range(reach)])
+    right = _alike([F.get("mine", F.lit(reach + i)) for i in range(window)], [F.get("words", F.lit(reach + i)) for i in range(window)])
+    grown = met.select(*DOCUMENT, "at", "n_words", "item_id", left.alias("left"), right.alias("right"))
+    grown = grown.where((F.col("at") < 0) | (F.col("right") >= gram) & (F.col("left") + F.col("right") >= window))
+    found = grown.select(*DOCUMENT, F.when(F.col("at") < 0, F.lit(-1)).otherwise(F.col("at") - F.col("left")).alias("pos"),
+                         F.when(F.col("at") < 0, F.col("n_words")).otherwise(F.col("left") + F.col("right")).alias("width"), "item_id")
+    for n in lengths:
+        whole = [h.alias(c) for h, c in zip(_whole(F.lit(0), n), ("print", "check"))]
+        keys = stage(sized.where(F.size("w") == n).select("item_id", *whole), "short")
+        at = F.explode(F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)))
+        places = _hashes(docs, *DOCUMENT).select(*DOCUMENT, "w", at.alias("pos")).select(*DOCUMENT, "pos", *[h.alias(c) for h, c in zip(_whole(F.col("pos"), n), ("print", "check"))])
+        found = found.unionByName(places.join(small(keys), ["print", "check"]).select(*DOCUMENT, "pos", F.lit(n).alias("width"), "item_id"))
     found = stage(found, "hits")
     spans = found.where(F.col("pos") >= 0)
     before = "max(pos + width) OVER (PARTITION BY doc_id, lone_row ORDER BY pos, width ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     new = (spans.select(*DOCUMENT, "pos", "width").distinct().withColumn("covered", F.expr(before))
            .withColumn("new", F.greatest(F.lit(0), F.col("pos") + F.col("width") - F.greatest("pos", F.coalesce("covered", F.lit(0))))))
     hit_words = new.groupBy(*DOCUMENT).agg(F.sum("new").alias("n_hit"))
-    owners = bench.select("print", "whole", "width", "item_id")
-    pairs = (spans.select(*DOCUMENT, "print", "whole", "width").distinct()
-             .join(F.broadcast(owners) if small else owners, ["print", "whole", "width"]).select(*DOCUMENT, "item_id").distinct())
+    pairs = spans.select(*DOCUMENT, "item_id").distinct()
     lists = pairs.groupBy(*DOCUMENT).agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    counts = found.where(F.col("pos") < 0).groupBy(*DOCUMENT).agg(F.max("whole").alias("n_words"))
+    counts = found.where(F.col("pos") < 0).groupBy(*DOCUMENT).agg(F.max("width").cast("long").alias("n_words"))
     out = _beside(_beside(counts, hit_words), lists)
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"),

@@ -41,13 +41,21 @@ def _hashes(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.transform(words(F.coalesce(F.col("text"), F.lit(""))), lambda w: F.xxhash64(w)).alias("w"))
 
 
+def _tagged(window: int, gram: int) -> Column:
+    """The k-gram hashes of ``w`` without their lowest bits, which have room for a place in a window."""
+    free = (window - gram).bit_length()
+    h = lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(gram)])
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - gram), lambda i: F.shiftleft(F.shiftright(h(i), free), free))
+    return F.when(F.size("w") >= gram, grams)
+
+
 def _print(at: Column, window: int, gram: int) -> tuple[Column, Column]:
-    """The least k-gram hash of the window at ``at``, without its lowest bits, and the place of its k-gram; of equal ones the last."""
-    places = window - gram + 1
-    bits = (places - 1).bit_length()
-    tagged = [F.shiftleft(F.shiftright(F.xxhash64(*[F.get("w", at + (j + i)) for i in range(gram)]), bits), bits) + F.lit(places - 1 - j).cast("long") for j in range(places)]
-    least = F.least(*tagged) if places > 1 else tagged[0]
-    return F.shiftright(least, bits), at + (places - 1 - least.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))).cast("int")
+    """The least hash of ``g`` in the window at ``at``, and the place of its k-gram; of equal ones the last."""
+    last = window - gram
+    free = last.bit_length()
+    tagged = [F.get("g", at + j) + F.lit(last - j).cast("long") for j in range(last + 1)]
+    least = F.least(*tagged) if last else tagged[0]
+    return F.shiftright(least, free), at + (last - least.bitwiseAND(F.lit((1 << free) - 1).cast("long"))).cast("int")
 
 
 def fingerprints(df: DataFrame, *keep: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -61,7 +69,8 @@ def fingerprints(df: DataFrame, *keep: str, window: int = WINDOW, gram: int = GR
 
 def _prints(hashed: DataFrame, window: int, gram: int, *keep: str) -> DataFrame:
     start = F.explode(F.sequence(F.lit(-1), F.greatest(F.size("w") - window, F.lit(-1))))
-    rows = hashed.select(*keep, "w", start.alias("start"))
+    # Hashes of k-grams are made once per text: as expressions of every position they would be too long to compile.
+    rows = hashed.withColumn("g", _tagged(window, gram)).select(*keep, "w", "g", start.alias("start"))
     least, at = _print(F.col("start"), window, gram)
     before = _print(F.col("start") - 1, window, gram)[1]
     named = rows.select(*keep, "w", "start", least.alias("print"), at.alias("place"), before.alias("place before"))

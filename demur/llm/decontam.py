@@ -120,13 +120,12 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     known = stage(_prints(sized.where(F.size("w") >= window), window, gram, "item_id").where("at >= 0").select("item_id", "print", F.array(*_around(F.col("at"), window, gram)).alias("words")), "benchmark")
     docs = told_apart(docs.select("doc_id", "text"))
     small = lambda df: F.broadcast(df) if df.limit(broadcast_prints + 1).count() <= broadcast_prints else df
-    rows = fingerprints(docs, *DOCUMENT, window=window, gram=gram)
-    mine = F.array(*_around(F.col("at"), window, gram))
     few = known.limit(broadcast_prints + 1).count() <= broadcast_prints
-    if not few:  # arrays of whole texts must not be shuffled
-        rows = rows.select(*DOCUMENT, "print", "at", F.size("w").alias("n_words"), mine.alias("mine"))
+    # Only the words around a k-gram go on; whole texts would be copied with every row.
+    rows = fingerprints(docs, *DOCUMENT, window=window, gram=gram).select(
+        *DOCUMENT, "print", "at", F.size("w").alias("n_words"), F.array(*_around(F.col("at"), window, gram)).alias("mine"))
     met = rows.join(F.broadcast(known) if few else known, "print", "left").where((F.col("at") < 0) | F.col("item_id").isNotNull())
-    met = met.select(*DOCUMENT, "at", (F.size("w").alias("n_words") if few else "n_words"), (mine.alias("mine") if few else "mine"), "words", "item_id")
+    met = stage(met.select(*DOCUMENT, "at", "n_words", "mine", "words", "item_id"), "met")
     left = _alike([F.get("mine", F.lit(i)) for i in range(reach)], [F.get("words", F.lit(i)) for i in range(reach)])
     right = _alike([F.get("mine", F.lit(reach + i)) for i in range(window)], [F.get("words", F.lit(reach + i)) for i in range(window)])
     grown = met.select(*DOCUMENT, "at", "n_words", "item_id", left.alias("left"), right.alias("right"))

@@ -53,6 +53,12 @@ def input_state(spark: SparkSession, folder: str) -> str:
     return hashlib.md5(repr(sorted(found)).encode()).hexdigest()
 
 
+def forget(kept: tuple[str, ...] = ()) -> None:
+    """Tables staged once are built anew when next asked for, but for those whose key holds one of ``kept``; for timing."""
+    for key in [k for k in _memo if not any(name in k[1] for name in kept)]:
+        del _memo[key]
+
+
 def stage_once(spark: SparkSession, key: str, build, folder: str | None = None, partition_by: tuple[str, ...] = (),
                order: tuple[str, ...] = ()) -> DataFrame:
     """Stage under a key once per application; later calls read the same table, unless the input ``folder`` has changed.

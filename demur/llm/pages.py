@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,8 @@ PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 96, 16, 6, 20
 INPUT = PATH_DIM + WORD_DIM + MEASURES
 KEEP_FROM = 0.5
 PAGES_AT_ONCE = 64
+#: Pages times blocks of the longest of them that the labeller reads together.
+BLOCKS_AT_ONCE = 16_384
 
 # Fixed values of the markup language.
 RAW = "script|style|template|noscript|textarea|svg|iframe|object|select"
@@ -54,26 +57,60 @@ _named = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _words = re.compile(r"[^\W_]+").findall
 
 
+#: Marks that pages shown in other dress carry; never part of a vector.
+OWN, OTHER = ".marksown", ".marksother"
+
+
+class Level:
+    """What the open elements at one depth say. A level adds to the one above and shares what it does not change, so that depth costs nothing per block."""
+    __slots__ = ("fresh", "numbers", "last", "article", "other", "never", "own", "strange")
+
+    def __init__(self, above: Level | None, names: list[str], fresh: list[str]):
+        shown = [n for n in names if n not in (OWN, OTHER)]
+        self.fresh = fresh
+        self.last = shown[-1] if shown else ""
+        self.article = (above is not None and above.article) or bool(ARTICLE & set(names[:1]))
+        self.other = (above is not None and above.other) or self.article and any(w in _OTHER_WORDS for w in names)
+        self.never = (above is not None and above.never) or bool(NEVER & set(names))
+        self.own = (above is not None and above.own) or OWN in names
+        self.strange = (above is not None and above.strange) or OTHER in names
+        self.numbers = above.numbers if above is not None else np.zeros(PATH_DIM, np.float32)
+        if fresh:
+            self.numbers = self.numbers.copy()
+            for n in fresh:
+                at, sign = _hashed(n, PATH_DIM, _path_cache)
+                self.numbers[at] += sign
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    level: Level
     linked: float
 
 
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order, with their paths."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Level]] = []
+    top = Level(None, [], [])
     held: list[str] = []
+    opened: Counter = Counter()  # open elements by tag
+    named: set[str] = set()  # names of the open elements
     linked = 0
 
+    def close(i: int) -> None:
+        for tag, level in stack[i:]:
+            opened[tag] -= 1
+            named.difference_update(level.fresh)
+        del stack[i:]
+
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append(Block(text, tuple(n for _, names in stack for n in names), min(1.0, linked / len(text))))
+                out.append(Block(text, stack[-1][1] if stack else top, min(1.0, linked / len(text))))
             held.clear()
             linked = 0
 
@@ -83,7 +120,7 @@ def blocks(page: str | None) -> list[Block]:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
                 held.append(piece)
-                if any(tag == "a" for tag, _ in stack):
+                if opened["a"]:
                     linked += len(piece)
             elif m["raw"]:
                 held.append(" ")
@@ -98,9 +135,9 @@ def blocks(page: str | None) -> list[Block]:
         if m["close"]:
             if name in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[i][0] == name:
-                    del stack[i:]
+                    close(i)
                     break
                 if name not in BLOCK and stack[i][0] in BLOCK:
                     break
@@ -110,14 +147,17 @@ def blocks(page: str | None) -> list[Block]:
             ends = ENDS.get(name, {"p"})
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in ends:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in BLOCK and (stack[i][0] in LIST_LIKE or stack[i][0] not in ("td", "th", "li", "dd", "dt", "tbody", "thead", "tfoot", "p")):
                     break
         names = [name]
         for found in _named(m["attrs"] or ""):
             names += [f".{w}" for w in _words("".join(found).lower())]
-        stack.append((name, tuple(names)))
+        fresh = [n for n in dict.fromkeys(names) if n not in named and n not in (OWN, OTHER)]
+        named.update(fresh)
+        opened[name] += 1
+        stack.append((name, Level(stack[-1][1] if stack else top, names, fresh)))
     flush()
     return out
 
@@ -141,11 +181,9 @@ def vectors(found: list[Block]) -> np.ndarray:
     out = np.zeros((len(found), INPUT), np.float32)
     for i, b in enumerate(found):
         row = out[i]
-        for name in set(b.path):
-            at, sign = _hashed(name, PATH_DIM, _path_cache)
-            row[at] += sign
-        if b.path:
-            at, sign = _hashed("last " + b.path[-1], PATH_DIM, _path_cache)
+        row[:PATH_DIM] = b.level.numbers
+        if b.level.last:
+            at, sign = _hashed("last " + b.level.last, PATH_DIM, _path_cache)
             row[at] += sign
         words = b.text.lower().split()
         for w in words:
@@ -170,8 +208,7 @@ OTHER_DRESS = [("nav", ""), ("header", ""), ("footer", ""), ("aside", ""), ("asi
 
 def is_article(b: Block) -> bool:
     """The label that the markup itself gives."""
-    inside = [i for i, n in enumerate(b.path) if n in ARTICLE]
-    return bool(inside) and not NEVER & set(b.path) and not any(w in _OTHER_WORDS for w in b.path[inside[0] + 1:])
+    return b.level.article and not b.level.never and not b.level.other
 
 
 _OTHER_WORDS = frozenset("." + w for _, attrs in OTHER_DRESS for a in re.findall(r'"([^"]*)"', attrs) for w in _words(a)
@@ -210,10 +247,7 @@ def dressed(page: str, seed: int, shows: int = 6) -> list[tuple[list[Block], lis
         text = f"<html><head><title>{html.escape(article[0].text[:60])}</title></head><body><{wrap[0]} {wrap[1]}>{before}<{tag} {attrs} data-own>{''.join(inner)}</{tag}>{after}</{wrap[0]}></body></html>"
         marked = text.replace(" data-other>", ' class="marksother">').replace(" data-own>", ' class="marksown">')
         shown = blocks(marked)
-        told = [".marksown" in b.path and ".marksother" not in b.path for b in shown]
-        for b in shown:
-            b.path = tuple(n for n in b.path if n not in (".marksown", ".marksother"))
-        out.append((shown, told))
+        out.append((shown, [b.level.own and not b.level.strange for b in shown]))
     return out
 
 
@@ -221,8 +255,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _lstm(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
-    """States of one direction over x (pages, steps, inputs), and what the way back needs."""
+def _lstm(x: np.ndarray, w: np.ndarray, b: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+    """States of one direction over x (pages, steps, inputs), and, to ``keep``, what the way back needs."""
     n, steps, _ = x.shape
     h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
     states, kept = np.zeros((n, steps, HIDDEN)), []
@@ -235,7 +269,8 @@ def _lstm(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list
         tc = np.tanh(c)
         h = o * tc
         states[:, t] = h
-        kept.append((z, i, f, o, g, before, tc))
+        if keep:
+            kept.append((z, i, f, o, g, before, tc))
     return states, kept
 
 
@@ -260,9 +295,9 @@ def _turned(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.take_along_axis(x, at[:, :, None], 1)
 
 
-def _logits(w: list[np.ndarray], x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, tuple]:
-    ahead, k1 = _lstm(x, w[0], w[1])
-    back, k2 = _lstm(_turned(x, lengths), w[2], w[3])
+def _logits(w: list[np.ndarray], x: np.ndarray, lengths: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+    ahead, k1 = _lstm(x, w[0], w[1], keep)
+    back, k2 = _lstm(_turned(x, lengths), w[2], w[3], keep)
     both = np.concatenate([ahead, _turned(back, lengths)], 2)
     return both @ w[4] + w[5][0], (both, k1, k2)
 
@@ -292,7 +327,7 @@ def train(rows: list[np.ndarray], labels: list[np.ndarray], passes: int = 16, ra
             for i, j in enumerate(batches[k]):
                 y[i, :lengths[i]] = labels[j]
             seen = np.arange(x.shape[1])[None, :] < lengths[:, None]
-            logit, (both, k1, k2) = _logits(w, x, lengths)
+            logit, (both, k1, k2) = _logits(w, x, lengths, keep=True)
             error = (_sigmoid(logit) - y) * seen / seen.sum()
             spread = error[:, :, None] * w[4]
             g0, g1 = _lstm_back(spread[:, :, :HIDDEN], k1, w[0])
@@ -329,13 +364,18 @@ def learn(pages: DataFrame, sample: int = SAMPLE_PAGES) -> list[np.ndarray] | No
 
 
 def label(found: list[list[Block]], weights: list[np.ndarray] | None) -> list[np.ndarray]:
-    """Of every page's blocks, which are kept; pages of like length are read together."""
+    """Of every page's blocks, which are kept; pages of like length are read together, at most ``BLOCKS_AT_ONCE`` steps or one page."""
     out = [np.zeros(0, bool)] * len(found)
     if weights is None:
-        return [np.array([not NEVER & set(b.path) for b in bs], bool) for bs in found]
+        return [np.array([not b.level.never for b in bs], bool) for bs in found]
     order = [i for i in sorted(range(len(found)), key=lambda i: len(found[i])) if found[i]]
-    for k in range(0, len(order), PAGES_AT_ONCE):
-        part = order[k:k + PAGES_AT_ONCE]
+    parts: list[list[int]] = []
+    for i in order:
+        # Lengths ascend, so the page that comes is the longest of its part.
+        if not parts or len(parts[-1]) == PAGES_AT_ONCE or (len(parts[-1]) + 1) * len(found[i]) > BLOCKS_AT_ONCE:
+            parts.append([])
+        parts[-1].append(i)
+    for part in parts:
         x, lengths = _padded([vectors(found[i]) for i in part])
         logit, _ = _logits(weights, x, lengths)
         for i, row, n in zip(part, logit, lengths):

@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,10 @@ VOCABULARY = 20_000
 DIM, SPIKES, REACH, HIDDEN = 64, 8, 2, 24
 KEEP_FROM = 0.3
 REMEMBERED_TOKENS = 200_000
-tokens = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
+#: Tokens of a text that are looked at together.
+PART = 65_536
+token_pattern = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+tokens = token_pattern.findall
 REPEATED, SEEN_BEFORE, SAME_LINE, EMPTY = "<repeated>", "<seen before>", "<same line>", "<empty>"
 
 
@@ -58,6 +62,27 @@ def shape(token: str) -> str:
     return f"<{kind} {min(len(token), 12)}>"
 
 
+def token_parts(text: str) -> Iterator[list[str]]:
+    """The tokens of a text in order, ``PART`` at a time, so that a very long text needs no more memory than a part and its distinct tokens."""
+    if len(text) <= PART:
+        if found := tokens(text):
+            yield found
+        return
+    each = (m[0] for m in token_pattern.finditer(text))
+    while found := list(islice(each, PART)):
+        yield found
+
+
+def line_counts(text: str) -> tuple[int, int]:
+    """How many lines a text has, and how many different ones."""
+    seen, start = set(), 0
+    while (end := text.find("\n", start)) >= 0:
+        seen.add(text[start:end])
+        start = end + 1
+    seen.add(text[start:])
+    return text.count("\n") + 1, len(seen)
+
+
 @dataclass
 class Model:
     vocabulary: dict[str, np.ndarray]
@@ -100,21 +125,25 @@ class Pooler:
         return at
 
     def pool(self, text: str | None) -> np.ndarray:
-        found = tokens(text or "")
-        if not found:
+        total, n, repeated, seen, last = np.zeros(DIM, np.float32), 0, 0, set(), None
+        for found in token_parts(text or ""):
+            try:
+                at = list(map(self.place.__getitem__, found))
+            except KeyError:
+                at = list(map(self._locate, found))
+                if len(self.rows) > len(self.table):
+                    self._freeze()
+            total = total + self.table[np.array(at)].sum(0)
+            repeated += sum(map(str.__eq__, found, found[1:])) + (found[0] == last)
+            n, last = n + len(found), found[-1]
+            seen.update(found)
+        if not n:
             return self.table[self.special[3]].copy()
-        try:
-            at = list(map(self.place.__getitem__, found))
-        except KeyError:
-            at = list(map(self._locate, found))
-            if len(self.rows) > len(self.table):
-                self._freeze()
-        total = self.table[np.array(at)].sum(0)
-        lines = text.split("\n")
-        extra = (sum(map(str.__eq__, found, found[1:])), len(found) - len(set(found)), (len(lines) - len(set(lines))) * len(found) / len(lines))
-        for n, row in zip(extra, self.special):
-            total = total + np.float32(n) * self.table[row]
-        return total / len(found)
+        count, distinct = line_counts(text)
+        extra = (repeated, n - len(seen), (count - distinct) * n / count)
+        for k, row in zip(extra, self.special):
+            total = total + np.float32(k) * self.table[row]
+        return total / n
 
 
 def _context_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,23 +153,27 @@ def _context_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     index: dict[str, np.ndarray] = {}
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            found = tokens(text or "")
-            if not found:
-                continue
-            for t in found:
-                if t not in index:
-                    index[t] = index_vector(t)
-            vectors = np.vstack([index[t] for t in found])
-            around = np.zeros_like(vectors)
-            for step in range(1, REACH + 1):
-                around[step:] += vectors[:-step]
-                around[:-step] += vectors[step:]
-            counts.update(found)
-            for t, v in zip(found, around):
-                if t in sums:
-                    sums[t] += v
-                else:
-                    sums[t] = v.copy()
+            parts = token_parts(text or "")
+            before, found = [], next(parts, None)
+            while found:
+                after = next(parts, None)
+                # The part with the tokens within reach on either side.
+                wide = before + found + (after or [])[:REACH]
+                for t in wide:
+                    if t not in index:
+                        index[t] = index_vector(t)
+                vectors = np.vstack([index[t] for t in wide])
+                around = np.zeros_like(vectors)
+                for step in range(1, REACH + 1):
+                    around[step:] += vectors[:-step]
+                    around[:-step] += vectors[step:]
+                counts.update(found)
+                for t, v in zip(found, around[len(before):]):
+                    if t in sums:
+                        sums[t] += v
+                    else:
+                        sums[t] = v.copy()
+                before, found = found[-REACH:], after
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()),
          pa.array([sums[t].tolist() for t in counts], pa.list_(pa.float32()))], names=["token", "n", "around"])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from demur.functions.draws import uniform
 
 from .ranking import medians, running
 
 RUNGS = ["O0", "O1", "O2", "O3", "O4"]
+#: Names that a broadcast may hold, three numbers each.
+BROADCAST_NAMES = 1_000_000
 
 
 def priors(parts: DataFrame, name: str = "name", grams: str = "grams", amount: str = "amount",
@@ -69,26 +71,35 @@ def perturbed_errors(parts: DataFrame, items: DataFrame, names: DataFrame, globa
     """Mean error of the names-with-mass rung when the mass and the names are wrong by stated amounts.
 
     The relative mass error is uniform on +-2 ``mass_err``, so its mean absolute value is ``mass_err``; each
-    name is replaced by a uniform draw from the vocabulary with probability ``name_err``. Replicates and
-    scenarios are exploded per part, summed back per item and replicate, then averaged.
+    name is replaced by a uniform draw from the vocabulary with probability ``name_err``. A part has one draw per
+    replicate, and it is swapped in every scenario whose threshold lies above the draw: one aggregate gives the sums of all
+    thresholds, and scenarios appear only when items and replicates are summed. The vocabulary is broadcast up to
+    ``BROADCAST_NAMES`` names, as counted; beyond that the join shuffles.
     """
-    pool = running(names, ["name"], rank="_ord").select(F.col("_ord").alias("_pick"), "density", "typical")
+    pool = running(names, ["name"], rank="_ord").select(
+        F.col("_ord").alias("_pick"), F.coalesce("density", F.lit(0.0)).alias("_pd"), F.col("typical").alias("_pt"))
     size = names.count()
     known = parts.join(names, "name", "left").select(
         ident, position, F.coalesce("density", F.lit(0.0)).alias("_d"), F.coalesce("typical", F.lit(0.0)).alias("_t"))
-    cells = F.array(*[F.struct(F.lit(float(m)).alias("mass_err"), F.lit(float(p)).alias("name_err"))
-                      for m, p in scenarios])
     rows = known.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumns({
         "_swap": uniform("swap", seed, F.col("rep"), F.col(ident), F.col(position)),
         "_pick": (F.floor(uniform("pick", seed, F.col("rep"), F.col(ident), F.col(position)) * size) + 1)})
-    rows = rows.join(pool, "_pick").select("*", F.inline(cells))
-    swapped = F.col("_swap") < F.col("name_err")
-    t = F.when(swapped, F.col("typical")).otherwise(F.col("_t"))
-    d = F.when(swapped, F.coalesce("density", F.lit(0.0))).otherwise(F.col("_d"))
-    sums = rows.groupBy(ident, "rep", "mass_err", "name_err").agg(F.sum(t).alias("_t"), F.sum(t * d).alias("_td"))
-    off = 1 + (4 * uniform("mass", seed, F.col("rep"), F.col(ident)) - 2) * F.col("mass_err")
-    got = sums.join(items.select(ident, "truth", "mass"), ident)
-    estimate = F.when(F.col("_t") > 0, F.col("_td") / F.col("_t") * F.col("mass") * off).otherwise(F.lit(global_mean))
-    return got.groupBy("mass_err", "name_err", "rep").agg(
-        F.avg(F.abs(estimate - F.col("truth"))).alias("mae")).groupBy("mass_err", "name_err").agg(
-        F.avg("mae").alias("mae"))
+    rows = rows.join(F.broadcast(pool) if size <= BROADCAST_NAMES else pool, "_pick")
+    thresholds = sorted({float(p) for _, p in scenarios})
+    sums = []
+    for i, p in enumerate(thresholds):
+        swapped = F.col("_swap") < p
+        sums += [F.sum(F.when(swapped, F.col("_pt")).otherwise(F.col("_t"))).alias(f"_t{i}"),
+                 F.sum(F.when(swapped, F.col("_pt") * F.col("_pd")).otherwise(F.col("_t") * F.col("_d"))).alias(f"_td{i}")]
+    got = rows.groupBy(ident, "rep").agg(*sums).join(items.select(ident, "truth", "mass"), ident).withColumn(
+        "_u", 4 * uniform("mass", seed, F.col("rep"), F.col(ident)) - 2)
+
+    def error(m: float, p: float) -> Column:
+        i = thresholds.index(float(p))
+        estimate = F.when(F.col(f"_t{i}") > 0, F.col(f"_td{i}") / F.col(f"_t{i}") * F.col("mass") * (1 + F.col("_u") * float(m)))
+        return F.abs(estimate.otherwise(F.lit(global_mean)) - F.col("truth"))
+
+    each = got.groupBy("rep").agg(*[F.avg(error(m, p)).alias(f"_e{j}") for j, (m, p) in enumerate(scenarios)])
+    cells = F.array(*[F.struct(F.lit(float(m)).alias("mass_err"), F.lit(float(p)).alias("name_err"), F.col(f"_e{j}").alias("mae"))
+                      for j, (m, p) in enumerate(scenarios)])
+    return each.select(F.inline(cells)).groupBy("mass_err", "name_err").agg(F.avg("mae").alias("mae"))

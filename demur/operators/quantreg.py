@@ -9,8 +9,11 @@ is widened and the step repeats.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from demur.sources.staging import stage
+
 SAMPLE_ROWS = 20_000
 #: Distinct rows near the line that the driver solves at once.
 NEAR_ROWS = 500_000
@@ -118,6 +121,85 @@ def fit(df: DataFrame, x: str, y: str, tau: float, sample_rows: int = SAMPLE_ROW
         lo, hi = _wide(lo, hi)
 
 
+def fit_groups(df: DataFrame, keys: list[str], x: str, y: str, taus: list[float], sample_rows: int = SAMPLE_ROWS,
+               near_rows: int = NEAR_ROWS) -> DataFrame:
+    """The ``taus`` quantile lines of every group at once, exact: columns keys, ``tau, a, b``; rows with a null ``x`` or ``y`` count as absent.
+
+    All groups go through the same passes. A pass sums the rows far from each line in one aggregate, solves the distinct near rows of a
+    group in a task of its own, and checks every new line against all rows; groups that hold take no part in the next pass. The driver only
+    learns whether groups are left.
+    """
+    keys = list(keys)
+    each, X, Y = [*keys, "tau"], F.col("_x"), F.col("_y")
+    rows = stage(df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna(subset=["_x", "_y"]), "lines")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    head = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "tau double"])
+    names = [*each, "a", "b", "lo", "hi", "wider", "whole", "done"]
+    state_schema = f"{head}, a double, b double, lo double, hi double, wider double, whole boolean, done boolean"
+
+    def start(p):
+        first = [p[k].iloc[0] for k in keys]
+        px, py, n, out = p["_x"].to_numpy(), p["_y"].to_numpy(), p["_n"].iloc[0], []
+        for tau in taus:
+            a, b = solve(px, py, tau)
+            lo, hi = _band(py - a - b * px, 3.0 / np.sqrt(len(py)) if len(py) < n else 1.0)
+            out.append([*first, tau, a, b, lo, hi, 1.0, False, len(py) == n])
+        return pd.DataFrame(out, columns=names)
+
+    def step(p):
+        first = [p[k].iloc[0] for k in each]
+        s = p.iloc[0]
+        px, py, w, tau = p["_x"].to_numpy(), p["_y"].to_numpy(), p["_w"].to_numpy(float), s["tau"]
+        extra = ((1 - tau) * s["nb"] - tau * s["na"], (1 - tau) * s["xb"] - tau * s["xa"])
+        if not s["_part"]:
+            return pd.DataFrame([[*first, *solve(px, py, tau, extra, w), None, None, True]], columns=[*each, "a2", "b2", "lo2", "hi2", "full"])
+        share = w.sum() / s["_near"]
+        a, b = solve(px, py, tau, (extra[0] * share, extra[1] * share), w)
+        res = py - a - b * px
+        lo, hi = _band(res, min(1.0, s["wider"] * 3.0 / np.sqrt(len(res))))
+        # Only a band that leaves most of these rows out is a step ahead; otherwise the next pass solves all of them.
+        ahead = np.mean((res >= lo) & (res <= hi)) < 0.5
+        return pd.DataFrame([[*first, a if ahead else None, b, lo, hi, False]], columns=[*each, "a2", "b2", "lo2", "hi2", "full"])
+
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sampled = rows.join(sizes, keys).where((F.col("_n") <= sample_rows) | (F.rand(11) < 1.5 * sample_rows / F.col("_n")))
+    state = stage(sampled.groupBy(*keys).applyInPandas(start, state_schema), "line-state")
+    seed = 12
+    while not state.where(~F.col("done")).isEmpty():
+        pending = state.where(~F.col("done"))
+        r = Y - F.col("a") - F.col("b") * X
+        below, above = r < F.col("lo"), r > F.col("hi")
+        total = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0.0))
+        joined = rows.join(pending, keys)
+        far = joined.groupBy(*each).agg(total(below, F.lit(1.0)).alias("nb"), total(below, X).alias("xb"), total(above, F.lit(1.0)).alias("na"),
+                                        total(above, X).alias("xa"))
+        near = stage(joined.where(~below & ~above).groupBy(*each, "_x", "_y").agg(F.count(F.lit(1)).alias("_w")), "near")
+        count = near.groupBy(*each).agg(F.sum("_w").alias("_near"), F.count(F.lit(1)).alias("_m"))
+        info = stage(pending.join(far, each).join(count, each, "left").withColumn(
+            "_part", (F.col("_m") > near_rows) & ~F.col("whole") & (F.col("wider") < 1e6)), "line-sums")
+        picked = near.join(info, each).where(~F.col("_part") | (F.rand(seed) < 1.5 * sample_rows / F.col("_m")))
+        seed += 1
+        new = stage(picked.groupBy(*each).applyInPandas(step, f"{head}, a2 double, b2 double, lo2 double, hi2 double, full boolean"), "line-steps")
+        r2 = Y - F.col("a2") - F.col("b2") * X
+        slack = 1e-9 * (1 + F.abs("a2"))
+        crossed = rows.join(pending.join(new.where("full"), each), keys).where((below & (r2 > slack)) | (above & (r2 < -slack))).select(
+            *each, F.lit(True).alias("_crossed")).distinct()
+        all_ = pending.join(new, each, "left").join(crossed, each, "left")
+        full, moved = F.coalesce("full", F.lit(False)), F.coalesce(~F.col("full") & F.col("a2").isNotNull(), F.lit(False))
+        held = full & F.col("_crossed").isNull()
+        # Without near rows, or with a row on the other side, the band grows.
+        grows = F.col("full").isNull() | F.col("_crossed").isNotNull()
+        width = F.when((F.col("hi") > F.col("lo")) & (F.abs(F.col("hi") - F.col("lo")) < float("inf")), F.col("hi") - F.col("lo")).otherwise(1.0)
+        nxt = all_.select(
+            *each, F.when(held | moved, F.col("a2")).otherwise(F.col("a")).alias("a"), F.when(held | moved, F.col("b2")).otherwise(F.col("b")).alias("b"),
+            F.when(moved, F.col("lo2")).when(grows, F.col("lo") - width).otherwise(F.col("lo")).alias("lo"),
+            F.when(moved, F.col("hi2")).when(grows, F.col("hi") + width).otherwise(F.col("hi")).alias("hi"),
+            F.when(F.col("_crossed").isNotNull(), F.col("wider") * 4).otherwise(F.col("wider")).alias("wider"),
+            (F.col("full").isNotNull() & ~full & ~moved).alias("whole"), held.alias("done"))
+        state = stage(state.where("done").select(*names).unionByName(nxt), "line-state")
+    return state.select(*each, "a", "b")
+
+
 def _band(res: np.ndarray, spread: float) -> tuple[float, float]:
     """Residuals that hold the share ``spread`` of the rows on either side of zero; infinite where there are not that many."""
     res = np.sort(res)

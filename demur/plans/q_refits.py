@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from demur.functions.expr import interval_score
 from demur.operators import quantreg
 from demur.operators.assess import band, edges
 from demur.operators.crossfit import fit_heads, out_of_fold, seeded_roles
 from demur.operators.curves import curve
 from demur.operators.evaluate import placebo_summary
 from demur.operators.lines import fit_line, pair_heads
-from demur.operators.ranges import ALPHA, calibrate, score_by_bin, score_ranges
+from demur.operators.ranges import ALPHA, calibrate, covered, score_by_bin, score_ranges
 from demur.operators.ranking import order_statistic
 from demur.operators.splits import cluster_sizes, deal_round_robin, permute
 from demur.sources.staging import stage
@@ -168,6 +169,19 @@ def cqr_score(spark, sf):
                       *[F.round(c, 6).alias(c) for c in ("coverage", "usable_share", *(f"coverage_q{i}" for i in range(1, 5)))])
 
 
+def spread_of_measures(ranges, at, digits):
+    """Mean, extremes and sd over carves of coverage, width, score and coverage of the outer truth quartiles."""
+    c = covered().cast("double")
+    per = ranges.groupBy("rep").agg(
+        F.avg(c).alias("coverage"), F.avg(F.col("hi") - F.col("lo")).alias("width"),
+        F.avg(interval_score(F.col("truth"), F.col("lo"), F.col("hi"), ALPHA)).alias("interval_score"),
+        F.avg(F.when(F.col("truth") >= at[2], c)).alias("largest"), F.avg(F.when(F.col("truth") < at[0], c)).alias("smallest"))
+    long = per.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v"))
+                                         for m in ("coverage", "width", "interval_score", "largest", "smallest")])))
+    return long.groupBy("measure").agg(F.round(F.avg("v"), digits).alias("mean"), F.round(F.min("v"), digits).alias("lowest"),
+                                       F.round(F.max("v"), digits).alias("highest"), F.round(F.stddev_samp("v"), digits).alias("sd"))
+
+
 cte("rr_ranges", """SELECT t.rep, t.truth, greatest(0, t.pred - q) AS lo, t.pred + q AS hi FROM rf_test t JOIN
   (SELECT rep, err AS q FROM (SELECT rep, err, row_number() OVER (PARTITION BY rep ORDER BY err) AS r,
      least(ceil((count(*) OVER (PARTITION BY rep) + 1)*(1 - 0.1::DOUBLE)), count(*) OVER (PARTITION BY rep)) AS k FROM rf_calib) WHERE r = k) USING (rep)""",
@@ -195,14 +209,69 @@ def range_refits(spark, sf):
     params = F.broadcast(heads.join(q, "rep"))
     each = test.withColumn("rep", F.explode(F.array(*[F.lit(i) for i in range(len(SEEDS))]))).join(params, "rep")
     ranges = hat(each).withColumn("lo", F.greatest(F.lit(0.0), F.col("pred") - F.col("q"))).withColumn("hi", F.col("pred") + F.col("q"))
-    from demur.functions.expr import interval_score
-    from demur.operators.ranges import covered
-    c = covered().cast("double")
-    per = ranges.groupBy("rep").agg(
-        F.avg(c).alias("coverage"), F.avg(F.col("hi") - F.col("lo")).alias("width"),
-        F.avg(interval_score(F.col("truth"), F.col("lo"), F.col("hi"), ALPHA)).alias("interval_score"),
-        F.avg(F.when(F.col("truth") >= at[2], c)).alias("largest"), F.avg(F.when(F.col("truth") < at[0], c)).alias("smallest"))
-    long = per.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v"))
-                                         for m in ("coverage", "width", "interval_score", "largest", "smallest")])))
-    return long.groupBy("measure").agg(F.round(F.avg("v"), 4).alias("mean"), F.round(F.min("v"), 4).alias("lowest"),
-                                       F.round(F.max("v"), 4).alias("highest"), F.round(F.stddev_samp("v"), 4).alias("sd"))
+    return spread_of_measures(ranges, at, 4)
+
+
+# Quantile lines of every carve: out-of-fold inside the fit clusters, then the same search as for one fit, with the carve as a key.
+cte("rq_folds", f"""SELECT rep, cluster, (row_number() OVER (PARTITION BY rep ORDER BY {u("'robin'", '760', 'cluster')}, cluster) - 1) % 5 AS fold
+  FROM rf_roles WHERE NOT calib""", "rf_roles")
+cte("rq_oof", """WITH r AS (SELECT rep, fold, mass, truth FROM x_pool JOIN rq_folds USING (cluster)),
+    h AS (SELECT o.rep, o.fold, avg(mass) AS mx, avg(truth) AS my, covar_pop(mass, truth)*count(*)/(var_pop(mass)*count(*) + 1) AS w
+      FROM (SELECT DISTINCT rep, fold FROM rq_folds) o JOIN r ON r.rep = o.rep AND r.fold <> o.fold GROUP BY o.rep, o.fold)
+  SELECT rep, truth, (mass - mx)*w + my AS oof FROM r JOIN h USING (rep, fold)""", "x_pool", "rq_folds")
+cte("rq_search", """WITH RECURSIVE step(n, rep, tau, lo, hi) AS (
+    SELECT 0, rep, tau, -20.0::DOUBLE, 20.0::DOUBLE FROM (VALUES (0.05::DOUBLE), (0.95::DOUBLE)) t(tau), (SELECT DISTINCT rep FROM rq_oof) UNION ALL
+    SELECT n + 1, rep, tau, CASE WHEN l1 <= l2 THEN lo ELSE m1 END, CASE WHEN l1 <= l2 THEN m2 ELSE hi END FROM (
+      SELECT n, rep, tau, lo, hi, m1, m2, max(l) FILTER (side = 1) AS l1, max(l) FILTER (side = 2) AS l2 FROM (
+        SELECT n, rep, tau, lo, hi, m1, m2, side, list_sum(list_transform(r, lambda v: greatest(tau*(v - r[c]), (tau - 1)*(v - r[c])))) AS l FROM (
+          SELECT n, s.rep, tau, lo, hi, m1, m2, side, list(truth - b*oof ORDER BY truth - b*oof) AS r, ceil(tau*count(*))::INT AS c FROM (
+            SELECT s.*, side, CASE side WHEN 1 THEN m1 ELSE m2 END AS b FROM (SELECT *, lo + (hi - lo)/3 AS m1, hi - (hi - lo)/3 AS m2 FROM step WHERE n < 90) s,
+              (VALUES (1), (2)) w(side)) s JOIN rq_oof o ON o.rep = s.rep GROUP BY n, s.rep, tau, lo, hi, m1, m2, side)) GROUP BY n, rep, tau, lo, hi, m1, m2))
+  SELECT rep, tau, (lo + hi)/2 AS b FROM step WHERE n = 90""", "rq_oof")
+cte("rq", """WITH r AS (SELECT rep, tau, oof AS x, truth AS y, truth - b*oof AS r FROM rq_search JOIN rq_oof USING (rep)),
+    a AS (SELECT rep, tau, list(r ORDER BY r)[ceil(tau*count(*))::INT] AS a FROM r GROUP BY rep, tau),
+    near AS (SELECT rep, tau, x, y, row_number() OVER (PARTITION BY rep, tau ORDER BY d, y) AS place FROM (
+      SELECT rep, tau, x, min_by(y, abs(r - a)) AS y, min(abs(r - a)) AS d FROM r JOIN a USING (rep, tau) GROUP BY rep, tau, x))
+  SELECT p.rep, p.tau, (q.y - p.y)/(q.x - p.x) AS b, p.y - (q.y - p.y)/(q.x - p.x)*p.x AS a FROM near p JOIN near q
+    ON q.rep = p.rep AND q.tau = p.tau AND p.place = 1 AND q.place = 2""", "rq_search", "rq_oof")
+cte("rq_hat", """SELECT s.*, l.a + l.b*s.pred AS qlo, h.a + h.b*s.pred AS qhi FROM (
+    SELECT rep, 'calib' AS role, truth, (mass - mx)*w + my AS pred FROM x_pool JOIN rf_roles USING (cluster) JOIN rf_main USING (rep) WHERE calib
+    UNION ALL SELECT rep, 'test', truth, (mass - mx)*w + my FROM x_test, rf_main) s
+  JOIN rq l ON l.rep = s.rep AND l.tau < 0.5 JOIN rq h ON h.rep = s.rep AND h.tau > 0.5""", "x_pool", "x_test", "rf_roles", "rf_main", "rq")
+cte("rq_ranges", """SELECT t.rep, truth, greatest(0, qlo - q) AS lo, qhi + q AS hi FROM rq_hat t JOIN
+  (SELECT rep, s AS q FROM (SELECT rep, s, row_number() OVER (PARTITION BY rep ORDER BY s) AS r,
+     least(ceil((count(*) OVER (PARTITION BY rep) + 1)*(1 - 0.1::DOUBLE)), count(*) OVER (PARTITION BY rep)) AS k
+     FROM (SELECT rep, greatest(qlo - truth, truth - qhi) AS s FROM rq_hat WHERE role = 'calib')) WHERE r = k) USING (rep) WHERE role = 'test'""", "rq_hat")
+
+
+def carve_lines(rows, roles, alpha=ALPHA):
+    """Quantile lines of both tails for every carve, fitted together: columns rep, la, lb, ha, hb."""
+    fit = roles.filter(~F.col("calib")).select("rep", "cluster")
+    robin = stage(deal_round_robin(fit.withColumn("size", F.lit(1)), 5, by=["rep"]), "robin")
+    oof = out_of_fold(rows.select("cluster", "mass", "truth"), robin, "mass", "truth", keys=["rep"])
+    got = quantreg.fit_groups(oof, ["rep"], "oof", "truth", [alpha / 2, 1 - alpha / 2])
+    low = got.filter("tau < 0.5").select("rep", F.col("a").alias("la"), F.col("b").alias("lb"))
+    return low.join(got.filter("tau > 0.5").select("rep", F.col("a").alias("ha"), F.col("b").alias("hb")), "rep")
+
+
+@query("cqr_refits", with_ctes(f"""WITH e AS (SELECT quantile_cont(truth, [0.25, 0.5, 0.75]) AS e FROM x_test),
+    s AS (SELECT rep, avg({_C}) AS coverage, avg(hi - lo) AS width, avg(hi - lo + 20*(greatest(lo - truth, 0) + greatest(truth - hi, 0))) AS interval_score,
+      avg({_C}) FILTER (WHERE truth >= e[3]) AS largest, avg({_C}) FILTER (WHERE truth < e[1]) AS smallest FROM rq_ranges, e GROUP BY rep),
+    l AS ({" UNION ALL ".join(f"SELECT '{c}' AS measure, {c} AS v FROM s" for c in ("coverage", "width", "interval_score", "largest", "smallest"))})
+  SELECT measure, round(avg(v), 3) AS mean, round(min(v), 3) AS lowest, round(max(v), 3) AS highest, round(stddev_samp(v), 3) AS sd FROM l GROUP BY measure""",
+    "rq_ranges", "x_test"))
+def cqr_refits(spark, sf):
+    """Quantile-regression ranges refit over calibration carves: the lines of all carves are fitted together."""
+    rows = x_rows(spark, sf)
+    pool, test = rows.filter("role <> 'test'"), rows.filter("role = 'test'")
+    roles = stage(seeded_roles(cluster_sizes(pool), SEEDS), "roles")
+    heads = fit_heads(pool, roles, ["rep"], "mass", "truth", "spread", bands=[]).select("rep", "mx", "my", "w")
+    params = stage(heads.join(carve_lines(pool, roles), "rep"), "heads")
+    pred = (F.col("mass") - F.col("mx")) * F.col("w") + F.col("my")
+    lines = lambda df: df.withColumn("pred", pred).withColumns({"qlo": F.col("la") + F.col("lb") * F.col("pred"), "qhi": F.col("ha") + F.col("hb") * F.col("pred")})
+    calib = lines(pool.join(roles.filter("calib"), "cluster").join(F.broadcast(params), "rep"))
+    q = calibrate(calib, F.greatest(F.col("qlo") - F.col("truth"), F.col("truth") - F.col("qhi")), by=["rep"])
+    at = edges(test, "truth", 4)
+    each = lines(test.withColumn("rep", F.explode(F.array(*[F.lit(i) for i in range(len(SEEDS))]))).join(F.broadcast(params.join(q, "rep")), "rep"))
+    ranges = each.withColumn("lo", F.greatest(F.lit(0.0), F.col("qlo") - F.col("q"))).withColumn("hi", F.col("qhi") + F.col("q"))
+    return spread_of_measures(ranges, at, 3)

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .neighbours import K, broadcast_fit, knn_distance, nearest_squares
+from .neighbours import K, RowFiles, broadcast_fit, knn_distance, nearest_squares
 from .ranking import running
 from .stats import EPSILON, Stats, _matrix, gram, on_each, pick_alpha
 
@@ -19,8 +19,8 @@ ENSEMBLE = 32
 BLENDED = ["mahalanobis", "knn_dist", "ensemble_spread", "learned_error"]
 
 
-#: Rows of a leaf of the splitting tree.
-LEAF = 1024
+#: Rows of a leaf of the splitting tree, and rows that are scored in one walk over the fit set.
+LEAF, WALK_ROWS = 1024, 16_384
 
 
 def leaf_draws(leaf: int, n: int, replicates: int, seed: int) -> np.ndarray:
@@ -101,24 +101,33 @@ class FittedGates:
         held = self.held_fit_set()
         made = names + ["mahalanobis", "ensemble_spread", "learned_error"] + ["knn_dist"] * (held is not None)
 
-        @F.pandas_udf(", ".join(f"{n} double" for n in made))
-        def score(v: pd.Series) -> pd.DataFrame:
-            if not len(v):
-                return pd.DataFrame({n: [] for n in made})
-            z = (_matrix(v) - mean) / scale
+        def of(z: np.ndarray) -> pd.DataFrame:
             out = dict(zip(names, (z @ heads + icpt).T))
             out["mahalanobis"] = np.sqrt((((z @ directions) ** 2) / variances).sum(1))
             each = np.column_stack([(z - ec[b]) @ ens[:, b] + ei[b] for b in range(ens.shape[1])])
             out["ensemble_spread"] = each.std(1)
             out["learned_error"] = (z - ecen) @ eh + eint
             if held is not None:
-                out["knn_dist"] = np.sqrt(nearest_squares(z, held.value, K)).mean(1)
+                out["knn_dist"] = np.sqrt(nearest_squares(z, held.parts(), K)).mean(1)
             return pd.DataFrame(out)
 
+        @F.pandas_udf(", ".join(f"{n} double" for n in made))
+        def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            # Several batches share one walk over the fit set.
+            waiting, n = [], 0
+            for v in batches:
+                waiting.append((_matrix(v) - mean) / scale if len(v) else np.empty((0, len(mean))))
+                n += len(v)
+                if n >= WALK_ROWS:
+                    yield of(np.concatenate(waiting))
+                    waiting, n = [], 0
+            if waiting:
+                yield of(np.concatenate(waiting))
+
         return score(x)
 
-    def held_fit_set(self):
-        """The fit set as one broadcast matrix where its size is under the limit, else None; made once."""
+    def held_fit_set(self) -> RowFiles | None:
+        """The fit set as files where its size is under the limit, else None; made once."""
         if self._held is None:
             self._held = (broadcast_fit(self.fit_set, "z"),)
         return self._held[0]

@@ -8,14 +8,16 @@ pivots, and the sizes of cells only decide where work is done. On data without a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from demur.sources.staging import stage
+from demur.sources.staging import open_store, shared_folder, stage
 
 K = 10
 BROADCAST_BYTES = 256 << 20
@@ -24,44 +26,105 @@ BLOCK_ROWS, CHUNK_ROWS = 2048, 8192
 MOST_PIVOTS, SAMPLE_BYTES, ROUNDS = 2048, 64 << 20, 5
 
 
-def nearest_squares(x: np.ndarray, fit: np.ndarray, k: int, step: int = 2048) -> np.ndarray:
-    """Squared distances to the k nearest fit rows, ascending; blocks of queries bound the memory.
+def nearest_squares(x: np.ndarray, fit: np.ndarray | Iterable[np.ndarray], k: int) -> np.ndarray:
+    """Squared distances to the k nearest fit rows, ascending; ``fit`` is one matrix or its parts, one after the other.
 
-    One matrix product finds the neighbours; their distances are then taken from differences, which is exact
-    where the expansion cancels (a row against itself).
+    Blocks of queries meet parts of the fit rows, so the memory is that of a block whatever the number of rows. One matrix product finds the neighbours; their
+    distances are then taken from differences, which is exact where the expansion cancels (a row against itself).
     """
-    norms, out = (fit ** 2).sum(1), []
-    k = min(k, len(fit))
-    for i in range(0, len(x), step):
-        q = x[i:i + step]
-        near = np.argpartition(norms[None, :] - 2 * q @ fit.T, k - 1, axis=1)[:, :k]
-        out.append(np.sort(((q[:, None, :] - fit[near]) ** 2).sum(2), axis=1))
-    return np.vstack(out)
+    width = max(1, x.shape[1])
+    step, rows = int(np.clip((1 << 18) // width, 64, 1024)), part_rows(width)
+    parts = (fit[i:i + rows] for i in range(0, len(fit), rows)) if isinstance(fit, np.ndarray) else fit
+    found, exact, n = np.full((len(x), k), np.inf), np.full((len(x), k), np.inf), 0
+    for part in parts:
+        norms, n = np.einsum("ij,ij->i", part, part), n + len(part)
+        for i in range(0, len(x), step):
+            q, best = x[i:i + step], found[i:i + step]
+            d = q @ part.T
+            d *= -2
+            d += norms
+            row, col = np.divmod(np.flatnonzero(d < best.max(1)[:, None]), len(part))
+            if len(row) > 4 * k * len(q):
+                m = min(k, len(part))
+                row, col = np.repeat(np.arange(len(q)), m), np.argpartition(d, m - 1, axis=1)[:, :m].ravel()
+            if not len(row):
+                continue
+            of = np.concatenate([np.repeat(np.arange(len(q)), k), row])
+            value = np.concatenate([best.ravel(), d[row, col]])
+            square = np.concatenate([exact[i:i + step].ravel(), ((q[row] - part[col]) ** 2).sum(1)])
+            order = np.lexsort((value, of))
+            kept = order[np.arange(len(of)) - np.searchsorted(of[order], of[order]) < k]
+            found[i:i + step], exact[i:i + step] = value[kept].reshape(-1, k), square[kept].reshape(-1, k)
+    out = np.sort(exact[:, :min(k, n)], axis=1)
+    out[~np.isfinite(out)] = np.nan
+    return out
+
+
+def part_rows(width: int) -> int:
+    """Fit rows that are compared at once."""
+    return int(np.clip((1 << 21) // max(1, width), 256, 4096))
+
+
+@dataclass(frozen=True)
+class RowFiles:
+    """Rows of equal width as plain numbers in files of the shared folder, read a part at a time."""
+    folder: str
+    files: list[str]
+    width: int
+
+    def parts(self) -> Iterator[np.ndarray]:
+        store, root = open_store(self.folder)
+        size = part_rows(self.width) * self.width * 8
+        for name in self.files:
+            with store.open_input_stream(f"{root}/{name}") as file:
+                while len(data := file.read(size)):
+                    yield np.frombuffer(data).reshape(-1, self.width)
+
+
+def write_rows(rows: DataFrame, x: str, width: int) -> RowFiles:
+    """Write the arrays of ``x`` from the tasks that have them; the driver learns a name per task."""
+    folder = f"{shared_folder(rows.sparkSession)}/rows-{uuid.uuid4().hex}"
+    store, root = open_store(folder)
+    store.create_dir(root, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = open_store(folder)
+        name, out = uuid.uuid4().hex, None
+        for batch in batches:
+            if len(batch):
+                out = out or store.open_output_stream(f"{root}/{name}")
+                out.write(np.ascontiguousarray(_wide(batch.column(0)), np.float64).tobytes())
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
+
+    names = rows.select(F.col(x).cast("array<double>").alias("x")).mapInArrow(write, "file string").collect()
+    return RowFiles(folder, sorted(r["file"] for r in names), width)
 
 
 def _stack(s: pd.Series) -> np.ndarray:
     return np.vstack(s.to_numpy()).astype(np.float64)
 
 
-def broadcast_fit(fit: DataFrame, x: str, limit: int = BROADCAST_BYTES):
-    """The fit rows as one broadcast matrix if it is not larger than ``limit`` bytes, else None."""
+def broadcast_fit(fit: DataFrame, x: str, limit: int = BROADCAST_BYTES) -> RowFiles | None:
+    """The fit rows as files that every task walks over, if they are not larger than ``limit`` bytes, else None."""
     first = fit.select(x).first()
     if first is None or fit.count() * len(first[0]) * 8 > limit:
         return None
-    return fit.sparkSession.sparkContext.broadcast(_stack(fit.select(x).toPandas()[x]))
+    return write_rows(fit, x, len(first[0]))
 
 
 def knn_distance(queries: DataFrame, fit: DataFrame, x: str, ident: str, k: int = K,
                  broadcast_bytes: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Columns ``ident`` and ``knn_dist``, one row per row of ``queries``; none where the fit set is empty.
 
-    ``broadcast_bytes`` lets a fit set of at most so many bytes go to every task instead.
+    ``broadcast_bytes`` lets every task walk over a fit set of at most so many bytes instead.
     """
     held = broadcast_fit(fit, x, broadcast_bytes) if broadcast_bytes else None
     if held is not None:
         @F.pandas_udf("double")
         def distance(v: pd.Series) -> pd.Series:
-            return pd.Series(np.sqrt(nearest_squares(_stack(v), held.value, k)).mean(1)) if len(v) else pd.Series([], dtype=float)
+            return pd.Series(np.sqrt(nearest_squares(_stack(v), held.parts(), k)).mean(1)) if len(v) else pd.Series([], dtype=float)
 
         return queries.select(ident, distance(F.col(x)).alias("knn_dist"))
     # A key of its own for every query, as ids may repeat; written, so that all rounds see the same.

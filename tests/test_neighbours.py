@@ -1,9 +1,11 @@
 """Nearest rows by pivots against brute force, and how many cells are visited."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
-from demur.operators.neighbours import _centres, _to_centres, homes, knn_distance, nearest_by_pivots, visits
+from demur.operators.neighbours import _centres, _to_centres, broadcast_fit, homes, knn_distance, nearest_by_pivots, nearest_squares, part_rows, visits
 
 SCHEMA = "id long, x array<double>"
 
@@ -51,3 +53,32 @@ def test_clustered_rows_visit_few_cells():
     bound = np.array([np.sort(np.sqrt(((x[i] - x[home[i][at]]) ** 2).sum(1)))[9] for i in range(500)])
     visited = (visits(q, bound, least, most) | home) @ counts
     assert visited.mean() < 0.1 * len(x)
+
+
+@pytest.mark.parametrize("x", [clustered(9000), np.repeat(clustered(30), 300, axis=0), np.random.default_rng(2).normal(size=(4100, 8)), clustered(6)])
+def test_nearest_squares_over_parts_equals_brute_force(x):
+    q = x[:150]
+    np.testing.assert_allclose(nearest_squares(q, x, 7), brute(q, x, 7) ** 2, atol=1e-9)
+    np.testing.assert_allclose(nearest_squares(q, iter([x[:5], x[5:5], x[5:]]), 7), brute(q, x, 7) ** 2, atol=1e-9)
+
+
+def test_memory_does_not_grow_with_the_fit_rows():
+    draw, peaks = np.random.default_rng(5), []
+    q = draw.normal(size=(2048, 8))
+    for n in (4 * part_rows(8), 16 * part_rows(8)):
+        fit = draw.normal(size=(n, 8))
+        tracemalloc.start()
+        nearest_squares(q, fit, 10)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] < 200e6
+
+
+def test_fit_rows_are_held_in_files(spark):
+    x = clustered(700)
+    fit = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], SCHEMA).repartition(5)
+    held = broadcast_fit(fit, "x")
+    assert sorted(map(tuple, np.vstack(list(held.parts())))) == sorted(map(tuple, x))
+    assert broadcast_fit(fit, "x", 700 * 8 * 8 - 1) is None
+    got = {r["id"]: r["knn_dist"] for r in knn_distance(fit, fit, "x", "id", broadcast_bytes=1 << 20).collect()}
+    np.testing.assert_allclose([got[i] for i in range(700)], brute(x, x, 10).mean(1), atol=1e-6)

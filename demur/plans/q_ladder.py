@@ -8,7 +8,7 @@ from demur.operators.lookup import RUNGS, global_priors, ladder, perturbed_error
 from demur.operators.ranking import running
 
 from .registry import cte, query, u, with_ctes
-from .views import items, lines, table, vocab
+from .views import TEST_BELOW, entities, items, lines, table, vocab
 
 SCENARIOS = [(0.0, 0.0), (0.1, 0.0), (0.0, 0.2), (0.1, 0.2), (0.2, 0.2), (0.2, 0.3)]
 DRAWS = 20
@@ -71,11 +71,12 @@ cte("mc_draws", f"""SELECT id, rep, d, t, coalesce(p.density, 0) AS pd, p.typica
   SELECT m AS mass_err, p AS name_err, round(avg(mae), 3) AS mae FROM e GROUP BY m, p""", "mc_draws", "items", "globals"))
 def mc_lookup_error(spark, sf):
     it = items(spark, sf)
-    _, mean = global_priors(it.filter("role = 'fit'"))
-    test = it.filter("role = 'test'")
-    parts = table(spark, sf, "lineitem").select(
+    mean = it.filter("role = 'fit'").agg(F.avg("truth")).first()[0]
+    asked = entities(spark, sf).filter("role = 'test'").select("id")
+    raw = table(spark, sf, "lineitem")
+    parts = raw.select(
         F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("name"), "l_linenumber", "l_quantity", "l_extendedprice")
-    parts = running(parts.join(test.select("id"), "id", "left_semi"),
+    parts = running(parts.join(asked, "id", "left_semi"),
                     ["l_linenumber", "name", "l_quantity", "l_extendedprice"], ["id"], rank="pos")
-    got = perturbed_errors(parts, test, vocab(spark, sf), mean, SCENARIOS, DRAWS, "pos")
+    got = perturbed_errors(parts, it.filter("role = 'test'"), vocab(spark, sf), mean, SCENARIOS, DRAWS, "pos", count=int(raw.count() * TEST_BELOW))
     return got.withColumn("mae", F.round("mae", 3))

@@ -8,12 +8,12 @@ from demur.functions.expr import interval_score
 from demur.operators import quantreg
 from demur.operators.assess import band, edges
 from demur.operators.crossfit import fit_heads, out_of_fold, seeded_roles
-from demur.operators.curves import curve
 from demur.operators.evaluate import placebo_summary
-from demur.operators.lines import fit_line, pair_heads
+from demur.operators.lines import fit_line
+from demur.operators.placebo import kept_by_head, placebo_heads
 from demur.operators.ranges import ALPHA, calibrate, covered, score_by_bin, score_ranges
 from demur.operators.ranking import order_statistic
-from demur.operators.splits import cluster_sizes, deal_round_robin, permute
+from demur.operators.splits import cluster_sizes, deal_round_robin
 from demur.sources.staging import stage
 
 from .q_crossfit import SEEDS, x_rows
@@ -21,7 +21,8 @@ from .q_ranges import USABLE
 from .registry import cte, query, u, with_ctes
 from .views import calib_rows, test_rows
 
-PLACEBOS = 20
+#: Shuffled heads of each kind, as published.
+PLACEBOS = 200
 
 cte("pl_calib", "SELECT id, c.err, spread, n_lines::DOUBLE AS n_lines, len(list_filter(e, lambda x: x <= pred)) AS band FROM calib_rows c, edges10",
     "calib_rows", "edges10")
@@ -57,22 +58,12 @@ def placebo_test(spark, sf):
     at = edges(calib, "pred", 10)
     lines = lambda df: df.withColumn("n_lines", F.col("n_lines").cast("double")).withColumn("band", band(F.col("pred"), at))
     base = lines(calib).select("id", "band", "err", "spread", "n_lines")
-    each = base.withColumn("placebo", F.explode(F.sequence(F.lit(1), F.lit(PLACEBOS))))
-    keep = ["kind", "placebo", "id", "spread", "n_lines", "y"]
-    every = permute(each, "err", seed=F.col("placebo"), within=["placebo"], name="y").withColumn("kind", F.lit("global")).select(*keep)
-    inside = permute(each, "err", seed=F.col("placebo"), within=["placebo", "band"], name="y").withColumn("kind", F.lit("band")).select(*keep)
-    real = base.select(F.explode(F.array(F.lit("global"), F.lit("band"))).alias("kind"), F.lit(0).alias("placebo"), "id", "spread", "n_lines",
-                       F.col("err").alias("y"))
-    heads = stage(pair_heads(every.unionByName(inside).unionByName(real), ["kind", "placebo"], "spread", "n_lines", "y", 1.0), "heads")
-    # One small array with all heads, so that scoring is an explode and not a join.
-    w = lambda r: F.col("spread") * F.lit(r["wa"]) + F.col("n_lines") * F.lit(r["wb"]) + F.lit(
-        r["my"] - r["wa"] * r["ma"] - r["wb"] * r["mb"])
-    arr = F.array(*[F.struct(F.lit(r["kind"]).alias("kind"), F.lit(r["placebo"]).alias("placebo"), F.round(w(r), 5).alias("score"))
-                    for r in heads.collect()])
+    heads = stage(placebo_heads(base, PLACEBOS, "spread", "n_lines", "err", 1.0), "heads")
     # Whole numbers of the last digit: heads that keep the same rows have the same effect, whatever the order of the sums.
-    rows = lines(test).select("id", "band", F.rint(F.col("err") * 10_000).cast("bigint").alias("units"), F.inline(arr))
-    risk = curve(rows, by=["kind", "placebo"], strata=["band"], coverages=[0.9], loss="units")
+    rows = lines(test).select("id", "band", "spread", "n_lines", F.rint(F.col("err") * 10_000).cast("bigint").alias("units"))
+    kept = kept_by_head(rows, [r.asDict() for r in heads.collect()], "spread", "n_lines", "units", 0.9)
     mean = test.agg(F.avg("err")).first()[0]
+    risk = kept.select("kind", "placebo", (F.col("kept") / F.col("k")).alias("risk"))
     got = placebo_summary(risk.select("kind", "placebo", (F.col("risk") / 10_000 - mean).alias("effect")), ["kind"])
     return got.select("kind", *[F.round(c, 3).alias(c) for c in ("real", "mean", "sd", "lo", "median", "hi")],
                       F.round("z", 4).alias("z"), F.round("p", 6).alias("p"))

@@ -22,3 +22,9 @@ def test_shuffles_of_pooled_curves_are_removed(spark, sf):
     got = QUERIES["pooled_eval"](spark, sf)
     assert ordered(spark) > files and shuffled(spark) - before < (ordered(spark) - files) / 4
     assert spark.conf.get(CLEANUP_SETTING) == setting and got.count() == 120
+
+
+def test_pooled_evaluation_draws_the_published_resamples(spark, sf):
+    """With 10 resamples, and 5 for two band counts, no p was below 0.1."""
+    got = QUERIES["pooled_eval"](spark, sf).filter("gate = 'perfect' AND coverage = 0.5").collect()
+    assert {r["bands"]: r["p"] for r in got} == {0: 0.0005, 5: 0.001, 10: 0.0005, 20: 0.001}

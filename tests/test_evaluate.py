@@ -80,3 +80,17 @@ def test_registry_is_consistent():
 def test_entry_has_rows(spark):
     import __spark_entry__ as entry
     assert entry.entry(spark).count() == 8 * 19
+
+
+def test_block_has_every_step_of_the_method(spark, sf):
+    """Areas had no interval, and rank correlations, shares of the gap, what is kept and pairs of gates were missing."""
+    rows = QUERIES["eval_block"](spark, sf, 50).collect()
+    pairs = [r for r in rows if " - " in r["gate"]]
+    assert len(pairs) == 12 and all(r["diff"] is not None and r["p"] is not None for r in pairs)
+    gates = [r for r in rows if " - " not in r["gate"]]
+    assert {r["gate"] for r in gates} == {*GATES, "random", "perfect"}
+    for r in gates:
+        assert r["aurc_lo"] <= r["aurc_hi"] and r["share_lo"] <= r["share_hi"] and r["rho_lo"] <= r["rho_hi"]
+        assert (r["rho_size"] is None) == (r["gate"] == "random") and (r["kept_mean"] is None) == (r["coverage"] not in (0.9, 0.5))
+    assert {(r["gap_share"], r["rho"], r["share_lo"]) for r in gates if r["gate"] == "perfect"} == {(1.0, 1.0, 1.0)}
+    assert {(r["gap_share"], r["rho"], r["rho_hi"]) for r in gates if r["gate"] == "random"} == {(0.0, 0.0, 0.0)}
